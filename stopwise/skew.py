@@ -28,7 +28,7 @@ def hot_limit(spark: SparkSession) -> int:
 
 
 def position(df: DataFrame, name: str) -> Column | None:
-    """Order column as a long that keeps its order, or None when it has no such form."""
+    """Order column as a number that keeps its order, or None when it has no such form."""
     kind = df.schema[name].dataType
     if isinstance(kind, T.TimestampType):
         return F.unix_micros(name)
@@ -39,10 +39,14 @@ def position(df: DataFrame, name: str) -> Column | None:
     if isinstance(kind, T.IntegralType):
         return F.col(name).cast("long")
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        return F.floor(name).cast("long")
+        return F.col(name).cast("double")
     return None
 
 
+def _continuous(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType))
+
+
 def _same(left: Sequence[Column], right: Sequence[Column]) -> Column:
     cond = F.lit(True)
     for a, b in zip(left, right):
@@ -66,9 +70,10 @@ def hot_keys(base: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> Da
     return stats.filter(F.col("_n") > limit).orderBy(F.desc("_n"), *[f"_h_{k}" for k in keys]).limit(MAX_HOT)
 
 
-def _slice(pos: Column, lo: Column, hi: Column, parts: Column) -> Column:
-    span = hi.cast("double") - lo.cast("double") + 1.0
-    raw = F.floor((pos.cast("double") - lo.cast("double")) * parts / span).cast("long")
+def _slice(pos: Column, lo: Column, hi: Column, parts: Column, unit: float) -> Column:
+    span = hi.cast("double") - lo.cast("double") + unit
+    share = F.try_divide((pos.cast("double") - lo.cast("double")) * parts, span)
+    raw = F.floor(F.coalesce(share, F.lit(0.0))).cast("long")
     return F.coalesce(F.greatest(F.lit(0), F.least(raw, parts.cast("long") - 1)), F.lit(0)).cast("long")
 
 
@@ -85,14 +90,14 @@ def with_slots(df: DataFrame, hot: DataFrame, keys: Sequence[str], by: Sequence[
     first = position(df, by[0])
     if first is None:
         raise TypeError(f"cannot slice a hot key along {by[0]}")
-    exact = isinstance(df.schema[by[0]].dataType, (T.DoubleType, T.FloatType)) is False
-    second = position(df, by[1]) if len(by) > 1 and exact else None
+    whole = not _continuous(df, by[0])
+    second = position(df, by[1]) if len(by) > 1 and whole else None
     values = F.col("_hi0").cast("double") - F.col("_lo0").cast("double") + 1.0
-    outer = F.least(parts, values)
-    slot = _slice(first, F.col("_lo0"), F.col("_hi0"), outer)
-    if second is not None and isinstance(df.schema[by[1]].dataType, (T.DoubleType, T.FloatType)) is False:
+    outer = F.least(parts, values) if whole else parts
+    slot = _slice(first, F.col("_lo0"), F.col("_hi0"), outer, 1.0 if whole else 0.0)
+    if second is not None and not _continuous(df, by[1]):
         inner = F.when(values < parts, F.ceil(parts / values).cast("double")).otherwise(F.lit(1.0))
-        slot = slot * inner.cast("long") + _slice(second, F.col("_lo1"), F.col("_hi1"), inner)
+        slot = slot * inner.cast("long") + _slice(second, F.col("_lo1"), F.col("_hi1"), inner, 1.0)
     slot = F.when(F.col("_n").isNull(), F.lit(0)).otherwise(slot).cast("long")
     drop = [f"_h_{k}" for k in keys] + ["_n"] + [c for c in hot.columns if c.startswith(("_lo", "_hi"))]
     return joined.withColumn("_slot", slot).drop(*drop)
@@ -128,3 +133,21 @@ def attach(
     copies = F.when(F.col("_is_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     right = right.withColumn("_salt", F.explode(copies)).drop("_is_hot", *[f"_h_{k}" for k in keys])
     return left.join(right, [*keys, "_salt"], "left").drop("_salt")
+
+
+def small_enough(df: DataFrame) -> bool:
+    """Whether the optimizer's size estimate is within the session's broadcast threshold."""
+    text = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760").lower()
+    units = {"kb": 2**10, "k": 2**10, "mb": 2**20, "m": 2**20, "gb": 2**30, "g": 2**30, "b": 1}
+    unit = next((u for u in ("kb", "mb", "gb", "k", "m", "g", "b") if text.endswith(u)), "")
+    limit = int(text.removesuffix(unit)) * units.get(unit, 1)
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return 0 <= estimate <= limit
+
+
+def lookup(df: DataFrame, dim: DataFrame, keys: Sequence[str], spread: Column | None = None,
+           base: DataFrame | None = None) -> DataFrame:
+    """Left-join a dimension with one row per key: broadcast behind a size check, salted shuffle join beyond it."""
+    if small_enough(dim):
+        return df.join(F.broadcast(dim), list(keys), "left")
+    return attach(df, dim, keys, spread, base)
