@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stopwise.testbed.views import AGENCY_SQL, OBS_SQL, ROUTES_SQL, STOP_TIMES_SQL, STOPS_SQL, TRIPS_SQL
+from stopwise.testbed import views as tv
 
 Query = Callable[[SparkSession, str], DataFrame]
-VIEWS = {"obs": OBS_SQL, "stop_times": STOP_TIMES_SQL, "trips": TRIPS_SQL, "routes": ROUTES_SQL,
-         "agency": AGENCY_SQL, "stops": STOPS_SQL}
+VIEWS = {"obs": tv.OBS_SQL, "stop_times": tv.STOP_TIMES_SQL, "trips": tv.TRIPS_SQL, "routes": tv.ROUTES_SQL,
+         "agency": tv.AGENCY_SQL, "stops": tv.STOPS_SQL, "feeds": tv.FEEDS_SQL, "transfers": tv.TRANSFERS_SQL,
+         "calendar": tv.CALENDAR_SQL, "shapes": tv.SHAPES_SQL, "trip_obs": tv.TRIP_OBS_SQL, "weather": tv.WEATHER_SQL}
 
 
 def nudge(digits: int) -> float:
