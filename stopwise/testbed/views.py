@@ -82,22 +82,19 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stop_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Timetable rows from ``lineitem``: trip = order, stop = part bucket, clock times derived from the line."""
-    from stopwise.ordered import with_running
-
-    lines = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").cast("string").alias("trip_id"),
-        (F.col("l_partkey") % 500).cast("string").alias("stop_id"),
-        F.col("l_linenumber").cast("long").alias("line"), F.col("l_partkey").alias("part"),
-        F.col("l_suppkey").alias("supp"), F.col("l_quantity").alias("qty"))
-    ranked = with_running(lines, ["trip_id"], ["line", "part", "supp"], {"stop_sequence": ("count", F.lit(1))})
-    minute = (F.col("stop_sequence") * 7 + F.col("supp") % 90).cast("long")
-    arrive = 5 * 3600 + (F.col("supp") % 20) * 3600 + minute * 60
-    leave = arrive + F.col("qty").cast("long")
-    return ranked.select(
-        "trip_id", "stop_id", "stop_sequence", _clock(arrive).alias("arrival_time"),
-        _clock(leave).alias("departure_time"), (F.col("part") % 4).cast("string").alias("pickup_type"),
-        (F.col("supp") % 3).cast("string").alias("drop_off_type"))
+    """Timetable rows from ``lineitem``: trip = order, stop = part bucket, clock times derived from the line.
+
+    The sequence number grows along the trip and is unique in it; like in real timetables it has gaps.
+    """
+    lines = table(spark, sf_dir, "lineitem")
+    line, part, supp = F.col("l_linenumber").cast("long"), F.col("l_partkey"), F.col("l_suppkey")
+    arrive = 5 * 3600 + (supp % 20) * 3600 + (line * 7 + supp % 90) * 60
+    leave = arrive + F.col("l_quantity").cast("long")
+    return lines.select(
+        F.col("l_orderkey").cast("string").alias("trip_id"), (part % 500).cast("string").alias("stop_id"),
+        ((line * 10_000_000 + part) * 100_000 + supp).alias("stop_sequence"), _clock(arrive).alias("arrival_time"),
+        _clock(leave).alias("departure_time"), (part % 4).cast("string").alias("pickup_type"),
+        (supp % 3).cast("string").alias("drop_off_type"))
 
 
 def _clock(seconds):
@@ -106,15 +103,12 @@ def _clock(seconds):
 
 
 STOP_TIMES_SQL = """
-st_rank AS (
+st_secs AS (
   SELECT CAST(l_orderkey AS VARCHAR) AS trip_id, CAST(l_partkey % 500 AS VARCHAR) AS stop_id, l_partkey AS part,
-         l_suppkey AS supp, l_quantity AS qty,
-         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS stop_sequence
+         l_suppkey AS supp, (CAST(l_linenumber AS BIGINT) * 10000000 + l_partkey) * 100000 + l_suppkey AS stop_sequence,
+         5 * 3600 + (l_suppkey % 20) * 3600 + (l_linenumber * 7 + l_suppkey % 90) * 60 AS arr,
+         5 * 3600 + (l_suppkey % 20) * 3600 + (l_linenumber * 7 + l_suppkey % 90) * 60 + CAST(l_quantity AS BIGINT) AS dep
   FROM lineitem),
-st_secs AS (
-  SELECT *, 5 * 3600 + (supp % 20) * 3600 + (stop_sequence * 7 + supp % 90) * 60 AS arr,
-         5 * 3600 + (supp % 20) * 3600 + (stop_sequence * 7 + supp % 90) * 60 + CAST(qty AS BIGINT) AS dep
-  FROM st_rank),
 stop_times AS (
   SELECT trip_id, stop_id, stop_sequence,
          printf('%02d:%02d:%02d', arr // 3600, (arr // 60) % 60, arr % 60) AS arrival_time,
