@@ -173,9 +173,9 @@ add("spl03_day_folds", "fold:i part n:i rate:f",
 add("spl04_rolling_windows", "window_id:i part n:i first_day last_day",
     lambda s, d: splits.rolling_windows(lab(s, d), "event_ts", splits.PRESETS["ultra_lean"]).groupBy("window_id", "part").agg(
         F.count(F.lit(1)).alias("n"), F.min("day").alias("first_day"), F.max("day").alias("last_day")),
-    """SELECT window_id, CASE WHEN at < 14 THEN 'train' WHEN at < 17 THEN 'val' ELSE 'test' END AS part, count(*) AS n, min(CAST(event_ts AS DATE)) AS first_day,
-       max(CAST(event_ts AS DATE)) AS last_day FROM (SELECT *, day_rank - 1 - window_id AS at FROM dr, nd, range(0, 100) t(window_id) WHERE window_id <= days - 20)
-       WHERE at BETWEEN 0 AND 19 GROUP BY 1, 2""", ctes=DAYS)
+    """SELECT window_id, CASE WHEN pos < 14 THEN 'train' WHEN pos < 17 THEN 'val' ELSE 'test' END AS part, count(*) AS n, min(CAST(event_ts AS DATE)) AS first_day,
+       max(CAST(event_ts AS DATE)) AS last_day FROM (SELECT *, day_rank - 1 - window_id AS pos FROM dr, nd, range(0, 100) t(window_id) WHERE window_id <= days - 20)
+       WHERE pos BETWEEN 0 AND 19 GROUP BY 1, 2""", ctes=DAYS)
 add("spl05_gap_buffer", "split n:i last_ts", lambda s, d: splits.gap_buffer(split(s, d), "event_ts", 90).groupBy("split").agg(
     F.count(F.lit(1)).alias("n"), F.max("event_ts").alias("last_ts")),
     """SELECT split, count(*) AS n, max(event_ts) AS last_ts FROM sp WHERE NOT (split = 'train' AND abs(epoch_us(event_ts) - (SELECT min(epoch_us(event_ts)) FROM sp WHERE split = 'val')) <= 5400000000)
@@ -398,8 +398,8 @@ add("mon04_degradation", "metric baseline:f value:f relative_change:f severity",
        USING (metric)) WHERE baseline > 0 AND (baseline - value) / baseline > 0.02""", ctes=SC)
 add("mon04_performance_summary", "metric mean:f std:f min:f max:f latest:f n_samples:i",
     lambda s, d: drift.performance_summary(cl.binary_metrics(scored(s, d).withColumn("at", F.to_date("event_ts")), "y_true", "y_pred", ["at"]).unpivot(["at"], ["accuracy", "f1"], "metric", "value")),
-    """SELECT metric, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS min, max(value) AS max, arg_max(value, at) AS latest, count(*) AS n_samples FROM (
-       UNPIVOT (SELECT CAST(event_ts AS DATE) AS at, avg(CAST(y_true = y_pred AS INT)) AS accuracy, coalesce(2 * sum(y_true * y_pred) / nullif(sum(y_true) + sum(y_pred), 0), 0) AS f1 FROM sc GROUP BY 1)
+    """SELECT metric, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS min, max(value) AS max, arg_max(value, dd) AS latest, count(*) AS n_samples FROM (
+       UNPIVOT (SELECT CAST(event_ts AS DATE) AS dd, avg(CAST(y_true = y_pred AS INT)) AS accuracy, coalesce(2 * sum(y_true * y_pred) / nullif(sum(y_true) + sum(y_pred), 0), 0) AS f1 FROM sc GROUP BY 1)
        ON accuracy, f1 INTO NAME metric VALUE value) GROUP BY 1""", ctes=SC)
 
 ERR = SC + """, er AS (SELECT *, CAST(y_true <> y_pred AS INT) AS e, row_number() OVER (PARTITION BY route_id ORDER BY event_ts, obs_id) AS seen,

@@ -264,7 +264,7 @@ add("txt01_complexity",
     lambda s, d: text.complexity(docs(s, d), "text"),
     f"""SELECT doc_id, n AS text_length, w AS word_count, round_even(n / (w + 1), 2) AS avg_word_length, sc AS sentence_count,
         round_even(w / (sc + 1), 2) AS avg_sentence_length, round_even({RX('[A-Z]')} / (n + 1), 3) AS upper_ratio,
-        CAST(regexp_matches(text, '\\b[A-Z]{{2,}}\\b') AS INT) AS has_emphasis, {RX('[0-9]')} AS number_count,
+        CAST(regexp_matches(text, '(^|[^\\p{{L}}\\p{{N}}_])[A-Z]{{2,}}($|[^\\p{{L}}\\p{{N}}_])') AS INT) AS has_emphasis, {RX('[0-9]')} AS number_count,
         CAST(regexp_matches(text, '(?i)[0-9]{{1,2}}:[0-9]{{2}}|am|pm|uur') AS INT) AS has_time_ref,
         CAST(regexp_matches(text, '(?i)station|stop|halte|plein|straat') AS INT) AS has_location_ref
         FROM (SELECT *, length(text) AS n, {W} AS w, {RX('[.!?]')} + 1 AS sc FROM documents)""", views="", digits=4)

@@ -33,6 +33,7 @@ NEGATIVE_WORDS = ("delay", "cancel", "breakdown", "problem", "issue", "fail")
 POSITIVE_WORDS = ("resolved", "fixed", "clear", "normal", "restored")
 
 # Patterns.
+CAPITALS_PATTERN = r"(?<![\p{L}\p{N}_])[A-Z]{2,}(?![\p{L}\p{N}_])"
 URL_PATTERN = r"http[s]?://"
 PHONE_PATTERN = r"\d{2,4}[-\s]?\d{2,4}[-\s]?\d{2,4}"
 EMAIL_PATTERN = r"[\w.-]+@[\w.-]+"
@@ -71,7 +72,7 @@ def complexity(df: DataFrame, text: str) -> DataFrame:
     out = df.withColumns({
         "text_length": F.length(t), "word_count": word_count(t),
         "sentence_count": F.regexp_count(t, F.lit("[.!?]")) + 1, "number_count": F.regexp_count(t, F.lit(r"\d")),
-        "has_emphasis": flag(t.rlike(r"\b[A-Z]{2,}\b")), "has_time_ref": flag(t.rlike(TIME_PATTERN)),
+        "has_emphasis": flag(t.rlike(CAPITALS_PATTERN)), "has_time_ref": flag(t.rlike(TIME_PATTERN)),
         "has_location_ref": flag(t.rlike(PLACE_PATTERN)),
         "upper_ratio": F.bround(F.regexp_count(t, F.lit("[A-Z]")) / (F.length(t) + 1), 3),
     })

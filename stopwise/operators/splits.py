@@ -91,8 +91,8 @@ def with_day_rank(df: DataFrame, time: str) -> DataFrame:
 def day_folds(df: DataFrame, time: str, min_train_days: int) -> DataFrame:
     """Expanding walk-forward by day in long form: fold i trains on days 1..min+i-1 and tests on the next one."""
     days = df.select(F.to_date(time).alias("d")).distinct().agg(F.count(F.lit(1))).scalar()
-    ranked = with_day_rank(df, time)
-    last_fold = days - min_train_days
+    ranked = with_day_rank(df, time).withColumn("_last", days - min_train_days)
+    last_fold = F.col("_last")
     r = F.col("day_rank")
     test_fold = r - min_train_days
     train_from = F.greatest(F.lit(1), r - min_train_days + 1)
@@ -102,7 +102,7 @@ def day_folds(df: DataFrame, time: str, min_train_days: int) -> DataFrame:
         F.transform(trains, lambda f: F.struct(f.alias("fold"), F.lit("train").alias("part"))),
         F.when(test_fold >= 1, F.array(F.struct(test_fold.cast("int").alias("fold"), F.lit("test").alias("part"))))
         .otherwise(F.array().cast("array<struct<fold:int,part:string>>")))
-    return ranked.withColumn("_p", F.explode(parts)).select("*", "_p.*").drop("_p")
+    return ranked.withColumn("_p", F.explode(parts)).select("*", "_p.*").drop("_p", "_last")
 
 
 @dataclass(frozen=True)
