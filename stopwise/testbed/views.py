@@ -18,7 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observed stop events, one row per event."""
-    events = table(spark, sf_dir, "events")
+    return shape_obs(table(spark, sf_dir, "events"))
+
+
+def shape_obs(events: DataFrame) -> DataFrame:
+    """Event rows (a table or a stream) as stop events."""
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     feed_us = F.lit(EPOCH_MICROS) + F.floor((us - F.lit(EPOCH_MICROS)) / F.lit(60)).cast("long")
     k = F.regexp_extract("props", r"(\d+)", 1).cast("int")
