@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("temporal", "summary", "feeds", "scalars", "model", "flow")
+AREAS = ("temporal", "summary", "feeds", "scalars", "model", "flow", "whole")
 
 
 def catalogs():

@@ -48,7 +48,7 @@ add("arr01_active_span", "entity_id active_period_start active_period_end",
     """SELECT entity_id, make_timestamp((secs - 600) * 1000000) AS active_period_start,
        make_timestamp((secs + k * 60) * 1000000) AS active_period_end FROM al""", FEEDS)
 
-_MERGED = """
+MERGED = """
 m AS (
   SELECT vp.*, tu1.delay, tu1.arrival_delay, tu1.arrival_time, al1.cause, al1.effect, al1.description_text
   FROM vp LEFT JOIN (SELECT * FROM tu WHERE trip_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY trip_id
@@ -61,11 +61,11 @@ add("join01_03_prj02_03_06_merge",
     lambda s, d: merge.merge_feeds(vp(s, d), tu(s, d), al(s, d)),
     """SELECT entity_id, trip_id, route_id, stop_id, retrieved_at AS feed_timestamp, arrival_delay AS delay_sec,
        arrival_time AS actual_time_sec, cause IS NOT NULL AS has_overlapping_alert, cause AS alert_cause,
-       effect AS alert_effect, description_text AS alert_text FROM m""", FEEDS, ctes=_MERGED)
+       effect AS alert_effect, description_text AS alert_text FROM m""", FEEDS, ctes=MERGED)
 
 add("join02_merge_direct_route", "entity_id route_id alert_cause has_overlapping_alert",
     lambda s, d: merge.merge_feeds(vp(s, d), tu(s, d), feeds.informed_routes(al(s, d))),
-    """SELECT entity_id, route_id, cause AS alert_cause, cause IS NOT NULL AS has_overlapping_alert FROM m""", FEEDS, ctes=_MERGED)
+    """SELECT entity_id, route_id, cause AS alert_cause, cause IS NOT NULL AS has_overlapping_alert FROM m""", FEEDS, ctes=MERGED)
 
 add("set01_02_union_feeds", "entity_id trip_id stop_id speed:f origin",
     lambda s, d: merge.union_feeds(

@@ -60,8 +60,11 @@ def neighbour_features(df: DataFrame, train: DataFrame, features: Sequence[str],
     near = nearest(df, train, features, row_id, k)
     out = df.join(near, row_id, "left")
     cols = {}
+    def component(i: int):
+        return F.transform("neighbours", lambda v: v[i])
+
     for i, c in enumerate(features):
-        values = F.transform("neighbours", lambda v, i=i: v[i])
+        values = component(i)
         n = F.size(values)
         mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / n
         square = F.aggregate(F.transform(values, lambda x: x * x), F.lit(0.0), lambda a, x: a + x) / n

@@ -70,7 +70,7 @@ def correlation_filter(df: DataFrame, features: Sequence[str], limit: float = 0.
     pairs = [(i, j) for j in range(len(f)) for i in range(j)]
     wide = df.agg(*[F.abs(F.corr(F.col(f[i]).cast("double"), F.col(f[j]).cast("double"))).alias(f"c_{i}_{j}") for i, j in pairs])
     rows = F.array(*[F.struct(F.lit(f[j]).alias("feature"),
-                              F.greatest(*[F.col(f"c_{i}_{j}") for i in range(j)], F.lit(0.0)).alias("max_corr")) for j in range(len(f))])
+                              F.greatest(*[F.col(f"c_{i}_{j}") for i in range(j)], F.lit(0.0), F.lit(0.0)).alias("max_corr")) for j in range(len(f))])
     return wide.select(F.explode(rows).alias("r")).select("r.*").withColumn("keep", F.col("max_corr") <= limit)
 
 

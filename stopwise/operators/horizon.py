@@ -47,7 +47,8 @@ def forward_targets(df: DataFrame, horizons: dict[str, int] = HORIZONS, base: Da
     levels = sorted(set(CODES.values()) - {0})
     values = {f"_next{c}": ("min", F.when(F.array_contains("_codes", c), F.col("_us"))) for c in levels}
     upcoming = with_running(marks, KEYS, ["_us"], values, include_current=False, descending=True)
-    rows = attach(rows.withColumn("_us", us), upcoming.drop("_codes"), [*KEYS, "_us"], F.col(ID))
+    narrow = (base if base is not None else df).select(*KEYS, us.alias("_us"))
+    rows = attach(rows.withColumn("_us", us), upcoming.drop("_codes"), [*KEYS, "_us"], F.col(ID), base=narrow)
     calm = ~disrupted()
     out = {}
     for target, minutes in horizons.items():
@@ -87,13 +88,14 @@ def add_route_snapshots(df: DataFrame, minutes: int = 5, base: DataFrame | None
     source = base if base is not None else df
     rows = df.withColumn("snapshot", snapshot(minutes))
     keys = source.select("route_id", snapshot(minutes).alias("snapshot"))
-    return attach(rows, route_snapshots(df, minutes, base), ["route_id", "snapshot"], F.col(ID), base=keys).drop("snapshot")
+    return attach(rows, route_snapshots(source, minutes), ["route_id", "snapshot"], F.col(ID), base=keys).drop("snapshot")
 
 
-def alert_count_last_hour(df: DataFrame) -> DataFrame:
+def alert_count_last_hour(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """Number of alert rows in the hour before each alert row; 0 for rows without an alert."""
+    source = (base if base is not None else df).withColumn("_all", F.lit(0))
     return count_within(df.withColumn("_all", F.lit(0)), ["_all"], TIME, F.col("has_alert"), ID,
-                        3_600_000_000, "alert_count_last_hour").drop("_all")
+                        3_600_000_000, "alert_count_last_hour", source).drop("_all")
 
 
 def network_load_as_of(df: DataFrame, lookback_minutes: int = 10, severity: str = "severity_score") -> DataFrame:

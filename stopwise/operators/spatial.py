@@ -32,23 +32,25 @@ def _neighbour_pairs(points: DataFrame, lat: str, lon: str, lat_size: float, lon
     return left.join(right, ["_cx", "_cy"]).drop("_cx", "_cy")
 
 
-def _lag(df: DataFrame, lat: str, lon: str, value: str, radius: float, near, row_id: str, out: str) -> DataFrame:
-    points = df.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).groupBy(lat, lon).agg(
+def _lag(df: DataFrame, lat: str, lon: str, value: str, radius: float, near, row_id: str, out: str,
+         base: DataFrame | None = None) -> DataFrame:
+    source = base if base is not None else df
+    points = source.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).groupBy(lat, lon).agg(
         F.sum(value).alias("_s"), F.count(value).alias("_c"))
     pairs = _neighbour_pairs(points, lat, lon, radius, radius).filter(
         near(F.col("_o")[lat] - F.col(lat), F.col("_o")[lon] - F.col(lon)))
     around = pairs.groupBy(lat, lon).agg(F.sum("_o._s").alias("_sum"), F.sum("_o._c").alias("_cnt"))
-    rows = attach(df, around, [lat, lon], F.col(row_id))
+    rows = attach(df, around, [lat, lon], F.col(row_id), base=source)
     own = F.col(value)
     others = F.col("_cnt") - F.when(own.isNotNull(), 1).otherwise(0)
     return rows.withColumn(out, F.when(others > 0, (F.col("_sum") - F.coalesce(own, F.lit(0.0))) / others)).drop("_sum", "_cnt")
 
 
 def spatial_lag(df: DataFrame, lat: str = "stop_lat", lon: str = "stop_lon", value: str = "delay_sec",
-                radius: float = 0.01, row_id: str = "obs_id") -> DataFrame:
+                radius: float = 0.01, row_id: str = "obs_id", base: DataFrame | None = None) -> DataFrame:
     """spatial_lag_delay: mean of the other rows whose latitude and longitude both differ by less than the radius."""
     return _lag(df, lat, lon, value, radius, lambda dx, dy: (F.abs(dx) < radius) & (F.abs(dy) < radius), row_id,
-                "spatial_lag_delay")
+                "spatial_lag_delay", base)
 
 
 def spatial_lag_radius(df: DataFrame, lat: str = "stop_lat", lon: str = "stop_lon", value: str = "delay_sec",

@@ -84,14 +84,15 @@ def disruption_density(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stops, routes
 
 
-def add_disruption_density(df: DataFrame, spread: str = "obs_id") -> DataFrame:
+def add_disruption_density(df: DataFrame, spread: str = "obs_id", base: DataFrame | None = None) -> DataFrame:
     from stopwise.skew import attach
 
-    stops, routes = disruption_density(df)
+    source = base if base is not None else df
+    stops, routes = disruption_density(source)
     # A route without any disruption has no density in the source semantics.
     routes = routes.withColumn("route_disruption_density",
                                F.when(F.col("route_disruption_density") > 0, F.col("route_disruption_density")))
-    return attach(attach(df, stops, ["stop_id"], F.col(spread)), routes, ["route_id"], F.col(spread))
+    return attach(attach(df, stops, ["stop_id"], F.col(spread), source), routes, ["route_id"], F.col(spread), source)
 
 
 def congestion(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -103,22 +104,23 @@ def congestion(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return per_stop, per_route
 
 
-def add_congestion(df: DataFrame, spread: str = "obs_id") -> DataFrame:
+def add_congestion(df: DataFrame, spread: str = "obs_id", base: DataFrame | None = None) -> DataFrame:
     from stopwise.skew import attach
 
-    per_stop, per_route = congestion(df)
-    rows = df.withColumn("hour", F.hour(TIME))
-    rows = attach(rows, per_stop, ["stop_id", "hour"], F.col(spread))
-    return attach(rows, per_route, ["route_id", "hour"], F.col(spread))
+    source = base if base is not None else df
+    per_stop, per_route = congestion(source)
+    rows, narrow = df.withColumn("hour", F.hour(TIME)), source.withColumn("hour", F.hour(TIME))
+    rows = attach(rows, per_stop, ["stop_id", "hour"], F.col(spread), narrow)
+    return attach(rows, per_route, ["route_id", "hour"], F.col(spread), narrow)
 
 
-def add_dwell_anomaly(df: DataFrame, dwell: str = "dwell_time_sec", spread: str = "obs_id") -> DataFrame:
+def add_dwell_anomaly(df: DataFrame, dwell: str = "dwell_time_sec", spread: str = "obs_id", base: DataFrame | None = None) -> DataFrame:
     """Dwell time against the mean of the stop; 0 when there is no dwell column."""
     from stopwise.ordered import with_totals
 
     if dwell not in df.columns:
         return df.withColumn("dwell_time_anomaly", F.lit(0.0))
-    out = with_totals(df, ["stop_id"], [F.avg(dwell).alias("_mean")], spread=F.col(spread))
+    out = with_totals(df, ["stop_id"], [F.avg(dwell).alias("_mean")], spread=F.col(spread), base=base)
     return out.withColumn("dwell_time_anomaly", F.col(dwell) - F.col("_mean")).drop("_mean")
 
 
@@ -128,14 +130,15 @@ def speed_delay_correlation(df: DataFrame) -> DataFrame:
         F.when(F.count(F.lit(1)) > 1, F.corr("speed", "delay_sec")).otherwise(0.0).alias("speed_delay_correlation"))
 
 
-def add_interactions(df: DataFrame, spread: str = "obs_id") -> DataFrame:
+def add_interactions(df: DataFrame, spread: str = "obs_id", base: DataFrame | None = None) -> DataFrame:
     """Delay-speed ratio (clipped to ±100), product, and the route correlation."""
     from stopwise.operators.temporal import clip
     from stopwise.skew import attach
 
     d, s = F.col("delay_sec"), F.col("speed")
     out = df.withColumns({"delay_speed_ratio": clip(F.try_divide(d, s), -100, 100), "delay_speed_product": d * s})
-    return attach(out, speed_delay_correlation(df), ["route_id"], F.col(spread), base=df)
+    source = base if base is not None else df
+    return attach(out, speed_delay_correlation(source), ["route_id"], F.col(spread), base=source)
 
 
 def binned(df: DataFrame, keys: Sequence[str], minutes: int, means: Sequence[str], firsts: Sequence[str],

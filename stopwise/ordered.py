@@ -197,13 +197,15 @@ def count_within(
     row_id: str,
     micros: int,
     out: str,
+    base: DataFrame | None = None,
 ) -> DataFrame:
     """Per flagged row, the number of flagged rows of its key in ``[t - micros, t)``; 0 for the other rows.
 
     Written as a difference of two running counts, so the cost does not depend on how many rows the range holds.
     """
     keys = list(keys)
-    marks = df.filter(flag & F.col(time).isNotNull()).select(*keys, F.col(row_id), F.unix_micros(time).alias("_us"))
+    source = base if base is not None else df
+    marks = source.filter(flag & F.col(time).isNotNull()).select(*keys, F.col(row_id), F.unix_micros(time).alias("_us"))
     # Per instant: a probe sees only increments of strictly earlier instants.
     steps = marks.groupBy(*keys, "_us").agg(F.count(F.lit(1)).alias("_inc"))
     line = (
@@ -216,9 +218,6 @@ def count_within(
     counts = run.groupBy(*keys, "_at").agg(
         F.sum(F.coalesce("_before", F.lit(0)) * F.col("_sign")).cast("long").alias("_cnt"))
     at = [*keys, "_at"]
-    rows = df.withColumn("_at", F.when(flag, F.unix_micros(time)))
-    if keys:
-        joined = attach(rows, counts, at, F.col(row_id))
-    else:
-        joined = attach(rows, counts, ["_at"], F.col(row_id))
+    stamp = F.when(flag, F.unix_micros(time))
+    joined = attach(df.withColumn("_at", stamp), counts, at, F.col(row_id), base=source.withColumn("_at", stamp))
     return joined.withColumn(out, F.coalesce("_cnt", F.lit(0))).drop("_cnt", "_at")

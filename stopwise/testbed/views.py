@@ -309,7 +309,7 @@ def trip_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     oid = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     return lines.select(
         oid.alias("obs_id"), F.col("l_orderkey").cast("string").alias("trip_id"),
-        (F.col("l_partkey") % 500).cast("string").alias("stop_id"), F.col("l_shipdate").alias("feed_timestamp"),
+        (F.col("l_partkey") % 500).cast("string").alias("stop_id"), F.col("l_shipdate").cast("timestamp").alias("feed_timestamp"),
         (F.col("l_quantity") * 20 - 100).alias("delay_sec"), (F.col("l_suppkey") % 60).cast("double").alias("speed"),
         (F.lit(18000.0) + F.col("l_suppkey") % 20 * 3600 + F.col("l_quantity") * 100).alias("actual_time_sec"))
 
