@@ -10,6 +10,7 @@ from stopwise.functions.clock import clock_seconds
 from stopwise.functions.geo import HUBS, haversine_km
 from stopwise.operators.temporal import clip, first_per_key
 from stopwise.ordered import with_totals, with_windows
+from stopwise.session import cut_lineage
 from stopwise.skew import attach, lookup
 
 
@@ -178,8 +179,12 @@ def network_defaults(df: DataFrame) -> DataFrame:
 
 
 def add_dimensions(df: DataFrame, dims: dict[str, DataFrame], spread: str = "obs_id") -> DataFrame:
-    """Route, stop and trip features on the observation rows."""
-    bridge = stop_route_bridge(dims["stop_times"], dims["trips"])
+    """Route, stop and trip features on the observation rows.
+
+    The bridge and the finished dimensions are written once: they are read several times, and their true size decides
+    between a broadcast and a salted join.
+    """
+    bridge = cut_lineage(stop_route_bridge(dims["stop_times"], dims["trips"]))
     stop_degree, route_degree = degrees(bridge)
     r = route_dimension(dims["routes"], dims["trips"], bridge, dims["calendar_dates"])
     s = stop_dimension(dims["stops"], stop_degree, dims["transfers"])
@@ -187,5 +192,5 @@ def add_dimensions(df: DataFrame, dims: dict[str, DataFrame], spread: str = "obs
     out = df
     for dim, key in ((r.join(route_degree.drop("route_stop_count"), "route_id", "left"), "route_id"), (s, "stop_id"), (t, "trip_id")):
         cols = [c for c in dim.columns if c == key or c not in out.columns]
-        out = lookup(out, dim.select(*cols), [key], F.col(spread))
+        out = lookup(out, cut_lineage(dim.select(*cols)), [key], F.col(spread), base=df)
     return out.withColumn("near_transfer", F.coalesce("is_transfer_stop", F.lit(0)))

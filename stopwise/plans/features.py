@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from stopwise.functions import alerts as alert_fn
 from stopwise.functions import clock, geo, text, weather
 from stopwise.operators import graph, horizon, label, merge, spatial, summary, temporal, timetable
+from stopwise.session import cut_lineage
 
 BASE = ("obs_id", "feed_timestamp", "trip_id", "route_id", "stop_id", "vehicle_id", "stop_sequence", "delay_sec", "speed",
         "disruption_type", "severity_score", "has_alert", "stop_lat", "stop_lon", "dwell_time_sec", "sched_arr_sec")
@@ -95,7 +96,7 @@ def text_features(df: DataFrame, body: str, lang: str | None = None) -> DataFram
 
 def enrich(df: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
     """Timetable enrichment: dimensions, schedule, deviation, second peak set, delay, headway and speed features."""
-    out = timetable.join_schedule(df, timetable.schedule(dims["stop_times"]))
+    out = cut_lineage(timetable.join_schedule(df, timetable.schedule(dims["stop_times"])))
     base = base_of(out)
     out = timetable.schedule_deviation(timetable.add_dimensions(out, dims)) if "actual_time_sec" in out.columns else timetable.add_dimensions(out, dims)
     out = timetable.delay_features(clock.enricher_time(out, "feed_timestamp"))
