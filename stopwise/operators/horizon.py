@@ -47,8 +47,7 @@ def forward_targets(df: DataFrame, horizons: dict[str, int] = HORIZONS, base: Da
     levels = sorted(set(CODES.values()) - {0})
     values = {f"_next{c}": ("min", F.when(F.array_contains("_codes", c), F.col("_us"))) for c in levels}
     upcoming = with_running(marks, KEYS, ["_us"], values, include_current=False, descending=True)
-    narrow = (base if base is not None else df).select(*KEYS, us.alias("_us"))
-    rows = attach(rows.withColumn("_us", us), upcoming.drop("_codes"), [*KEYS, "_us"], F.col(ID), base=narrow)
+    rows = attach(rows.withColumn("_us", us), upcoming.drop("_codes"), [*KEYS, "_us"], F.col(ID), instant=True)
     calm = ~disrupted()
     out = {}
     for target, minutes in horizons.items():

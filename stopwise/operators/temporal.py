@@ -156,7 +156,7 @@ def route_mean_in_time(df: DataFrame, minutes: int = 5, delay: str = "delay_sec"
     from stopwise.skew import attach
 
     rows = df.withColumn("_at", F.unix_micros(TIME))
-    return attach(rows, means, ["route_id", "_at"], F.col(ID)).drop("_at")
+    return attach(rows, means, ["route_id", "_at"], F.col(ID), instant=True).drop("_at")
 
 
 def trend_block(df: DataFrame, base: DataFrame | None = None) -> DataFrame:

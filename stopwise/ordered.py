@@ -218,6 +218,5 @@ def count_within(
     counts = run.groupBy(*keys, "_at").agg(
         F.sum(F.coalesce("_before", F.lit(0)) * F.col("_sign")).cast("long").alias("_cnt"))
     at = [*keys, "_at"]
-    stamp = F.when(flag, F.unix_micros(time))
-    joined = attach(df.withColumn("_at", stamp), counts, at, F.col(row_id), base=source.withColumn("_at", stamp))
+    joined = attach(df.withColumn("_at", F.when(flag, F.unix_micros(time))), counts, at, F.col(row_id), instant=True)
     return joined.withColumn(out, F.coalesce("_cnt", F.lit(0))).drop("_cnt", "_at")

@@ -109,24 +109,31 @@ def attach(
     keys: Sequence[str],
     spread: Column | None = None,
     base: DataFrame | None = None,
+    instant: bool = False,
 ) -> DataFrame:
     """Left-join one row per key back to the rows without putting a hot key into one task.
 
     Rows of hot keys take one of ``SALTS`` salts and the matching total is repeated once per salt; every other key
     has salt 0.  ``spread`` is any well-spread expression of a row (its id); ``base`` a cheaper frame with the same
     key counts.  Null keys never match, and are salted as well so that they do not pile up.
+
+    ``instant`` says that the keys contain the exact instant of the row, so that a key is nearly unique.  Counting such
+    keys would shuffle every row; the pass is left out and adaptive execution splits whatever is still skewed.
     """
     keys = list(keys)
-    source = base if base is not None else df
-    hot = hot_keys(source.select(*keys), keys)
     spread = spread if spread is not None else F.xxhash64(*[c for c in df.columns if c not in keys] or keys)
     salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
-    on = _same([F.col(k) for k in keys], [F.col(f"_h_{k}") for k in keys])
-    flags = hot.select(*[f"_h_{k}" for k in keys], F.lit(True).alias("_is_hot"))
-    left = df.join(F.broadcast(flags), on, "left")
     any_null = F.lit(False)
     for k in keys:
         any_null = any_null | F.col(k).isNull()
+    if instant:
+        left = df.withColumn("_salt", F.when(any_null, salt).otherwise(F.lit(0)))
+        return left.join(totals.withColumn("_salt", F.lit(0)), [*keys, "_salt"], "left").drop("_salt")
+    source = base if base is not None else df
+    hot = hot_keys(source.select(*keys), keys)
+    on = _same([F.col(k) for k in keys], [F.col(f"_h_{k}") for k in keys])
+    flags = hot.select(*[f"_h_{k}" for k in keys], F.lit(True).alias("_is_hot"))
+    left = df.join(F.broadcast(flags), on, "left")
     left = left.withColumn("_salt", F.when(F.col("_is_hot") | any_null, salt).otherwise(F.lit(0)))
     left = left.drop("_is_hot", *[f"_h_{k}" for k in keys])
     right = totals.join(F.broadcast(flags), on, "left")

@@ -108,6 +108,8 @@ class AlertLifecycle(StatefulProcessor):
                 status, due = "NEW", int(us // 1000 + minutes * 60_000)
                 if due > timerValues.getCurrentWatermarkInMs():
                     self.handle.registerTimer(due)
+                else:  # a late row whose deadline has passed already
+                    out.append((key[0], status, True))
             elif event == "ACKNOWLEDGED" and status == "NEW":
                 status = event
             elif event == "RESOLVED" and status:

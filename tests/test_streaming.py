@@ -1,5 +1,6 @@
 """Stream and batch agree, and the keyed state survives several micro-batches."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stopwise.streaming import feeds, stateful
@@ -10,8 +11,11 @@ from .conftest import SF
 
 
 def several_batches(spark, df, tmp_path, order, n=4):
-    df.repartitionByRange(n, order).sortWithinPartitions(order).write.parquet(str(tmp_path / "in"))
-    return feeds.file_feed(spark, str(tmp_path / "in"), df.schema, max_files=1)
+    """The rows in time order, one file per micro-batch, written one after the other."""
+    ranked = df.withColumn("_part", F.ntile(n).over(Window.orderBy(order))).cache()
+    for i in range(1, n + 1):
+        ranked.filter(F.col("_part") == i).drop("_part").coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    return feeds.file_feed(spark, str(tmp_path / "in/*"), df.schema, max_files=1)
 
 
 def test_lag_state_across_batches(spark, tmp_path):
