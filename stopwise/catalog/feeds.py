@@ -101,10 +101,10 @@ add("join04_star_join",
 
 SCHED = """sched AS (
   SELECT trip_id, stop_id, stop_sequence, arr AS sched_arr_sec, dep AS sched_dep_sec, dep - arr AS sched_dwell_sec,
-    lead(dep) OVER (PARTITION BY trip_id ORDER BY stop_sequence, stop_id) - dep AS sched_travel_to_next,
+    lead(dep) OVER (PARTITION BY trip_id ORDER BY stop_sequence, stop_id, dep) - dep AS sched_travel_to_next,
     stop_sequence / max(stop_sequence) OVER (PARTITION BY trip_id) AS stop_seq_ratio,
     CAST(pickup_type = '1' AS INT) AS sched_no_pickup, CAST(drop_off_type = '1' AS INT) AS sched_no_dropoff FROM stop_times),
-sched1 AS (SELECT * FROM sched QUALIFY row_number() OVER (PARTITION BY trip_id, stop_id ORDER BY stop_sequence) = 1)"""
+sched1 AS (SELECT * FROM sched QUALIFY row_number() OVER (PARTITION BY trip_id, stop_id ORDER BY stop_sequence, sched_dep_sec, sched_travel_to_next NULLS FIRST) = 1)"""
 add("win21_dt01_schedule",
     "trip_id stop_id stop_seq_num:i sched_arr_sec:f sched_dep_sec:f sched_dwell_sec:f sched_travel_to_next:f "
     "stop_seq_ratio:f sched_no_pickup:i sched_no_dropoff:i",

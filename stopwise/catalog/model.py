@@ -28,7 +28,7 @@ def edges(s, d):
 add("grf01_sequence_edges", "src dst", edges, "SELECT * FROM edges", "stop_times", ctes=NEXT)
 
 add("grf02_weighted_edges", "trip_id src dst position:i weight:f", lambda s, d: graph.weighted_edges(views.stop_times(s, d)),
-    """SELECT *, (1.0 / position) / (1 + 1e-9) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY stop_sequence, src) AS position FROM nx)""",
+    """SELECT *, (1.0 / position) / (1 + 1e-9) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY stop_sequence, src, dst) AS position FROM nx)""",
     "stop_times", ctes=NEXT)
 
 add("grf03_route_stop_edges", "src dst n:i",

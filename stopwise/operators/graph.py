@@ -34,7 +34,7 @@ def weighted_edges(stop_times: DataFrame) -> DataFrame:
     """One edge per consecutive pair of each trip, weight 1 / position in the trip, scaled by the largest weight."""
     from stopwise.ordered import with_running
 
-    ranked = with_running(_next_stop(stop_times), ["trip_id"], ["stop_sequence", "src"], {"position": ("count", F.lit(1))})
+    ranked = with_running(_next_stop(stop_times), ["trip_id"], ["stop_sequence", "src", "dst"], {"position": ("count", F.lit(1))})
     raw = ranked.withColumn("weight", 1.0 / F.col("position"))
     top = raw.agg(F.max("weight")).scalar()
     return raw.withColumn("weight", F.col("weight") / (top + F.lit(1e-9))).select("trip_id", "src", "dst", "position", "weight")

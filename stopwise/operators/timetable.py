@@ -110,7 +110,7 @@ def schedule(stop_times: DataFrame) -> DataFrame:
     base = stop_times.withColumns({
         "sched_arr_sec": clock_seconds(F.col("arrival_time")), "sched_dep_sec": clock_seconds(F.col("departure_time")),
         "stop_seq_num": F.col("stop_sequence").try_cast("long")})
-    nexts = with_windows(base, ["trip_id"], ["stop_seq_num", "stop_id"], ["sched_dep_sec"], [
+    nexts = with_windows(base, ["trip_id"], ["stop_seq_num", "stop_id", "sched_dep_sec"], [], [
         lambda w: {"sched_travel_to_next": F.lead("sched_dep_sec").over(w) - F.col("sched_dep_sec")}], ahead=1)
     out = with_totals(nexts, ["trip_id"], [F.max("stop_seq_num").alias("_max")], spread=F.xxhash64("stop_id", "stop_seq_num"),
                       base=base.select("trip_id", "stop_seq_num"))
@@ -129,7 +129,8 @@ SCHEDULE_COLUMNS = ("sched_arr_sec", "sched_dep_sec", "sched_dwell_sec", "sched_
 def join_schedule(df: DataFrame, schedule_table: DataFrame, spread: str = "obs_id") -> DataFrame:
     """Schedule of the (trip, stop) pair; a stop visited twice by a trip keeps its first visit."""
     keys = ["trip_id", "stop_id"]
-    first = first_per_key(schedule_table.select(*keys, "stop_seq_num", *SCHEDULE_COLUMNS), keys, [F.col("stop_seq_num")])
+    first = first_per_key(schedule_table.select(*keys, "stop_seq_num", *SCHEDULE_COLUMNS), keys,
+                          [F.col("stop_seq_num"), F.col("sched_dep_sec"), F.col("sched_travel_to_next")])
     return schedule_buckets(attach(df, first.drop("stop_seq_num"), keys, F.col(spread)))
 
 
