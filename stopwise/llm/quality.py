@@ -1,6 +1,7 @@
 """Quality classifier: logistic regression over hashed word n-grams, fitted by follow-the-regularised-leader.
 
-Words and runs of punctuation are the tokens; single tokens and pairs are hashed to ``2^BITS`` places.  A text is the vector
+Words and runs of punctuation are the tokens; single tokens, pairs and repeats of a close token are hashed to
+``2^BITS`` places.  A text is the vector
 of its damped counts, scaled to length one.  A bounded sample of the labelled rows (``linear.SAMPLE_ROWS``) is dealt to
 ``SHARDS`` groups; each group runs the per-coordinate updates over its rows and the weights are averaged.  Scores are sparse
 dot products with the one vector of weights, ``2^BITS`` floats whatever the input.
@@ -24,17 +25,20 @@ BITS = 18
 SHARDS = 4
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
+#: Hashes that stand for "the token from one, two, three, four places before", whatever the token.
+AGAIN = bh.mix(np.arange(1, 5, dtype=np.uint64))
 
 
 def features(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Places and values; place 0 is the constant."""
     t = tokens(raw, fold=True)
-    places = np.concatenate([t, bh.grams(t, 2)]) >> np.uint64(64 - BITS)
+    again = [np.full(np.count_nonzero(t[d:] == t[:-d]), AGAIN[d - 1]) for d in range(1, len(AGAIN) + 1)]
+    places = np.concatenate([t, bh.grams(t, 2), *again]) >> np.uint64(64 - BITS)
     at, n = np.unique(places.astype(np.int64), return_counts=True)
     value = np.log1p(n)
     value /= max(float(np.sqrt((value ** 2).sum())), 1e-12)
     other = at > 0
-    return np.concatenate([[0], at[other]]), np.concatenate([[0.1], value[other]])
+    return np.concatenate([[0], at[other]]), np.concatenate([[1.0], value[other]])
 
 
 def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int = 7) -> np.ndarray:

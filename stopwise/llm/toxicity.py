@@ -98,11 +98,14 @@ def root_lambda(x: np.ndarray, share: np.ndarray) -> float:
 
 
 def _counts(sample: DataFrame) -> np.ndarray:
-    """Token counts of the clean and the toxic sample rows by place: at most 2^BITS rows come to the driver."""
+    """Clean and toxic sample rows with a token, by its place: at most 2^BITS rows come to the driver.
+
+    A row counts once, so a rare word repeated in one text carries no more weight than elsewhere.
+    """
     def make():
         def step(r):
-            at, n = np.unique(bh.words(r["raw"], bh.NON_WORD)[0] >> np.uint64(64 - BITS), return_counts=True)
-            return [(int(a), int(c) * (1 - r["y"]), int(c) * r["y"]) for a, c in zip(at, n)]
+            at = np.unique(bh.words(r["raw"], bh.NON_WORD)[0] >> np.uint64(64 - BITS))
+            return [(a, 1 - r["y"], r["y"]) for a in at.astype(np.int64).tolist()]
 
         return step
 
