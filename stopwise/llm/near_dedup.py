@@ -3,11 +3,14 @@
 A document's set are its distinct runs of five words.  Its sketch keeps the ``K`` smallest hashes of one hash function.
 
 * Rows with equal sets are one class from the start.
-* Inverted lists are kept for runs of ``RUN`` retained values that are next to each other in hash order.  Two sets that
-  share three quarters of their union must share such a run when their sketches hold the whole sets (each foreign value
-  breaks at most three of the runs; sets of up to eight use runs of two), and miss it with a chance below one in a million
-  when not.  A value that very many documents share makes no long list, since its neighbours differ.
-* A list brings forth links between each member and one pivot per round, not all pairs.  Pairs are filtered by the overlap
+* Inverted lists hold retained values.  A set enters the lists of the first values of its sketch only, in an order that puts
+  values of very many documents last: of n values, the first n - ceil(0.75 n) + 1 must hold a common one when three quarters
+  of the union are shared.  Sets of ``HALF`` values or more enter ``HALF`` lists, half of the sketch, so a pair is missed
+  only when the sketches differ four standard deviations more than expected.
+* The values in that last group are those in more than a ``FREQUENT``-th part of all retained ones, so there are at most
+  ``FREQUENT`` of them whatever the input, and they can be broadcast.
+* A list brings forth links between each member and one pivot per round, not all pairs, and each member is compared with the
+  ``PARTNERS`` pivots it shares most lists with.  Pairs are filtered by the overlap
   estimated from the union of both sketches, then confirmed on the full sets.  Rounds go on with other pivots while some
   list holds more than one component; members of one component need no comparison any more.  When rounds stop merging, all
   remaining pairs between different components of a list are compared, so no link between components is lost.
@@ -21,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,8 +33,11 @@ from stopwise.llm.store import keep, map_rows, raw_text
 
 WORDS = 5
 K = 64
-RUN = 3
+HALF = 32
+FREQUENT = 1 << 19
+LEAST_FREQUENT = 8
 ROUNDS = 6
+PARTNERS = 4
 #: Estimates this low are no links; the error of an estimate from 64 values is about 0.054 at 0.75.
 LEAST_ESTIMATE = 0.5
 
@@ -47,14 +53,14 @@ def set_digest(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-def list_keys(sketch: np.ndarray, size: int) -> np.ndarray:
-    """Keys of the inverted lists of a set: runs of neighbours in its sketch."""
-    runs = []
-    if size <= 11:
-        runs.append(bh.grams(sketch, min(2, size)))
-    if size >= 9:
-        runs.append(bh.grams(sketch, RUN))
-    return np.unique(np.concatenate(runs))
+def list_values(sketch: np.ndarray, size: int, frequent: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The values whose lists a set enters; ``frequent`` is sorted, ``weight`` is larger for more frequent values."""
+    heavy = np.zeros(len(sketch), weight.dtype)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, sketch), len(frequent) - 1)
+        heavy = np.where(frequent[at] == sketch, weight[at], heavy)
+    first = size - -(-3 * size // 4) + 1
+    return sketch[np.lexsort((sketch, heavy))[:max(first, HALF) if size >= HALF else first]]
 
 
 def sketched(docs: DataFrame) -> DataFrame:
@@ -80,14 +86,32 @@ def estimate(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
     return float(np.count_nonzero(both <= union[-1])) / len(union)
 
 
+def _frequent(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Retained values of very many sets with the binary logarithm of their number."""
+    rows = classes.select("sketch")
+
+    def make():
+        return lambda r: [(v,) for v in np.frombuffer(r["sketch"], np.int64).tolist()]
+
+    least = max(LEAST_FREQUENT, classes.count() * K // FREQUENT + 1)
+    found = map_rows(rows, make, "v long", 20_000).groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).toArrow()
+    values, n = found["v"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(values)
+    return values[order], np.log2(np.maximum(n[order], 1)).astype(np.int8)
+
+
 def _lists(classes: DataFrame) -> DataFrame:
     """Inverted lists with two members or more: ``key``, ``id``."""
+    shared_values = classes.sparkSession.sparkContext.broadcast(_frequent(classes))
+
     def make():
-        return lambda r: [(int(k), r["id"]) for k in list_keys(np.frombuffer(r["sketch"], np.uint64), r["n"]).view(np.int64)]
+        frequent, weight = shared_values.value
+        return lambda r: [(k, r["id"]) for k in list_values(
+            np.frombuffer(r["sketch"], np.uint64), r["n"], frequent, weight).view(np.int64).tolist()]
 
     kind = classes.schema["id"].dataType
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("id", kind)])
-    rows = map_rows(classes.select("id", "n", "sketch"), make, schema)
+    rows = map_rows(classes.select("id", "n", "sketch"), make, schema, 20_000)
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
     return keep(rows.join(shared, "key", "left_semi"))
 
@@ -146,11 +170,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _pivot_pairs(open_lists: DataFrame, salt: int) -> DataFrame:
-    """Each member of a list with the list's pivot, where both are in different components."""
-    pick = F.min(F.struct(F.xxhash64("id", F.lit(salt)).alias("o"), "id", "comp") if salt else F.struct(F.col("id").alias("o"), "id", "comp"))
-    pivots = open_lists.groupBy("key").agg(pick.alias("p")).select("key", F.col("p.id").alias("p"), F.col("p.comp").alias("pc"))
-    pairs = open_lists.join(pivots, "key").filter("pc <> comp")
-    return pairs.select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
+    """Each member with the pivots of its lists, those first that it shares most lists with, across components only."""
+    order = F.xxhash64("id", F.lit(salt)) if salt else F.col("id")
+    pivots = open_lists.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "comp")).alias("p")).select("key", F.col("p.id").alias("p"), F.col("p.comp").alias("pc"))
+    pairs = open_lists.join(pivots, "key").filter("pc <> comp").groupBy("id", "p").agg(F.count(F.lit(1)).alias("n"))
+    best = pairs.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "p"))).filter(F.col("k") <= PARTNERS)
+    return best.select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
 
 
 def _all_pairs(open_lists: DataFrame) -> DataFrame:
