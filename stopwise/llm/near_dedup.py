@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stopwise.llm import bytehash as bh
-from stopwise.llm.store import keep, map_rows, raw_text
+from stopwise.llm.store import keep, map_rows, raw_text, text_key
 
 WORDS = 5
 K = 64
@@ -83,15 +83,15 @@ def sketched(docs: DataFrame) -> DataFrame:
         def step(r):
             s = shingles(r["raw"])
             if not len(s):
-                return [(r["doc_id"], 0, None, None, *[None] * len(SIGNATURE))]
-            return [(r["doc_id"], len(s), set_digest(s), s[:K].tobytes(), *signature(s))]
+                return [(r["doc_id"], r["t"], 0, None, None, *[None] * len(SIGNATURE))]
+            return [(r["doc_id"], r["t"], len(s), set_digest(s), s[:K].tobytes(), *signature(s))]
 
         return step
 
     kind = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", kind)] + T.StructType.fromDDL(
-        "n long, digest binary, sketch binary, " + ", ".join(f"{c} long" for c in SIGNATURE)).fields)
-    return map_rows(docs.select("doc_id", raw_text().alias("raw")), make, schema)
+        "t binary, n long, digest binary, sketch binary, " + ", ".join(f"{c} long" for c in SIGNATURE)).fields)
+    return map_rows(docs.select("doc_id", text_key().alias("t"), raw_text().alias("raw")), make, schema)
 
 
 def estimate(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
@@ -147,14 +147,14 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return map_rows(both.select("a", "b", "s_a", "s_b"), make, pairs.schema)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs with 100 * intersection >= 75 * union on the full sets."""
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("members").alias(f"m_{x}"))
+    side = lambda x: texts.select(F.col("id").alias(x), F.col("raw").alias(f"m_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def make():
         def step(r):
-            a, b = (np.frombuffer(r[x], np.uint64) for x in ("m_a", "m_b"))
+            a, b = shingles(r["m_a"]), shingles(r["m_b"])
             common = len(np.intersect1d(a, b, assume_unique=True))
             return [(r["a"], r["b"])] if 100 * common >= 75 * (len(a) + len(b) - common) else []
 
@@ -225,21 +225,10 @@ def _open(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     return keep(told.join(many, "key", "left_semi"))
 
 
-def _full_sets(docs: DataFrame, classes: DataFrame, lists: DataFrame) -> DataFrame:
-    """``id, members`` (all hashes) of the classes in the lists, from the text of one row each."""
-    wanted = classes.join(lists.select("id").distinct(), "id", "left_semi").select("id", "digest", F.col("doc_id").alias("wanted"))
-    texts = docs.select("doc_id", raw_text().alias("raw"))
-    texts = texts.join(wanted.select("wanted").distinct(), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
-
-    def make():
-        def step(r):
-            s = shingles(r["raw"])
-            return [(set_digest(s), s.tobytes())] if len(s) else []
-
-        return step
-
-    sets = map_rows(texts.select("raw"), make, "digest binary, members binary", 200)
-    return keep(sets.join(wanted, "digest").select("id", "members").dropDuplicates(["id"]))
+def _texts(docs: DataFrame, classes: DataFrame, lists: DataFrame) -> DataFrame:
+    """``id, raw`` of the classes in the lists: the text of one row each, which is smaller than its set of hashes."""
+    wanted = classes.join(lists.select("id").distinct(), "id", "left_semi").select("id", "t")
+    return keep(docs.select(text_key().alias("t"), raw_text().alias("raw")).join(wanted, "t").dropDuplicates(["t"]).select("id", "raw"))
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
@@ -247,7 +236,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
     lists = _lists(classes)
     if lists.isEmpty():
         return None
-    sets = _full_sets(docs, classes, lists)
+    texts = _texts(docs, classes, lists)
     linked = tested = labels = None
     salt = 0
     while True:
@@ -261,7 +250,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = keep(pairs)
-        found = keep(_confirmed(_estimated(pairs, classes), sets))
+        found = keep(_confirmed(_estimated(pairs, classes), texts))
         if not found.isEmpty():
             linked = found if linked is None else linked.unionByName(found)
             labels = components(linked)
@@ -278,7 +267,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     rows = keep(sketched(docs).withColumn("row", F.monotonically_increasing_id()))
     classes = keep(rows.filter("n > 0").groupBy("digest").agg(
-        F.min("row").alias("id"), F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "sketch", *SIGNATURE)]))
+        F.min("row").alias("id"), F.min("doc_id").alias("doc_id"), F.min("t").alias("t"), *[F.first(c).alias(c) for c in ("n", "sketch", *SIGNATURE)]))
     labels = links(docs, classes)
     named = classes.select("digest", "doc_id", F.col("id").alias("comp"))
     if labels is not None:
