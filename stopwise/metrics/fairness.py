@@ -69,11 +69,11 @@ def by_attribute(df: DataFrame, y: str, yhat: str, attributes: Sequence[str]) ->
     per = c.groupBy("attribute").agg(
         (F.max("rate") - F.min("rate")).alias("disparity"), F.when(F.max("rate") > 0, F.min("rate") / F.max("rate")).otherwise(1.0).alias("ratio"),
         (F.max("tpr") - F.min("tpr")).alias("tpr_disparity"), (F.max("fpr") - F.min("fpr")).alias("fpr_disparity"),
-        F.min_by("rate", "value").alias("privileged_rate"), F.min("value").alias("privileged_group"),
-        F.sort_array(F.collect_list(F.struct("value", "rate"))).alias("_rates"))
-    others = F.transform(F.slice("_rates", 2, 1_000_000), lambda x: x["rate"])
-    low = F.when(F.col("privileged_rate") > 0, F.array_min(others) / F.col("privileged_rate")).otherwise(1.0)
-    return per.withColumn("min_impact_ratio", F.coalesce(low, F.lit(1.0))).drop("_rates").withColumns({
+        F.min_by("rate", "value").alias("privileged_rate"), F.min("value").alias("privileged_group"))
+    others = c.join(per.select("attribute", "privileged_group"), "attribute").filter("value <> privileged_group") \
+        .groupBy("attribute").agg(F.min("rate").alias("_low"))
+    low = F.when(F.col("privileged_rate") > 0, F.col("_low") / F.col("privileged_rate")).otherwise(1.0)
+    return per.join(others, "attribute", "left").withColumn("min_impact_ratio", F.coalesce(low, F.lit(1.0))).drop("_low").withColumns({
         "demographic_parity": F.col("disparity") < 0.1,
         "equalized_odds": (F.col("tpr_disparity") < 0.1) & (F.col("fpr_disparity") < 0.1),
         "disparate_impact": F.col("min_impact_ratio") >= 0.8})

@@ -104,17 +104,17 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, iterations: int | None = Non
     return ranks.select("node", F.col("rank").alias("pagerank"))
 
 
-def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Weakly connected components: node and the smallest id of its component.
 
     Each round takes the smallest label among the neighbours and then follows the label one step, so long chains
-    shrink quickly.
+    shrink quickly; rounds go on until no label changes.
     """
     both = edges.select("src", "dst").union(edges.select("dst", "src")).filter("src <> dst").distinct()
     both = cut_lineage(both)
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     labels = cut_lineage(nodes.withColumn("label", F.col("node")))
-    for _ in range(max_rounds):
+    while True:
         seen = lookup(both, labels.select(F.col("node").alias("dst"), "label"), ["dst"], F.xxhash64("src"))
         low = seen.groupBy(F.col("src").alias("node")).agg(F.min("label").alias("_low"))
         step = lookup(labels, low, ["node"]).select("node", "label", F.least("label", F.coalesce("_low", "label")).alias("_new"))
@@ -123,8 +123,7 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
             "node", F.col("label").alias("_old"), F.least("_new", F.coalesce("_far", "_new")).alias("label")))
         labels = fresh.drop("_old")
         if fresh.filter("label <> _old").isEmpty():
-            break
-    return labels.select("node", F.col("label").alias("component"))
+            return labels.select("node", F.col("label").alias("component"))
 
 
 def graph_report(edges: DataFrame, nodes: DataFrame, node: str = "stop_id") -> DataFrame:

@@ -128,10 +128,10 @@ def risk_label(target: Column, confidence: Column | None = None) -> Column:
     return F.when(target == 1, "high").otherwise("low")
 
 
-def pick_features(df: DataFrame, exclude: tuple[str, ...] = (), limit: int = 40) -> list[str]:
-    """Numeric feature columns in schema order: no ids, targets, labels, text or clocks; the first ``limit``."""
+def pick_features(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
+    """All numeric feature columns in schema order: no ids, targets, labels, text or clocks."""
     numeric = {"double", "float", "int", "bigint", "smallint", "tinyint", "boolean"}
     banned = ("target", "disruption_type", "disruption_class", "severity_score", "timestamp")
     return [name for name, kind in df.dtypes
             if kind in numeric and name not in exclude and not name.endswith("_id")
-            and not any(word in name for word in banned)][:limit]
+            and not any(word in name for word in banned)]

@@ -85,10 +85,10 @@ def read_feed_tree(spark: SparkSession, folder: str, max_files: int | None = Non
 
 
 def read_three_feeds(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The first three parquet folders or files by name, bound to vehicle positions, trip updates and alerts."""
+    """Exactly three parquet folders or files, bound by name order to vehicle positions, trip updates and alerts."""
     paths = _files(spark, folder, ".parquet")
     tops = sorted({folder.rstrip("/") + "/" + p.split(folder.rstrip("/") + "/", 1)[-1].split("/", 1)[0] for p in paths})
-    if len(tops) < 3:
+    if len(tops) != 3:
         raise FileNotFoundError(f"three feeds are needed in {folder}, found {len(tops)}")
     return {k: spark.read.parquet(p) for k, p in zip(("vehicle_positions", "trip_updates", "alerts"), tops)}
 

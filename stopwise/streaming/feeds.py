@@ -35,9 +35,9 @@ def snapshots(stream: DataFrame, time: str = "feed_timestamp", width: str = "5 m
     one busy route is spread over tasks."""
     salted = stream.withWatermark(time, late).groupBy(
         F.window(time, width), "route_id", F.pmod(F.xxhash64("trip_id", time), F.lit(16)).alias("salt")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("delay_sec").alias("s"), F.max("delay_sec").alias("m"))
+        F.count(F.lit(1)).alias("n"), F.count("delay_sec").alias("c"), F.sum("delay_sec").alias("s"), F.max("delay_sec").alias("m"))
     return salted.groupBy(F.window(F.window_time("window"), width), "route_id").agg(
-        F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("route_delay_mean"), F.max("m").alias("route_delay_max")).select(
+        F.sum("n").alias("n"), F.try_divide(F.sum("s"), F.sum("c")).alias("route_delay_mean"), F.max("m").alias("route_delay_max")).select(
         F.col("window.start").alias("window_start"), "route_id", "n", "route_delay_mean", "route_delay_max")
 
 
