@@ -120,7 +120,7 @@ def with_running(
     on = F.col("_slot") == F.col("_h_slot")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_h_{k}"))
-    # One row per slot of a hot key, that is at most (rows / hot limit) + MAX_HOT rows.
+    # One row per slot of a hot key, that is at most two for every ``hot limit`` rows.
     rows = rows.join(F.broadcast(prefix), on, "left").drop("_h_slot", *[f"_h_{k}" for k in keys])
     spec = Window.partitionBy(*keys, "_slot").orderBy(*[F.col(c).desc() if descending else F.col(c).asc() for c in by])
     frame = spec.rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)

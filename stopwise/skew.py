@@ -2,9 +2,9 @@
 
 A key that holds a large share of the rows must never land in one task.  Three tools cover the library:
 
-* ``hot_keys``  finds the keys with more rows than one task should take.  The table is cut at ``MAX_HOT`` rows
-  (the largest first), so broadcasting it is bounded whatever the input size.
-* ``with_slots`` splits each hot key into consecutive slices of its order column; cold keys keep slot 0.
+* ``hot_keys``  finds the keys with more rows than one task should take, with the values at which each is cut.  There are
+  at most rows / limit such keys and twice as many cuts (one million for 10**12 rows), which bounds the broadcast.
+* ``with_slots`` splits each hot key into consecutive slices of about equally many rows; cold keys keep slot 0.
 * ``attach`` joins per-key totals back to the rows, spreading the rows of hot keys over several salts.
 """
 
@@ -12,14 +12,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 HOT_ROWS_CONF = "spark.stopwise.hotRows"
 DEFAULT_HOT_ROWS = 2_000_000
-MAX_HOT = 10_000
-SALTS = 64
+#: Quantiles a hot key is cut at; a key that needs more slices has each piece cut further into equal widths.
+GRID = 256
 
 
 def hot_limit(spark: SparkSession) -> int:
@@ -40,13 +42,12 @@ def position(df: DataFrame, name: str) -> Column | None:
         return F.col(name).cast("long")
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         return F.col(name).cast("double")
+    if isinstance(kind, T.StringType):
+        # Strings are ordered by their bytes; six of them fit a double exactly.
+        return F.conv(F.rpad(F.substring(F.hex(F.col(name)), 1, 12), 12, "0"), 16, 10).cast("long")
     return None
 
 
-def _continuous(df: DataFrame, name: str) -> bool:
-    return isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType))
-
-
 def _same(left: Sequence[Column], right: Sequence[Column]) -> Column:
     cond = F.lit(True)
     for a, b in zip(left, right):
@@ -55,52 +56,67 @@ def _same(left: Sequence[Column], right: Sequence[Column]) -> Column:
 
 
 def hot_keys(base: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Keys with too many rows for one task, with the range of their first two order columns.
+    """Keys with too many rows for one task: rows, slices needed and, with ``by``, the cuts along its first column.
 
-    Map-side partial aggregation keeps this pass cheap under skew; at most ``MAX_HOT`` rows come out.
+    Counting is partially aggregated before the shuffle.  Only rows of hot keys are read for the quantiles, so that pass is empty
+    when no key is hot.
     """
     limit = hot_limit(base.sparkSession)
-    spans = [(i, position(base, c)) for i, c in enumerate(by[:2])]
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    for i, pos in spans:
-        if pos is not None:
-            aggs += [F.min(pos).alias(f"_lo{i}"), F.max(pos).alias(f"_hi{i}")]
     renamed = [F.col(k).alias(f"_h_{k}") for k in keys]
-    stats = base.groupBy(*renamed).agg(*aggs)
-    return stats.filter(F.col("_n") > limit).orderBy(F.desc("_n"), *[f"_h_{k}" for k in keys]).limit(MAX_HOT)
+    heavy = base.groupBy(*renamed).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+    heavy = heavy.withColumn("_parts", F.ceil(F.col("_n") / F.lit(float(limit))).cast("long"))
+    first = position(base, by[0]) if by else None
+    if first is None:
+        return heavy
+    pos = F.nanvl(first.cast("double"), F.lit(None).cast("double"))
+    second = position(base, by[1]) if len(by) > 1 else None
+    aggs = [F.percentile_approx(pos, F.lit(np.arange(1, GRID) / GRID)).alias("_grid"), F.min(pos).alias("_lo0"), F.max(pos).alias("_hi0")]
+    if second is not None:
+        aggs += [F.min(second).cast("double").alias("_lo1"), F.max(second).cast("double").alias("_hi1")]
+    on = _same([F.col(k) for k in keys], [F.col(f"_h_{k}") for k in keys])
+    ids = [f"_h_{k}" for k in keys]
+    cut = base.join(F.broadcast(heavy), on).groupBy(*ids, "_n", "_parts").agg(*aggs)
+    pieces = F.least(F.col("_parts"), F.lit(GRID))
+    every = F.when(pieces > 1, F.sequence(F.lit(1).cast("long"), pieces - 1))
+    at = F.transform(every, lambda i: F.get("_grid", F.round(i * GRID / pieces).cast("int") - 1))
+    return cut.withColumn("_cuts", F.when(F.col("_grid").isNotNull(), at)).drop("_grid")
 
 
-def _slice(pos: Column, lo: Column, hi: Column, parts: Column, unit: float) -> Column:
-    span = hi.cast("double") - lo.cast("double") + unit
-    share = F.try_divide((pos.cast("double") - lo.cast("double")) * parts, span)
+def _slice(pos: Column, lo: Column, hi: Column, parts: Column) -> Column:
+    """Number of the equal-width slice from 0 to ``parts`` - 1, 0 without a position."""
+    share = F.try_divide((pos - lo) * parts, hi - lo)
     raw = F.floor(F.coalesce(share, F.lit(0.0))).cast("long")
-    return F.coalesce(F.greatest(F.lit(0), F.least(raw, parts.cast("long") - 1)), F.lit(0)).cast("long")
+    return F.coalesce(F.greatest(F.lit(0), F.least(raw, parts - 1)), F.lit(0)).cast("long")
 
 
 def with_slots(df: DataFrame, hot: DataFrame, keys: Sequence[str], by: Sequence[str], how: str = "left") -> DataFrame:
     """Add ``_slot``: slices of a hot key in order, 0 for the others (``how='inner'`` keeps hot rows only).
 
-    Slot numbers never decrease along ``by``.  When the first order column has fewer values than slices are needed,
-    each of its values is sliced further along the second order column.
+    Slot numbers never decrease along ``by``.  Slices end at quantiles of the first order column, so they hold about
+    equally many rows however its values lie.  A value that fills several slices is sliced further along the second
+    order column.  Rows without a value are in slot 0; keys whose order column has no numeric form stay whole.
     """
-    limit = float(hot_limit(df.sparkSession))
     on = _same([F.col(k) for k in keys], [F.col(f"_h_{k}") for k in keys])
     joined = df.join(F.broadcast(hot), on, how)
-    parts = F.ceil(F.col("_n") / F.lit(limit)).cast("double")
-    first = position(df, by[0])
-    if first is None:
-        raise TypeError(f"cannot slice a hot key along {by[0]}")
-    whole = not _continuous(df, by[0])
-    second = position(df, by[1]) if len(by) > 1 and whole else None
-    values = F.col("_hi0").cast("double") - F.col("_lo0").cast("double") + 1.0
-    outer = F.least(parts, values) if whole else parts
-    slot = _slice(first, F.col("_lo0"), F.col("_hi0"), outer, 1.0 if whole else 0.0)
-    if second is not None and not _continuous(df, by[1]):
-        inner = F.when(values < parts, F.ceil(parts / values).cast("double")).otherwise(F.lit(1.0))
-        slot = slot * inner.cast("long") + _slice(second, F.col("_lo1"), F.col("_hi1"), inner, 1.0)
-    slot = F.when(F.col("_n").isNull(), F.lit(0)).otherwise(slot).cast("long")
-    drop = [f"_h_{k}" for k in keys] + ["_n"] + [c for c in hot.columns if c.startswith(("_lo", "_hi"))]
-    return joined.withColumn("_slot", slot).drop(*drop)
+    if "_cuts" in hot.columns:
+        pos = position(df, by[0]).cast("double")
+        sub = F.ceil(F.col("_parts") / GRID)
+        # Columns of their own, because they are used several times.
+        joined = joined.withColumns({"_below": F.size(F.filter("_cuts", lambda c: c < pos)).cast("long"),
+                                     "_equal": F.size(F.filter("_cuts", lambda c: c == pos)).cast("long")})
+        below, equal = F.col("_below"), F.col("_equal")
+        lo = F.when(below == 0, F.col("_lo0")).otherwise(F.get("_cuts", below.cast("int") - 1))
+        hi = F.coalesce(F.get("_cuts", below.cast("int")), F.col("_hi0"))
+        inside = _slice(pos, lo, hi, sub)
+        # A value at a cut starts in the last slice below the cut and ends in the first one above it.
+        tied = sub - 1
+        if "_lo1" in hot.columns:
+            tied = tied + _slice(position(df, by[1]).cast("double"), F.col("_lo1"), F.col("_hi1"), (equal - 1) * sub + 2)
+        slot = below * sub + F.when(equal > 0, tied).otherwise(inside)
+        slot = F.when(F.col("_cuts").isNull() | pos.isNull(), F.lit(0)).otherwise(slot).cast("long")
+    else:
+        slot = F.lit(0).cast("long")
+    return joined.withColumn("_slot", slot).drop(*hot.columns, "_below", "_equal")
 
 
 def attach(
@@ -113,7 +129,7 @@ def attach(
 ) -> DataFrame:
     """Left-join one row per key back to the rows without putting a hot key into one task.
 
-    Rows of hot keys take one of ``SALTS`` salts and the matching total is repeated once per salt; every other key
+    Rows of a hot key take one of rows / limit salts and the matching total is repeated once per salt; every other key
     has salt 0.  ``spread`` is any well-spread expression of a row (its id); ``base`` a cheaper frame with the same
     key counts.  Null keys never match, and are salted as well so that they do not pile up.
 
@@ -122,23 +138,22 @@ def attach(
     """
     keys = list(keys)
     spread = spread if spread is not None else F.xxhash64(*[c for c in df.columns if c not in keys] or keys)
-    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
+    mixed = F.xxhash64(spread)
     any_null = F.lit(False)
     for k in keys:
         any_null = any_null | F.col(k).isNull()
     if instant:
-        left = df.withColumn("_salt", F.when(any_null, salt).otherwise(F.lit(0)))
-        return left.join(totals.withColumn("_salt", F.lit(0)), [*keys, "_salt"], "left").drop("_salt")
+        left = df.withColumn("_salt", F.when(any_null, mixed).otherwise(F.lit(0)))
+        return left.join(totals.withColumn("_salt", F.lit(0).cast("long")), [*keys, "_salt"], "left").drop("_salt")
     source = base if base is not None else df
     hot = hot_keys(source.select(*keys), keys)
     on = _same([F.col(k) for k in keys], [F.col(f"_h_{k}") for k in keys])
-    flags = hot.select(*[f"_h_{k}" for k in keys], F.lit(True).alias("_is_hot"))
-    left = df.join(F.broadcast(flags), on, "left")
-    left = left.withColumn("_salt", F.when(F.col("_is_hot") | any_null, salt).otherwise(F.lit(0)))
-    left = left.drop("_is_hot", *[f"_h_{k}" for k in keys])
-    right = totals.join(F.broadcast(flags), on, "left")
-    copies = F.when(F.col("_is_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    right = right.withColumn("_salt", F.explode(copies)).drop("_is_hot", *[f"_h_{k}" for k in keys])
+    left = df.join(F.broadcast(hot), on, "left")
+    left = left.withColumn("_salt", F.when(any_null, mixed).otherwise(F.coalesce(F.pmod(mixed, F.col("_parts")), F.lit(0))))
+    left = left.drop(*hot.columns)
+    right = totals.join(F.broadcast(hot), on, "left")
+    copies = F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1)
+    right = right.withColumn("_salt", F.explode(copies)).drop(*hot.columns)
     return left.join(right, [*keys, "_salt"], "left").drop("_salt")
 
 

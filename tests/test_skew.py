@@ -35,6 +35,21 @@ def test_equal_clocks_are_split_along_the_second_column(spark, split_keys):
     assert slots.select("_slot").distinct().count() >= 8
 
 
+@pytest.mark.parametrize("value", [
+    "case when id = 7 then 1e12 else exp(4 * randn(5)) end",  # log-normal and one outlier
+    "cast(case when id % 20 = 0 then id * 1000000 else 7000000 + id % 3600 end as bigint)",  # one busy hour
+    "lpad(cast(id as string), 6, '0')"])
+@pytest.mark.parametrize("limit", [100, 1000])
+def test_slots_hold_about_equally_many_rows(spark, split_keys, value, limit):
+    """Also with more slices than quantiles (limit 100: 300 of them, over 256 cuts), if loosely."""
+    spark.conf.set("spark.stopwise.hotRows", str(limit))
+    df = spark.range(30_000).selectExpr("'a' as key", f"{value} as first", "id as second").cache()
+    slots = with_slots(df, hot_keys(df, ["key"], ["first", "second"]), ["key"], ["first", "second"])
+    back = F.lag("_slot").over(Window.partitionBy("key").orderBy("first", "second")) > F.col("_slot")
+    assert slots.withColumn("b", back).filter("b").count() == 0
+    assert slots.groupBy("_slot").count().agg(F.max("count")).first()[0] <= 2 * limit
+
+
 @pytest.mark.parametrize("back,ahead", [(7, 0), (0, 4), (7, 4)])
 def test_row_frames(skewed, split_keys, back, ahead):
     def cols(w):
