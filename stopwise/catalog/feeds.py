@@ -52,7 +52,7 @@ MERGED = """
 m AS (
   SELECT vp.*, tu1.delay, tu1.arrival_delay, tu1.arrival_time, al1.cause, al1.effect, al1.description_text
   FROM vp LEFT JOIN (SELECT * FROM tu WHERE trip_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY trip_id
-    ORDER BY retrieved_at DESC, entity_id, coalesce(CAST(CAST(stop_sequence AS DOUBLE) AS VARCHAR), '')) = 1) tu1 USING (trip_id)
+    ORDER BY retrieved_at DESC, entity_id, CAST(stop_sequence AS DOUBLE) NULLS LAST) = 1) tu1 USING (trip_id)
   LEFT JOIN (SELECT * FROM ie QUALIFY row_number() OVER (PARTITION BY route_id ORDER BY retrieved_at DESC, entity_id) = 1) al1
     ON vp.route_id = al1.route_id)"""
 add("join01_03_prj02_03_06_merge",

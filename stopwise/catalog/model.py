@@ -35,7 +35,7 @@ add("grf03_route_stop_edges", "src dst n:i",
     lambda s, d: graph.route_stop_edges(views.stop_times(s, d), views.trips(s, d)).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")),
     "SELECT route_id AS src, stop_id AS dst, count(*) AS n FROM stop_times JOIN trips USING (trip_id) GROUP BY 1, 2", "stop_times trips")
 
-add("grf04_node_index", "stop_id node_idx:i", lambda s, d: graph.node_index(views.stop_times(s, d), "stop_id", 1),
+add("grf04_node_index", "stop_id node_idx:i", lambda s, d: graph.node_index(views.stop_times(s, d), "stop_id"),
     "SELECT stop_id, row_number() OVER (ORDER BY stop_id) - 1 AS node_idx FROM (SELECT DISTINCT stop_id FROM stop_times)", "stop_times")
 
 _PR = """deg AS (SELECT src, count(*) AS o FROM edges GROUP BY 1), nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges),

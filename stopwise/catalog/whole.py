@@ -118,9 +118,9 @@ add("snk_partitioned_days", "service_date n:i", by_day,
 
 BAD = "CAST(disruption_type <> 'ON_TIME' AS INT)"
 add("cmp01_ingest", "entity_id trip_id delay_sec:f alert_cause",
-    lambda s, d: features.ingest({"vehicle_positions": vp(s, d).filter("current_status = 0"), "trip_updates": tu(s, d), "alerts": al(s, d)},
-                                 {"vehicle_positions": vp(s, d).filter("current_status <> 1")}),
-    """SELECT entity_id, trip_id, arrival_delay AS delay_sec, cause AS alert_cause FROM m WHERE current_status <> 1""", "obs feeds",
+    lambda s, d: features.ingest({"vehicle_positions": vp(s, d).filter("current_status <= 1"), "trip_updates": tu(s, d), "alerts": al(s, d)},
+                                 {"vehicle_positions": vp(s, d).filter("current_status >= 1")}),
+    """SELECT entity_id, trip_id, arrival_delay AS delay_sec, cause AS alert_cause FROM m""", "obs feeds",
     ctes=MERGED)
 
 add("cmp02_build_features",

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stopwise.operators.quantiles import quantiles
+from stopwise.ordered import with_running
 from stopwise.skew import attach, lookup
 
 CLIP = 1e15
@@ -19,14 +20,12 @@ def long_form(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.select(pairs.alias("p")).select("p.*").filter("v is not null and not isnan(v)")
 
 
-def category_codes(train: DataFrame, columns: Sequence[str], max_values: int = 100) -> DataFrame:
-    """(feature, value, code) with codes in value order; features with too many values are left out."""
+def category_codes(train: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, value, code) with codes in value order, for however many values a feature has."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in columns]))
     values = train.select(pairs.alias("p")).select("p.*").filter("value is not null").distinct()
-    sizes = values.groupBy("feature").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") <= max_values)
-    kept = values.join(F.broadcast(sizes), "feature").drop("_n")
-    # At most ``max_values`` rows per feature from here on.
-    return kept.withColumn("code", F.row_number().over(Window.partitionBy("feature").orderBy("value")) - 1)
+    found = with_running(values, ["feature"], ["value"], {"code": ("count", F.lit(1))})
+    return found.withColumn("code", (F.col("code") - 1).cast("int"))
 
 
 def ordinal_encode(df: DataFrame, codes: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -47,16 +47,20 @@ def route_stop_edges(stop_times: DataFrame, trips: DataFrame) -> DataFrame:
         "route_id is not null").select(F.col("route_id").alias("src"), F.col("stop_id").alias("dst"))
 
 
-def node_index(nodes: DataFrame, node: str, prefix: int = 4) -> DataFrame:
-    """Dense 0-based index in id order.  Ids are ranked within their leading characters and shifted by the number of
-    ids with smaller leading characters, so the ranking runs in parallel."""
-    ids = nodes.select(node).filter(F.col(node).isNotNull()).distinct().withColumn("_p", F.substring(node, 1, prefix))
-    sizes = ids.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    # One row per prefix; the running total over this small table is the only ordered step over all groups.
+def node_index(nodes: DataFrame, node: str) -> DataFrame:
+    """Dense 0-based index in id order.
+
+    The distinct ids are sorted in ranges and written once with their place in the range; the index is that place plus the number
+    of ids in earlier ranges, so no task sees more than one range, whatever the ids begin with.
+    """
+    ids = nodes.select(node).filter(F.col(node).isNotNull()).distinct().orderBy(node)
+    placed = cut_lineage(ids.withColumn("_at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    # One row per range.
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     shift = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy(node)) - 1
-    return lookup(ids, shift, ["_p"], F.xxhash64(node)).select(node, (rank + F.col("_shift")).cast("long").alias("node_idx"))
+    return placed.withColumn("_p", part).join(F.broadcast(shift), "_p").select(node, (place + F.col("_shift")).alias("node_idx"))
 
 
 def two_hop(edges: DataFrame) -> DataFrame:
@@ -147,8 +151,8 @@ def largest_component(edges: DataFrame) -> DataFrame:
     return inside.filter("component is not null").drop("component")
 
 
-def betweenness(edges: DataFrame, sources: int = 2000, seed: int = 42, directed: bool = False, lcc: bool = True) -> DataFrame:
-    """Betweenness centrality from shortest paths out of sampled source nodes, scaled to all of them.
+def betweenness(edges: DataFrame, sources: int | None = None, seed: int = 42, directed: bool = False, lcc: bool = True) -> DataFrame:
+    """Betweenness centrality from shortest paths out of all nodes, or of ``sources`` sampled ones and scaled to all.
 
     State is one row per (source, reached node).  The search front advances one level per round, path counts are
     summed by node, and the dependencies are collected level by level on the way back.  With as many sources as
@@ -161,8 +165,8 @@ def betweenness(edges: DataFrame, sources: int = 2000, seed: int = 42, directed:
     links = cut_lineage(links.distinct())
     nodes = cut_lineage(links.select(F.col("src").alias("node")).union(links.select("dst")).distinct())
     n = nodes.count()
-    k = min(sources, n)
-    picked = nodes.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(k)
+    k = n if sources is None else min(sources, n)
+    picked = nodes if k == n else nodes.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(k)
     visited = cut_lineage(picked.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(0).alias("d"),
                                         F.lit(1.0).alias("sigma")))
     levels = [visited]
@@ -196,7 +200,7 @@ def betweenness(edges: DataFrame, sources: int = 2000, seed: int = 42, directed:
     return nodes.join(sums, "node", "left").select("node", (F.coalesce("dep", F.lit(0.0)) * scale).alias("betweenness_centrality"))
 
 
-def centrality_features(df: DataFrame, stop_times: DataFrame, sources: int = 2000, spread: str = "obs_id") -> DataFrame:
+def centrality_features(df: DataFrame, stop_times: DataFrame, sources: int | None = None, spread: str = "obs_id") -> DataFrame:
     """Betweenness with its log form, PageRank and network load on the observation rows."""
     edges = cut_lineage(sequence_edges(stop_times))
     bc = betweenness(edges, sources).withColumnRenamed("node", "stop_id")

@@ -17,11 +17,15 @@ LATEST = "latest"
 
 
 def _latest_first(df: DataFrame) -> list[Column]:
-    """Order that puts the newest row first: retrieval or update time, then the remaining identity columns."""
+    """Order that puts the newest row first: retrieval or update time, then the identity columns; stops in number
+    order, rows without a number last."""
     order = [F.coalesce(-F.unix_micros(c), F.lit(0)) for c in ("retrieved_at", "trip_update_timestamp")
              if c in df.columns and dict(df.dtypes)[c] == "timestamp"]
-    return order + [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("entity_id", "stop_sequence", "stop_id")
-                    if c in df.columns]
+    last = F.lit(float("inf"))
+    ties = {"entity_id": F.coalesce(F.col("entity_id").cast("string"), F.lit("")),
+            "stop_sequence": F.coalesce(F.col("stop_sequence").cast("double"), last),
+            "stop_id": F.coalesce(F.col("stop_id").cast("string"), F.lit(""))}
+    return order + [value for name, value in ties.items() if name in df.columns]
 
 
 def new_columns(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

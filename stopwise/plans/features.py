@@ -142,7 +142,7 @@ def family_features(df: DataFrame, dims: dict[str, DataFrame] | None = None, on:
     return out
 
 
-def network_features(df: DataFrame, stop_times: DataFrame, sources: int = 2000) -> DataFrame:
+def network_features(df: DataFrame, stop_times: DataFrame, sources: int | None = None) -> DataFrame:
     """Headway profile, calendar, centrality and disruption load."""
     base = base_of(df)
     out = clock.holiday_features(temporal.headway_profile(df, base=base), "feed_timestamp")

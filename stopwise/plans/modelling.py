@@ -59,8 +59,9 @@ def align_streams(df: DataFrame, keys: Sequence[str] = ("route_id",), minutes: i
 
 
 def select_features(df: DataFrame, features: Sequence[str], target: str, protected: Sequence[str] = (), corr: float = 0.95,
-                    variance: float = 0.01, top: int = 20) -> DataFrame:
-    """(feature, selected): passes the correlation and variance filters and is among the most informative, or is protected."""
+                    variance: float = 0.01, top: int | None = None) -> DataFrame:
+    """(feature, selected): passes the correlation and variance filters and, with ``top``, is among that many most
+    informative ones; or is protected."""
     c = prepare.correlation_filter(df, features, corr).select("feature", F.col("keep").alias("corr_ok"))
     v = prepare.variance_filter(df, features, variance).select("feature", F.col("keep").alias("var_ok"))
     m = prepare.mutual_information(df, features, target, k=top).select("feature", F.lit(True).alias("mi_ok"))

@@ -68,16 +68,11 @@ def feed_kind(path_name):
             .when(name.contains("alert"), "alerts").otherwise("vehicle_positions"))
 
 
-def read_feed_tree(spark: SparkSession, folder: str, max_files: int | None = None) -> dict[str, DataFrame]:
-    """Three feed tables from a tree of parquet files, routed by file name (first ``max_files`` per folder)."""
+def read_feed_tree(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Three feed tables from a tree of parquet files, routed by file name."""
     groups: dict[str, list[str]] = {"vehicle_positions": [], "trip_updates": [], "alerts": []}
-    per_folder: dict[str, int] = {}
     for path in _files(spark, folder, ".parquet"):
-        parent, name = path.rsplit("/", 1)
-        per_folder[parent] = per_folder.get(parent, 0) + 1
-        if max_files and per_folder[parent] > max_files:
-            continue
-        low = name.lower()
+        low = path.rsplit("/", 1)[1].lower()
         kind = ("vehicle_positions" if "vehicle" in low or "position" in low else "trip_updates" if "trip" in low or "update" in low
                 else "alerts" if "alert" in low else "vehicle_positions")
         groups[kind].append(path)

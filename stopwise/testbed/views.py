@@ -274,14 +274,14 @@ ie AS (
 
 
 def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").filter(F.col("o_orderkey") % 20 == 0)
+    o = table(spark, sf_dir, "orders")
     return o.select((F.col("o_custkey") % 500).cast("string").alias("from_stop_id"),
                     F.when(F.col("o_orderkey") % 3 != 0, (F.col("o_orderkey") % 500).cast("string")).alias("to_stop_id"))
 
 
 TRANSFERS_SQL = """
 transfers AS (SELECT CAST(o_custkey % 500 AS VARCHAR) AS from_stop_id,
-  CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderkey % 500 AS VARCHAR) END AS to_stop_id FROM orders WHERE o_orderkey % 20 = 0)
+  CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderkey % 500 AS VARCHAR) END AS to_stop_id FROM orders)
 """
 
 
