@@ -131,8 +131,14 @@ def _lists(classes: DataFrame) -> DataFrame:
     return keep(rows.join(shared, "key", "left_semi"))
 
 
+def _needed(table: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows of a table by ``id`` that take part in stored pairs; few pairs are broadcast by their file size, and nothing else is shuffled."""
+    return table.join(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), "id", "left_semi")
+
+
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs whose estimate allows a link."""
+    classes = _needed(classes.select("id", "n", "sketch"), pairs)
     side = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b") \
         .filter("100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)")
@@ -149,6 +155,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs with 100 * intersection >= 75 * union on the full sets."""
+    texts = _needed(texts, pairs)
     side = lambda x: texts.select(F.col("id").alias(x), F.col("raw").alias(f"m_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
 
@@ -251,7 +258,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = keep(pairs)
-        found = keep(_confirmed(_estimated(pairs, classes), texts))
+        found = keep(_confirmed(keep(_estimated(pairs, classes)), texts))
         if not found.isEmpty():
             linked = found if linked is None else linked.unionByName(found)
             labels = components(linked)
