@@ -12,7 +12,7 @@ A document's set are its distinct runs of five words.  Its sketch keeps the ``K`
 * A list brings forth links between each member and one pivot per round, not all pairs, and each member is compared with the
   ``PARTNERS`` pivots it shares most lists with.  Pairs are filtered by the overlap
   estimated from the union of both sketches, then confirmed on the full sets.  Rounds go on with other pivots while some
-  list holds more than one component; members of one component need no comparison any more.  When rounds stop merging, all
+  list holds more than one component; members of one component need no comparison any more.  When rounds merge next to nothing, all
   remaining pairs between different components of a list are compared, so no link between components is lost.
 * Inside the lists a pair is passed on only if the sizes allow a link and the sets are close enough in a bit signature: sets
   of na and nb values with three quarters of their union in common differ in (na + nb) / 7 values at most, and never in more
@@ -41,6 +41,8 @@ HALF = 32
 FREQUENT = 1 << 19
 LEAST_FREQUENT = 8
 ROUNDS = 3
+#: A round of pivots that links fewer than this share of the linked sets is the last one before all pairs are compared.
+LEAST_MERGED = 0.01
 PARTNERS = 4
 SIGNED = 256
 SIGNATURE = [f"s{i}" for i in range(16)]
@@ -259,10 +261,11 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = keep(pairs)
         found = keep(_confirmed(keep(_estimated(pairs, classes)), texts))
-        if not found.isEmpty():
+        merged = found.count()
+        if merged:
             linked = found if linked is None else linked.unionByName(found)
             labels = components(linked)
-        elif salt:
+        if salt and (labels is None or merged < LEAST_MERGED * labels.count()):
             salt = ROUNDS
         if last:
             return labels
