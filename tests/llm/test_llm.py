@@ -136,6 +136,42 @@ def test_line_dedup(docs, rows):
     assert got[16].n_removed_lines > 0 and got[17].n_removed_lines > 0 == got[15].n_removed_lines
 
 
+def test_run_dedup(spark):
+    rng = random.Random(8)
+    pool = [" ".join(rng.choice("abcdefgh") for _ in range(rng.choice([0, 1, 2, 3, 5, 12, 14]))) for _ in range(60)]
+    passages = [rng.choices(pool, k=rng.randint(1, 6)) for _ in range(12)]
+    texts = []
+    for _ in range(60):
+        parts = [rng.choice(passages) if rng.random() < 0.5 else [words(rng, rng.randint(1, 15))] for _ in range(rng.randint(1, 6))]
+        texts.append("\n".join(x for p in parts for x in p))
+    texts += ["\n".join(["a b c d"] * 12), "x y\n" * 20, "\n" * 30 + pool[0], None, ""]
+    rows = [(i if i % 9 else None, t) for i, t in enumerate(texts)] + [(1, texts[1])]
+    key = lambda i, t: hashlib.md5(f"{'-' if i is None else i}:{t or ''}".encode()).digest()
+    first, want = {}, {}
+    for i, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, key(*r))):
+        if t is None:
+            want[i, t] = (None, 0)
+            continue
+        part, gone = t.split("\n"), set()
+        for a in range(len(part)):
+            for b in range(a + 1, len(part) + 1):
+                if sum(len(x.split()) for x in part[a:b]) > 10:
+                    owner, at = first.setdefault(tuple(part[a:b]), ((i, t), a))
+                    gone.update(range(a if owner != (i, t) else max(a, at + b - a) if at != a else b, b))
+        want[i, t] = ("\n".join(x for k, x in enumerate(part) if k not in gone), len(gone))
+    got = line_dedup.run_dedup(spark.createDataFrame([(i, t, t) for i, t in rows], "doc_id long, text string, before string"), 10).collect()
+    assert Counter((r.doc_id, r.before, r.text, r.n_removed_lines) for r in got) == Counter((i, t, *want[i, t]) for i, t in rows)
+    assert sum(n for _, n in want.values()) > 100
+
+
+def test_run_dedup_short_runs(spark):
+    rng = random.Random(9)
+    one, two = words(rng, 60), words(rng, 30) + "\n" + words(rng, 30)
+    texts = [one, two, "top\n" + one + "\nend", "top\n" + two + "\nend", two.split("\n")[0]]
+    got = {r.doc_id: r.text for r in line_dedup.run_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(5)] == [one, two, "top\nend", "top\nend", texts[4]]
+
+
 def test_decontaminate(spark, docs, rows):
     items = [(1, rows[8][1][:400]), (2, "One TWO three"), (3, None), (4, ""), (5, rows[11][1][3000:3900]), (5, rows[11][1][3000:3900])]
     cut = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", fold(t))
