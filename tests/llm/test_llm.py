@@ -213,6 +213,21 @@ def test_tokens(docs):
         spm_tokens.check_parity(f.read(), [r.text or "" for r in got], [r.ids for r in got])
 
 
+def test_tokens_space_runs(spark):
+    from sentencepiece import SentencePieceProcessor
+
+    with open(spm_tokens.MODEL, "rb") as f:
+        data = f.read()
+    texts = [a + " " * n + b for n in range(1, 201) for a, b in (("x", "y"), ("", "return"), ("end", ""), ("a\n", "\n7 "))]
+    texts += ["=" * n for n in range(1, 80)] + ["a" * n + "-" * n + "." * n for n in range(1, 80)]
+    want = SentencePieceProcessor(model_proto=data).encode(texts)
+    assert [e.ids for e in spm_tokens.build(data).encode_batch(texts, add_special_tokens=False)] == want
+    got = spm_tokens.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()
+    assert [r.ids for r in sorted(got, key=lambda r: r.doc_id)] == want and all(r.round_trip for r in got)
+    pieces = spm_tokens.piece_bytes(spm_tokens.parse(data))
+    assert [b"".join(pieces[i] for i in ids)[1:].decode() for ids in want] == spm_tokens.build(data).decode_batch(want, skip_special_tokens=False) == texts
+
+
 def test_segments():
     import numpy as np
     rng = np.random.default_rng(3)
