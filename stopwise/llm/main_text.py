@@ -3,8 +3,11 @@
 A page is parsed into a tree.  Every node gets its text length per tag, adjusted for links (text in links counts against it,
 scaled by the share of links in the whole body).  The sum of a node's child densities tells where many dense nodes stand side
 by side: the node with the largest sum is the seed of the article, and the smallest density between it and the body is the
-threshold; further subtrees outside the seed that reach the threshold and have the largest sums there belong to the
-article as well.  What a page marks as something else (menus, headers and footers of the page, sidebars, notices, adverts,
+threshold; further blocks outside the seed whose own density reaches the threshold belong to the article as well.  Sums and densities
+grow with the length of a block, so short parts of the article are kept by where they stand: a seed inside an article or main
+element is raised to the nearest one, and text blocks (headings, paragraphs, lists and what holds such) beside the way up to the
+main element, or to the body on pages with neither, are kept if at most a third of their text is in links.
+What a page marks as something else (menus, headers and footers of the page, sidebars, notices, adverts,
 forms, scripts, reader comments) is taken out before.
 
 Null and empty pages have an empty text.  Text without any tag is one block.
@@ -39,6 +42,7 @@ MARKED = re.compile(
     r"cookies|consent|gdpr|notice|notices|alert|sidebar|side|rail|widget|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|footer|"
     r"masthead|toolbar|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|comment|comments|commentlist|disqus|"
     r"respond|replies|discussion|pagination|pager|skip|hidden)(?:$|[\s_-]|\d)", re.I)
+TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre ul ol dl table figure".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -180,23 +184,29 @@ class Page:
         best = max(inside, key=lambda i: (sums[i], -i))
         if sums[best] <= 0:
             return [body]
-        threshold, at = density[best], best
-        path = {best}
+        threshold, at, path = density[best], best, [best]
         while at not in (body, -1, 0):
             at = self.parent[at]
-            path.add(at)
+            path.append(at)
             if at != 0:
                 threshold = min(threshold, density[at])
-        chosen, covered = [best], [False] * n
+        seed = next((i for i in path if self.tag[i] in ("article", "main")), best)
+        whole = next((i for i in path if self.tag[i] == "main"), body if seed == best and self.tag[seed] != "article" else seed)
+        ways = set(path[path.index(seed):])
+        beside = set(path[path.index(seed) + 1:path.index(whole) + 1])
+        textual = [t in TEXTUAL for t in self.tag]
+        for i in range(n - 1, 0, -1):
+            if textual[i] and not self.dropped[i] and self.chars[i]:
+                textual[self.parent[i]] = True
+        chosen, covered = [seed], [False] * n
         for i in range(n):
             up = self.parent[i]
-            covered[i] = i == best or (up >= 0 and covered[up])
-        for i in sorted(inside, key=lambda i: (-sums[i], i)):
-            up, free = i, i not in path and not covered[i]
-            while free and up > 0:
-                free = up not in chosen
-                up = self.parent[up]
-            if free and sums[i] > 0 and density[i] >= threshold and self.tag[i] not in INLINE and 4 * sums[i] >= sums[best]:
+            covered[i] = i == seed or (up >= 0 and covered[up])
+        for i in inside:  # in page order: parents before what they hold
+            if covered[i] or i in ways or self.tag[i] in INLINE:
+                continue
+            near = self.parent[i] in beside and textual[i] and 3 * self.link_chars[i] <= self.chars[i]
+            if near or density[i] >= threshold:
                 chosen.append(i)
         return chosen
 

@@ -263,6 +263,18 @@ def test_main_text(spark):
     assert got[1].n_chars == len(got[1].text)
 
 
+def test_main_text_short_parts():
+    rest = "<nav><a href=x>menu</a></nav>{}<div><ul><li><a href=y>more stories</a></ul></div><footer>end</footer>"
+    for n in (3, 5, 10, 11, 12, 20, 50, 100):
+        parts = ["Title", "Lead.", *(f"{i} " + "word " * 59 + "x" for i in range(n)), "Closing."]
+        body = "<h1>Title</h1><p>Lead.</p><div>" + "".join(f"<p>{x}</p>" for x in parts[2:-1]) + "</div><p>Closing.</p>"
+        sections = "<h1>Title</h1><section><h2>Lead.</h2></section><section>" + "".join(f"<p>{x}</p>" for x in parts[2:-1]) + "</section><section><p>Closing.</p></section>"
+        for inner in (body, sections):
+            for name in ("article", "main", "div"):
+                page = f"<html><body>{rest.format(f'<{name}>{inner}</{name}>')}</body></html>"
+                assert main_text.Page(page).text().split("\n") == parts, (n, name)
+
+
 def test_empty_tables(spark, empty):
     items = spark.createDataFrame([], "item_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
