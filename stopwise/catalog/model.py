@@ -55,9 +55,9 @@ def transfer_edges(s, d):
 add("grf05_pagerank", "node pagerank:f", lambda s, d: graph.pagerank(transfer_edges(s, d), iterations=5),
     "SELECT node, rank AS pagerank FROM r5", "transfers", digits=9, ctes=TEDGES + ",\n" + _PR)
 
-add("grf06_betweenness", "node betweenness_centrality:f", lambda s, d: graph.betweenness(transfer_edges(s, d), sources=32))
+add("grf06_betweenness", "node betweenness_centrality:f", lambda s, d: graph.betweenness(transfer_edges(s, d), sources=2000))
 add("grf06_10_high_centrality", "node betweenness_centrality:f", lambda s, d: graph.high_centrality(
-    graph.betweenness(transfer_edges(s, d), sources=16, directed=True, lcc=False), 0.0005))
+    graph.betweenness(transfer_edges(s, d), directed=True, lcc=False), 0.0005))
 
 # Breadth-limited closure: labels settle once every node has seen its component, which the recursion does with UNION.
 _COMP = TEDGES + """, both_ AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),

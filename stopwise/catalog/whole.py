@@ -156,7 +156,7 @@ add("cmp03_enrich", "obs_id sched_arr_sec:f route_trip_count:i stop_degree:i del
     lambda s, d: (lambda dims: features.enrich(merge.star_join(views.trip_obs(s, d), dims), dims))(views.dims(s, d)))
 
 add("cmp06_network_features", "obs_id:i actual_headway:f headway_mean:f network_disruption_load:f pagerank:f betweenness_centrality:f",
-    lambda s, d: features.network_features(lab(s, d), obs(s, d).select("trip_id", "stop_id", "stop_sequence").groupBy("trip_id", "stop_sequence").agg(F.min("stop_id").alias("stop_id")), 8))
+    lambda s, d: features.network_features(lab(s, d), obs(s, d).select("trip_id", "stop_id", "stop_sequence").groupBy("trip_id", "stop_sequence").agg(F.min("stop_id").alias("stop_id"))))
 
 add("cmp07_weather_features", "obs_id:i temperature:f weather_wind_strong:i weather_total_impact:f weather_impact_score:f weather_code_category",
     lambda s, d: features.weather_features(obs(s, d), views.weather(s, d)),

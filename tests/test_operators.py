@@ -186,3 +186,43 @@ def test_feed_tree_and_timetable(spark, tmp_path):
     assert tables["routes"].filter("route_type is null").count() == 1 and tables["stop_times"].count() == 0
     with pytest.raises(FileNotFoundError):
         readers.read_three_feeds(spark, str(tmp_path / "feeds"))
+
+
+def brandes(edges, directed):
+    """Betweenness over ordered pairs, by the single-source accumulation."""
+    links = {(a, b) for a, b in edges if a != b} | (set() if directed else {(b, a) for a, b in edges if a != b})
+    nodes, out = {x for e in links for x in e}, {}
+    for a, b in links:
+        out.setdefault(a, []).append(b)
+    total = dict.fromkeys(nodes, 0.0)
+    for s in nodes:
+        depth, paths, order, before = {s: 0}, {s: 1}, [], {}
+        queue = deque([s])
+        while queue:
+            v = queue.popleft()
+            order.append(v)
+            for w in out.get(v, []):
+                if w not in depth:
+                    depth[w] = depth[v] + 1
+                    queue.append(w)
+                if depth[w] == depth[v] + 1:
+                    paths[w] = paths.get(w, 0) + paths[v]
+                    before.setdefault(w, []).append(v)
+        share = dict.fromkeys(order, 0.0)
+        for w in reversed(order):
+            for v in before.get(w, []):
+                share[v] += paths[v] / paths[w] * (1 + share[w])
+            if w != s:
+                total[w] += share[w]
+    n = len(nodes)
+    return {v: x / ((n - 1) * (n - 2)) for v, x in total.items()}
+
+
+def test_registered_high_centrality_is_exact(spark, monkeypatch):
+    from stopwise.catalog import model
+
+    edges = [(f"n{i}", f"n{j}") for i in range(60) for j in ((i + 1) % 60, (i * 7 + 3) % 60) if i % 9]
+    monkeypatch.setattr(model, "transfer_edges", lambda s, d: s.createDataFrame(edges, "src string, dst string"))
+    got = {r["node"]: r["betweenness_centrality"] for r in model.CATALOG.queries["grf06_10_high_centrality"](spark, SF).collect()}
+    want = {v: x for v, x in brandes(edges, True).items() if x > 0.0005}
+    assert got.keys() == want.keys() and all(abs(got[v] - x) < 1e-5 for v, x in want.items())
