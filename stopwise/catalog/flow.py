@@ -83,12 +83,18 @@ add("ml04_cmp11_chain", "approach f1_macro:f hamming_loss:f subset_accuracy:f",
     lambda s, d: (lambda p: models.compare_chain(p[0], p[2], FEATURES, ["y", "y2"], numTrees=5, maxDepth=4))(parts(s, d)))
 add("ml08_search", "params value:f", lambda s, d: (lambda p: models.search(p[0], p[1], FEATURES, "y", "forest", {"numTrees": [4, 8], "maxDepth": [3, 5]}))(parts(s, d)))
 add("ml09_permutation_importance", "feature importance:f",
-    lambda s, d: (lambda p: models.permutation_importance(models.fit(p[0], FEATURES, "y", numTrees=5), p[2], FEATURES[:2], "y", "obs_id"))(parts(s, d)))
+    lambda s, d: (lambda p: models.permutation_importance(models.fit(p[0], FEATURES, "y", numTrees=5), p[2], FEATURES, "y", "obs_id"))(parts(s, d)))
 add("str06_07_score_stream", "window_start n:i mean_probability:f disruption_rate:f",
     lambda s, d: stream.replay(stream.prediction_stats(stream.score_stream(live(s, d), models.fit(parts(s, d)[0], FEATURES, "y", numTrees=5)))))
-add("ml03_simulation", "window_id:i model threshold:f val_f1:f f1:f",
-    lambda s, d: models.simulate(splits.rolling_windows(cut_lineage(stream.event_features(label.add_targets(lab(s, d)))), "event_ts", splits.Rolling(20, 4, 4)),
-                                 FEATURES[1:], "disruption_target", [0], ("forest",), numTrees=5))
+
+
+def simulation(s, d):
+    rows = splits.rolling_windows(cut_lineage(stream.event_features(label.add_targets(lab(s, d)))), "event_ts", splits.Rolling(20, 4, 4))
+    forest = models.simulate(rows, FEATURES[1:], "disruption_target", None, ("forest",), numTrees=5)
+    return forest.unionByName(models.simulate(rows, FEATURES[1:], "disruption_target", None, ("boosted",)))
+
+
+add("ml03_simulation", "window_id:i model threshold:f val_f1:f f1:f", simulation)
 add("ml07_neighbour_features", "obs_id:i speed_knn_mean:f speed_knn_std:f k_knn_mean:f",
     lambda s, d: neighbours.neighbour_features(obs(s, d).select("obs_id", "speed", "k"), split(s, d).filter("split = 'val'").select("obs_id", "speed", "k"), ["speed", "k"], "obs_id", 8))
 add("spl11_smote", "synthetic y:i n:i", lambda s, d: neighbours.smote(obs(s, d).withColumn("y", (F.col("value") > 220).cast("int")), ["speed", "value"], "y", "obs_id").groupBy("synthetic", "y").agg(

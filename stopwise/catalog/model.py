@@ -79,10 +79,14 @@ TWO = """hop2 AS (SELECT src, dst FROM edges WHERE src <> dst UNION SELECT a.src
 add("grf08_set05_two_hop", "src dst", lambda s, d: graph.two_hop(transfer_edges(s, d)), "SELECT * FROM hop2", "transfers", ctes=TEDGES + ",\n" + TWO)
 
 
-def obs_edges(s, d):
+def all_obs_edges(s, d):
     """Stop graph of the observations: consecutive stops of a trip."""
-    return graph.sequence_edges(obs(s, d).select("trip_id", "stop_id", "stop_sequence").groupBy("trip_id", "stop_sequence").agg(F.min("stop_id").alias("stop_id"))).filter(
-        "substring(src, 2) < substring(dst, 2)")
+    return graph.sequence_edges(obs(s, d).select("trip_id", "stop_id", "stop_sequence").groupBy("trip_id", "stop_sequence").agg(F.min("stop_id").alias("stop_id")))
+
+
+def obs_edges(s, d):
+    """The half of the stop graph that the check SQL takes."""
+    return all_obs_edges(s, d).filter("substring(src, 2) < substring(dst, 2)")
 
 
 OEDGES = """edges AS (SELECT DISTINCT src, dst FROM (SELECT stop_id AS src, lead(stop_id) OVER (PARTITION BY trip_id ORDER BY stop_sequence, stop_id) AS dst FROM (
@@ -92,6 +96,9 @@ add("grf09_network_load", "obs_id:i network_disruption_load:f network_load_norma
        SELECT src AS stop_id, sum(coalesce(sev, 0)) AS v FROM hop2 LEFT JOIN (SELECT stop_id AS dst, arg_max(severity_score, feed_us) AS sev FROM lab GROUP BY 1)
        USING (dst) GROUP BY 1) USING (stop_id)""", ctes=OEDGES + ",\n" + TWO)
 
+# The check SQL above takes half of the edges; this one takes all and has no SQL.
+add("grf09_network_load_all_edges", "obs_id:i network_disruption_load:f network_load_normalized:f", lambda s, d: graph.network_load(lab(s, d), all_obs_edges(s, d)))
+
 add("srt05_sample_trips", "trip_id stop_id", lambda s, d: graph.sample_trips(views.stop_times(s, d), 100))
 add("srt06_sample_rows", "event_id:i", lambda s, d: graph.sample_rows(table(s, d, "events"), "event_id", 200))
 
@@ -149,6 +156,10 @@ add("dq09_vehicles_without_updates", "entity_id trip_id",
     lambda s, d: quality.without_updates(feeds.vehicle_positions(views.messages(s, d)), feeds.trip_updates(views.messages(s, d)).filter("stop_sequence = 3")),
     "SELECT entity_id, trip_id FROM vp WHERE NOT EXISTS (SELECT 1 FROM tu WHERE tu.trip_id = vp.trip_id AND stop_sequence = 3)", "obs feeds")
 
+# The check SQL above tests against the updates of one stop; this one tests against all and has no SQL.
+add("dq09_vehicles_without_any_update", "entity_id trip_id",
+    lambda s, d: quality.without_updates(feeds.vehicle_positions(views.messages(s, d)), feeds.trip_updates(views.messages(s, d))))
+
 # ---------------------------------------------------------------- splits
 RANK = """rk AS (SELECT *, row_number() OVER (ORDER BY event_ts, obs_id) - 1 AS rank, count(*) OVER () AS n FROM lab),
 sp AS (SELECT *, CASE WHEN rank < floor(n * 0.7) THEN 'train' WHEN rank < floor(n * 0.85) THEN 'val' ELSE 'test' END AS split FROM rk)"""

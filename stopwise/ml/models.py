@@ -60,8 +60,10 @@ def fit_predict(train: DataFrame, val: DataFrame, test: DataFrame, features: Seq
     return score(model, test, threshold)
 
 
-def simulate(df: DataFrame, features: Sequence[str], label: str, windows: Sequence[int], kinds: Sequence[str] = ("forest", "boosted"), **params) -> DataFrame:
-    """Train, tune and test every model on each rolling window (long form of ``splits.rolling_windows``)."""
+def simulate(df: DataFrame, features: Sequence[str], label: str, windows: Sequence[int] | None = None, kinds: Sequence[str] = ("forest", "boosted"), **params) -> DataFrame:
+    """Train, tune and test every model on each rolling window (long form of ``splits.rolling_windows``), or on those named."""
+    if windows is None:
+        windows = [r[0] for r in df.select("window_id").distinct().orderBy("window_id").collect()]
     out = None
     for w in windows:
         part = df.filter(F.col("window_id") == w)

@@ -226,3 +226,38 @@ def test_registered_high_centrality_is_exact(spark, monkeypatch):
     got = {r["node"]: r["betweenness_centrality"] for r in model.CATALOG.queries["grf06_10_high_centrality"](spark, SF).collect()}
     want = {v: x for v, x in brandes(edges, True).items() if x > 0.0005}
     assert got.keys() == want.keys() and all(abs(got[v] - x) < 1e-5 for v, x in want.items())
+
+
+def test_registered_queries_take_everything(spark, monkeypatch):
+    from stopwise.catalog import flow, model
+
+    seen = {}
+    monkeypatch.setattr(flow.models, "permutation_importance", lambda m, df, features, *a: seen.update(features=features) or spark.range(1).selectExpr("'a' feature", "0D importance"))
+    monkeypatch.setattr(flow.models, "fit", lambda *a, **b: None)
+    monkeypatch.setattr(flow, "parts", lambda s, d: (None, None, None))
+    flow.CATALOG.queries["ml09_permutation_importance"](spark, SF)
+    assert seen["features"] == flow.FEATURES
+    messages = views.messages(spark, SF)
+    vehicles, updates = model.feeds.vehicle_positions(messages).collect(), {r.trip_id for r in model.feeds.trip_updates(messages).collect()}
+    got = model.CATALOG.queries["dq09_vehicles_without_any_update"](spark, SF).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(((r.entity_id, r.trip_id) for r in vehicles if r.trip_id is None or r.trip_id not in updates), key=str)
+    edges = {(r.src, r.dst) for r in model.all_obs_edges(spark, SF).collect()}
+    last = {}
+    for r in sorted(views.labelled(spark, SF).select("stop_id", "feed_timestamp", "severity_score").collect(), key=lambda r: r.feed_timestamp):
+        last[r.stop_id] = r.severity_score
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+    hops = {a: (b | {c for x in b for c in near.get(x, ())}) - {a} for a, b in near.items()}
+    rows = {r.obs_id: r.network_disruption_load for r in model.CATALOG.queries["grf09_network_load_all_edges"](spark, SF).collect()}
+    for r in views.labelled(spark, SF).select("obs_id", "stop_id").collect():
+        assert rows[r.obs_id] == sum(last.get(x) or 0 for x in hops.get(r.stop_id, ()))
+
+
+def test_simulate_takes_all_windows(spark):
+    from stopwise.ml import models
+
+    rows = [(w, p, float(i), i % 2) for w in (1, 4) for p in ("train", "val", "test") for i in range(20)]
+    df = spark.createDataFrame(rows, "window_id int, part string, x double, y int")
+    got = {(r.window_id, r.model) for r in models.simulate(df, ["x"], "y", None, ("forest",), numTrees=2, maxDepth=2).select("window_id", "model").collect()}
+    assert got == {(w, k) for w in (1, 4) for k in ("forest",)}
