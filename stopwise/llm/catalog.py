@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stopwise.llm import (
-    decontaminate, exact_dedup, line_dedup, main_text, near_dedup, personal_data, quality, spm_tokens, suffix_dedup, toxicity)
+    conversation_repair, conversation_trie, decontaminate, exact_dedup, line_dedup, main_text, near_dedup, personal_data, quality, simhash,
+    spm_tokens, suffix_dedup, toxicity)
 from stopwise.llm.store import read
 
 
@@ -26,5 +27,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": _documents(toxicity.toxicity, "labels"),
     "op9_decontaminate": _documents(decontaminate.decontaminate, "benchmark"),
     "op10_main_text": lambda spark, sf_dir: main_text.main_text(read(spark, sf_dir, "pages")),
+    "op11_conversation_repair": lambda spark, sf_dir: conversation_repair.conversation_repair(read(spark, sf_dir, "conversations")),
+    "op12_prefix_trie": lambda spark, sf_dir: conversation_trie.prefix_trie(read(spark, sf_dir, "conversations")),
+    "op13_simhash": _documents(simhash.simhash),
 }
-SQL: dict[str, str] = {"op6_exact_dedup": exact_dedup.SQL, "op9_decontaminate": decontaminate.SQL, "op3_near_dedup": near_dedup.SQL}
+SQL: dict[str, str] = {"op6_exact_dedup": exact_dedup.SQL, "op9_decontaminate": decontaminate.SQL, "op3_near_dedup": near_dedup.SQL,
+                       "op12_prefix_trie": conversation_trie.SQL}
