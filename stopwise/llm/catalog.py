@@ -32,4 +32,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_simhash": _documents(simhash.simhash),
 }
 SQL: dict[str, str] = {"op6_exact_dedup": exact_dedup.SQL, "op9_decontaminate": decontaminate.SQL, "op3_near_dedup": near_dedup.SQL,
-                       "op12_prefix_trie": conversation_trie.SQL}
+                       "op12_prefix_trie": conversation_trie.SQL, "op11_conversation_repair": conversation_repair.SQL}

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from stopwise.llm.store import keep, to_batch
+from stopwise.llm.store import crc32_sql, keep, to_batch
 
 BLOCK = 128
 LETTERS = "DIKR"
@@ -277,3 +277,54 @@ def conversation_repair(conversations: DataFrame) -> DataFrame:
     zero, empty = F.lit(0).cast("long"), F.lit(hashlib.sha256(b"").hexdigest())
     return done.select("conv_id", *[F.coalesce(n, zero).alias(n) for n, _ in _KINDS],
                        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", empty).alias("repaired_sha256"))
+
+
+def _more(way: str, cost: str | int, letter: str) -> str:
+    return f"lpad(CAST(CAST({way}[1:9] AS BIGINT) + {cost} AS VARCHAR), 9, '0') || {way}[10:] || '{letter}'"
+
+
+def _filled(a: str) -> str:
+    user = f"least({a}[3], {_more(f'{a}[1]', INSERT, 'I')}, {_more(f'{a}[2]', INSERT, 'I')}, {_more(f'{a}[4]', INSERT, 'I')})"
+    return f"list_transform([{user}], lambda n: [{a}[1], {a}[2], n, least({a}[4], {_more('n', INSERT, 'I')})])[1]"
+
+
+def _step(a: str, x: str) -> str:
+    """The ways after one row; a way is its cost in nine digits and its letters, x the initial, whether it must go, and what keeping costs."""
+    gone, unfinished = f"{x}[2] = '1'", f"CAST({x}[3] AS BIGINT)"
+    give = lambda *q: [f"CASE WHEN NOT {gone} THEN {_more(f'b[{i}]', f'{GIVE} + {unfinished}', 'R')} END" for i in q]
+    hold = lambda name, *q: [f"CASE WHEN NOT {gone} AND {x}[1] = '{name}' THEN {_more(f'b[{i}]', unfinished, 'K')} END" for i in q]
+    ways = [[], hold("s", 1), give(1, 2, 4) + hold("u", 1, 2, 4), give(3) + hold("a", 3)]
+    new = [f"least({', '.join([_more(f'b[{i + 1}]', DELETE, 'D'), *w])})" for i, w in enumerate(ways)]
+    return f"list_transform([{_filled(a)}], lambda b: [{', '.join(new)}])[1]"
+
+
+SQL = f"""
+WITH k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32_sql(
+    "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS c FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN c = 4 THEN 'user' ELSE role END AS role,
+             CASE c WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+      FROM k, unnest(range(0, CASE c WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END))),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p,
+             regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*\\z', 1) AS z, substr(role, 1, 1) AS i FROM d),
+f AS (SELECT *, CASE WHEN z = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 THEN 'duplicate' WHEN z NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+             lag(i) OVER (PARTITION BY conv_id ORDER BY p) || i AS pair FROM o),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+             count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+             count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+             list([i, CASE WHEN fault IN ('blank', 'duplicate') THEN '1' ELSE '0' END, CASE WHEN fault = 'truncated' THEN '{UNFINISHED}' ELSE '0' END]
+                  ORDER BY p) AS x FROM f GROUP BY conv_id),
+w AS (SELECT *, list_reduce(list_prepend(['000000000', NULL, NULL, NULL], x), lambda a, x: {_step('a', 'x')}) AS last FROM g),
+v AS (SELECT *, {_filled('last')} AS done FROM w),
+b AS (SELECT *, CAST(least(done[1], done[4])[1:9] AS BIGINT) AS cost, least(done[1], done[4])[10:] AS audit FROM v),
+l AS (SELECT conv_id, e, audit[e] AS letter, CAST(sum(CAST(audit[e] <> 'I' AS INT)) OVER (PARTITION BY conv_id ORDER BY e) AS BIGINT) AS p,
+             CAST(sum(CAST(audit[e] <> 'D' AS INT)) OVER (PARTITION BY conv_id ORDER BY e) AS BIGINT) AS place
+      FROM b, unnest(range(1, length(audit) + 1)) AS u(e)),
+m AS (SELECT l.*, f.role, f.text, coalesce(bool_or(place = 1 AND letter = 'K' AND f.i = 's') OVER (PARTITION BY l.conv_id), false) AS led
+      FROM l LEFT JOIN f ON l.letter <> 'I' AND f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.p = l.p),
+r AS (SELECT conv_id, sha256(string_agg(CASE WHEN letter = 'K' THEN role WHEN (place - CAST(led AS INT)) % 2 = 1 THEN 'user' ELSE 'assistant' END
+             || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY e)) AS h FROM m WHERE letter <> 'D' GROUP BY conv_id)
+SELECT c.conv_id, {', '.join(f'CAST(coalesce({n}, 0) AS BIGINT) AS {n}' for n, _ in _KINDS)}, coalesce(audit, '') AS audit,
+       coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM c.conv_id
+"""

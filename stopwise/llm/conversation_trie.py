@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from stopwise.llm.store import keep, to_batch
+from stopwise.llm.store import crc32_sql, keep, to_batch
 
 TOKEN = 16
 BLOCK = 20_000
@@ -342,13 +342,11 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     return trie(keep(sequences(rebuilt(keep(turns(conversations))))))
 
 
-_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)), lambda a, b:
-  list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda v, i: xor(v >> 1, (v & 1) * 3988292384))), 4294967295)"""
 SQL = f"""
 WITH t AS (SELECT conv_id, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS x, row_number() OVER (PARTITION BY conv_id
     ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p FROM conversations),
 own AS (SELECT conv_id, list(x ORDER BY p) AS s FROM t GROUP BY conv_id),
-h AS (SELECT conv_id, s, coalesce({_CRC.format('CAST(conv_id AS VARCHAR)')} % {BORROWED}, 0) AS h FROM own),
+h AS (SELECT conv_id, s, coalesce({crc32_sql('CAST(conv_id AS VARCHAR)')} % {BORROWED}, 0) AS h FROM own),
 r AS (SELECT h.conv_id, list_concat(coalesce(b.s, [])[1:h.h], h.s[h.h + 1:]) AS s
       FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % {FAMILY}),
 m AS (SELECT conv_id, s[1:d] AS k, len(s) = d AS ends FROM r, unnest(range(0, len(s) + 1)) AS u(d)),

@@ -59,3 +59,9 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], list[tuple]]], s
 
 def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(col, f.type) for col, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def crc32_sql(text: str) -> str:
+    """Check SQL for the unsigned CRC-32 of an ASCII text."""
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)), lambda a, b:
+  list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda v, i: xor(v >> 1, (v & 1) * 3988292384))), 4294967295)"""
