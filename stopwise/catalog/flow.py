@@ -96,9 +96,14 @@ def simulation(s, d):
 
 add("ml03_simulation", "window_id:i model threshold:f val_f1:f f1:f", simulation)
 add("ml07_neighbour_features", "obs_id:i speed_knn_mean:f speed_knn_std:f k_knn_mean:f",
-    lambda s, d: neighbours.neighbour_features(obs(s, d).select("obs_id", "speed", "k"), split(s, d).filter("split = 'val'").select("obs_id", "speed", "k"), ["speed", "k"], "obs_id", 8))
+    lambda s, d: neighbours.neighbour_features(obs(s, d).select("obs_id", "speed", "k"), split(s, d).filter("split = 'train'").select("obs_id", "speed", "k"), ["speed", "k"], "obs_id", 8),
+    """SELECT obs_id, list_avg([e.speed FOR e IN n]) AS speed_knn_mean, list_stddev_pop([e.speed FOR e IN n]) AS speed_knn_std, list_avg([e.k FOR e IN n]) AS k_knn_mean
+       FROM (SELECT a.obs_id, min({'d': (a.speed - b.speed) * (a.speed - b.speed) + (a.k - b.k) * (a.k - b.k), 'id': b.obs_id, 'speed': b.speed, 'k': b.k}, 8) AS n
+       FROM obs a JOIN sp b ON b.split = 'train' AND b.obs_id <> a.obs_id GROUP BY a.obs_id)""", ctes=RANK)
 add("spl11_smote", "synthetic y:i n:i", lambda s, d: neighbours.smote(obs(s, d).withColumn("y", (F.col("value") > 220).cast("int")), ["speed", "value"], "y", "obs_id").groupBy("synthetic", "y").agg(
-    F.count(F.lit(1)).alias("n")))
+    F.count(F.lit(1)).alias("n")),
+    """SELECT false AS synthetic, CAST(value > 220 AS INT) AS y, count(*) AS n FROM obs GROUP BY 2 UNION ALL
+       SELECT true, 1, w FROM (SELECT CAST(floor(count(*) FILTER (value <= 220) * 0.1) AS BIGINT) - count(*) FILTER (value > 220) AS w FROM obs) WHERE w > 0""")
 
 # ---------------------------------------------------------------- preparation
 ENC = RANK + ", cd AS (SELECT stop_id, dense_rank() OVER (ORDER BY stop_id) - 1 AS c FROM (SELECT DISTINCT stop_id FROM sp WHERE split = 'train' AND stop_id <> 'S2'))"

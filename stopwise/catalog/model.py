@@ -228,7 +228,8 @@ add("spl10_class_weights", "disruption_type n:i weight:f", lambda s, d: splits.c
     """SELECT disruption_type, count(*) AS n, (SELECT count(*) FROM lab) / ((SELECT count(DISTINCT disruption_type) FROM lab) * count(*)) AS weight FROM lab GROUP BY 1""")
 add("spl10_positive_ratio", "scale_pos_weight:f", lambda s, d: splits.positive_ratio(label.add_targets(lab(s, d)), "disruption_target"),
     "SELECT sum(CAST(disruption_type = 'ON_TIME' AS INT)) / sum(CAST(disruption_type <> 'ON_TIME' AS INT)) AS scale_pos_weight FROM lab")
-add("spl11_oversample", "disruption_type n:i", lambda s, d: splits.oversample(lab(s, d), "disruption_type", "obs_id").groupBy("disruption_type").agg(F.count(F.lit(1)).alias("n")))
+add("spl11_oversample", "disruption_type n:i", lambda s, d: splits.oversample(lab(s, d), "disruption_type", "obs_id").groupBy("disruption_type").agg(F.count(F.lit(1)).alias("n")),
+    "SELECT disruption_type, (SELECT max(n) FROM (SELECT count(*) AS n FROM lab GROUP BY disruption_type)) AS n FROM lab GROUP BY 1")
 
 
 # ---------------------------------------------------------------- metrics

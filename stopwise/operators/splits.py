@@ -207,10 +207,10 @@ def positive_ratio(df: DataFrame, label: str) -> DataFrame:
 
 
 def oversample(df: DataFrame, label: str, row_id: str, seed: int = 42) -> DataFrame:
-    """Repeat the rows of smaller classes up to the size of the largest; the remainder goes to seeded-hash rows."""
+    """Repeat the rows of smaller classes up to exactly the size of the largest; the remainder goes to the first rows by a seeded hash."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     top = counts.agg(F.max("_n")).scalar()
-    sized = lookup(df, counts, [label])
-    share = (F.pmod(F.xxhash64(row_id, F.lit(seed)), F.lit(1_000_000)) / 1e6)
-    copies = F.floor(top / F.col("_n")) + (share < (top / F.col("_n") - F.floor(top / F.col("_n")))).cast("long")
-    return sized.withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int")))).drop("_n")
+    ranked = with_running(df.withColumn("_h", F.xxhash64(row_id, F.lit(seed))), [label], ["_h", row_id], {"_r": ("count", F.lit(1))})
+    sized = lookup(ranked, counts, [label])
+    copies = F.floor(top / F.col("_n")) + (F.col("_r") <= top % F.col("_n")).cast("long")
+    return sized.withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int")))).drop("_n", "_r", "_h")

@@ -128,24 +128,47 @@ def test_spatial_lag_against_all_pairs(spark, split_keys):
         assert math.isclose(got[a["obs_id"]], sum(near) / len(near), rel_tol=1e-9)
 
 
-def test_nearest_neighbours_are_exact_over_pieces(spark):
-    df = spark.range(90).selectExpr("id", "cast(id * 37 % 91 as double) as x", "cast(id * 53 % 89 as double) as y")
-    got = {r["id"]: [tuple(v) for v in r["neighbours"]] for r in neighbours.nearest(df, df, ["x", "y"], "id", 3, piece=20).collect()}
-    data = df.collect()
-    for a in data:
-        near = sorted(((a["x"] - b["x"]) ** 2 + (a["y"] - b["y"]) ** 2, b["id"], (b["x"], b["y"])) for b in data if b["id"] != a["id"])[:3]
-        assert got[a["id"]] == [n[2] for n in near]
-
-
-def test_smote_reaches_the_ratio_and_stays_between_neighbours(spark):
-    df = spark.range(400).selectExpr("id", "cast(id % 97 as double) as x", "cast(id % 20 = 0 as int) as y")
+@pytest.mark.parametrize("pivots,limit", [(1, 10), (7, 200_000), (60, 3)])
+def test_nearest_neighbours_are_exact_over_cells(spark, pivots, limit):
+    df = spark.range(150).selectExpr("id", "case when id % 3 = 0 then 5D when id = 100 then null when id = 101 then double('nan') else cast(id * 37 % 11 as double) end as x",
+                                     "case when id % 3 = 0 then -0D else cast(id * 53 % 89 as double) end as y").repartition(3)
+    data = [r for r in df.collect() if r["x"] is not None and not math.isnan(r["x"])]
+    for reference, skip in ((df, True), (df.filter("id % 2 = 0"), True), (df, False)):
+        ids = {r["id"] for r in reference.collect()}
+        got = {r["id"]: [tuple(v) for v in r["neighbours"]] for r in neighbours.nearest(df, reference, ["x", "y"], "id", 3, skip, pivots, limit).collect()}
+        assert set(got) == {r["id"] for r in data}
+        for a in data:
+            near = sorted(((a["x"] - b["x"]) ** 2 + (a["y"] - b["y"]) ** 2, b["id"], (b["x"], b["y"])) for b in data
+                          if b["id"] in ids and not (skip and b["id"] == a["id"]))[:3]
+            assert got[a["id"]] == [n[2] for n in near]
+    assert not neighbours.nearest(df, df.limit(0), ["x", "y"], "id").collect()
+
+
+def test_rows_visit_few_cells(spark):
+    """Clustered rows see their own cells only: far fewer copies than rows x cells."""
+    df = spark.range(3000).selectExpr("id", "id % 30 * 100D + id * 7919 % 13 as x", "id % 6 * 90D + id * 104729 % 17 as y")
+    entries = neighbours._entries(df, ["x", "y"], "id", 6)
+    _, cells = neighbours._cells(entries, 60, 6)
+    queries = neighbours._vectors(df, ["x", "y"], "id", "x").selectExpr("id as q", "x")
+    assert neighbours.visits(queries, cells).count() < 6 * 3000
+
+
+def test_smote_makes_exactly_the_wanted_rows_between_neighbours(spark):
+    df = spark.range(403).selectExpr("id", "cast(id % 97 as double) as x", "cast(id % 20 = 0 as int) as y")
     out = neighbours.smote(df, ["x"], "y", "id", 0.2)
-    made = out.filter("synthetic").count()
-    assert 40 <= made <= 75
+    assert out.filter("synthetic").count() == int(df.filter("y = 0").count() * 0.2) - df.filter("y = 1").count()
     lo, hi = df.filter("y = 1").agg(F.min("x"), F.max("x")).first()
     assert out.filter(f"synthetic and (x < {lo} or x > {hi})").count() == 0
 
 
+def test_oversampled_classes_are_equally_large(spark):
+    df = spark.range(500).selectExpr("id", "case when id % 7 = 0 then 'b' when id % 11 = 1 then 'c' else 'a' end as y")
+    out = splits.oversample(df, "y", "id")
+    top = df.groupBy("y").count().agg(F.max("count")).first()[0]
+    assert {r["count"] for r in out.groupBy("y").count().collect()} == {top}
+    assert out.groupBy("y", "id").count().groupBy("y").agg((F.max("count") - F.min("count")).alias("d")).filter("d > 1").isEmpty()
+
+
 def test_student_t_against_known_values():
     assert math.isclose(significance.t_two_sided(2.0, 10), 0.07338803, abs_tol=1e-6)
     assert math.isclose(significance.t_two_sided(0.5, 3), 0.6514, abs_tol=1e-4)
