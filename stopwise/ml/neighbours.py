@@ -212,9 +212,9 @@ def neighbour_features(df: DataFrame, train: DataFrame, features: Sequence[str],
         values = component(i)
         n = F.size(values)
         mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / n
-        square = F.aggregate(F.transform(values, lambda x: x * x), F.lit(0.0), lambda a, x: a + x) / n
+        spread = F.aggregate(F.transform(values, lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda a, x: a + x) / n
         cols[f"{c}_knn_mean"] = mean
-        cols[f"{c}_knn_std"] = F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))
+        cols[f"{c}_knn_std"] = F.sqrt(spread)
     return out.withColumns(cols).drop("neighbours")
 
 
