@@ -41,11 +41,11 @@ add("str05_sessions", "session_start session_end vehicle_id n:i mean_speed:f", l
     f"""SELECT make_timestamp(min(feed_us)) AS session_start, make_timestamp(max(feed_us) + 900000000) AS session_end, vehicle_id, count(*) AS n, avg(speed) AS mean_speed FROM (
         SELECT *, sum(CAST(g AS INT)) OVER (PARTITION BY vehicle_id ORDER BY feed_us) AS sid FROM (SELECT *, coalesce(feed_us - lag(feed_us) OVER (PARTITION BY vehicle_id ORDER BY feed_us) >= 900000000, true) AS g FROM obs))
         GROUP BY vehicle_id, sid HAVING max(feed_us) + 900000000 <= {CLOSED}""", digits=4)
-add("str08_stateful_lags", "obs_id:i prev_delay:f headway_sec:f", lambda s, d: stream.replay(stateful.lag_features(live(s, d), ["route_id", "stop_id"])),
+add("str08_stateful_lags", "obs_id:i prev_delay:f headway_sec:f", lambda s, d: stream.replay(stateful.lag_features(live(s, d), ["route_id", "stop_id"], late="0 seconds")),
     """SELECT obs_id, coalesce(lag(delay_sec) OVER w, 0) AS prev_delay, (feed_us - lag(feed_us) OVER w) / 1e6 AS headway_sec FROM obs
        WINDOW w AS (PARTITION BY route_id, stop_id ORDER BY feed_us, obs_id)""")
 add("str09_stateful_detectors", "obs_id:i seen:i error_rate:f warning drift phi:f cusum_drift",
-    lambda s, d: stream.replay(stateful.error_detectors(live(s, d).withColumns({"y_true": (F.col("value") > 50).cast("int"), "y_pred": (F.col("k") >= 50).cast("int")}), ["route_id"], warning=0.55, drift=0.6)),
+    lambda s, d: stream.replay(stateful.error_detectors(live(s, d).withColumns({"y_true": (F.col("value") > 50).cast("int"), "y_pred": (F.col("k") >= 50).cast("int")}), ["route_id"], late="0 seconds", warning=0.55, drift=0.6)),
     """SELECT obs_id, seen, CASE WHEN seen >= 30 THEN p END AS error_rate, seen >= 30 AND p + sd > 0.55 AS warning, seen >= 30 AND p + 2 * sd > 0.6 AS drift, s - seen * 0.005 AS phi, s - seen * 0.005 > 0.01 AS cusum_drift
        FROM (SELECT *, sqrt(p * (1 - p) / seen) AS sd FROM (SELECT *, s / seen AS p FROM (SELECT *, row_number() OVER w AS seen, sum(CAST(y_true <> y_pred AS INT)) OVER (w ROWS UNBOUNDED PRECEDING) AS s FROM sc
        WINDOW w AS (PARTITION BY route_id ORDER BY event_ts, obs_id))))""", ctes=SC)
@@ -59,7 +59,9 @@ def life(s, d):
                        F.timestamp_micros(F.unix_micros("feed_timestamp") + F.col("e.after").cast("long") * 60_000_000).alias("event_at"))
 
 
-add("str10_stateful_lifecycle", "alert_id:i status overdue", lambda s, d: stream.replay(stateful.alert_lifecycle(life(s, d))).filter("overdue"))
+add("str10_stateful_lifecycle", "alert_id:i status overdue", lambda s, d: stream.replay(stateful.alert_lifecycle(life(s, d))).filter("overdue"),
+    """SELECT obs_id AS alert_id, 'NEW' AS status, true AS overdue FROM obs WHERE NOT (k % 2 = 0 AND k % 40 + 1 <= 15) AND feed_us // 1000 + 900000 <= (
+       SELECT max(feed_us + CASE WHEN k % 2 = 0 THEN (k % 40 + 1) * CAST(60000000 AS BIGINT) ELSE 0 END) // 1000 - 600000 FROM obs)""")
 
 FEATURES = ["delay", "velocity", "hour", "weekday", "is_rush"]
 

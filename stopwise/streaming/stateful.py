@@ -1,7 +1,13 @@
-"""Keyed state for events: lag features, error detectors and the alert lifecycle.
+"""Keyed state for events: lag features, error detectors and the alert lifecycle, in event-time order.
 
-State per key is a few numbers, whatever the number of events.  A micro-batch is bounded by the source options, and
-its rows are taken in time order within each key.
+Rows of a key come unordered, within a batch and over batches.  They wait in state until the watermark has passed them and
+are then taken in time order, so results do not depend on how the stream was cut.
+
+* Each part of a batch is stored as a sorted run of binary blocks of ``BLOCK`` rows.  When a timer fires, the runs are merged
+  block by block: the task holds one block of each run, never all rows of a key.  Results leave in pieces of that size.
+* The lasting state of a key is a few numbers.  It ends with the alert, or after ``idle`` minutes of event time without rows.
+
+Rows later than the watermark are dropped and counted by Spark (``feeds.progress_rows``).
 """
 
 from __future__ import annotations
@@ -9,11 +15,16 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+BLOCK = 4096
+NEW, ACKNOWLEDGED, RESOLVED, OTHER = range(4)
+STATUS = ("NEW", "ACKNOWLEDGED", "RESOLVED")
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -21,122 +32,283 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
 
-def _ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(by, kind="stable")
+class InOrder(StatefulProcessor):
+    """Hands the rows of a key to ``advance`` in order of ``us`` and ``tie`` once the watermark has passed them.
+
+    ``FIELDS`` are the numbers kept of a row; the first two are ``us`` and the tie breaker.
+    """
 
+    FIELDS: list[tuple[str, str]] = []
 
-class LagFeatures(StatefulProcessor):
-    """Previous delay and headway of the key."""
+    def __init__(self, idle: float | None = None, block: int = BLOCK):
+        self.idle_ms = None if idle is None else int(idle * 60_000)
+        self.block = block
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "us bigint, delay double")
+        self.handle = handle
+        self.next_run = handle.getValueState("next_run", "run int")
+        self.runs = handle.getMapState("runs", "run int", "head bigint, part int, parts int")
+        self.blocks = handle.getMapState("blocks", "run int, part int", "rows binary")
+        self.open(handle)
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        """State of the subclass."""
+
+    def advance(self, key, rows: np.ndarray) -> Iterator[pd.DataFrame]:
+        raise NotImplementedError
+
+    def passed(self, key, ms: int) -> Iterator[pd.DataFrame]:
+        """After all rows up to the watermark."""
+        return iter(())
+
+    def last_ms(self) -> int | None:
+        """Event time of the key's last row, None without state."""
+        return None
+
+    def forget(self) -> None:
+        """Drop the subclass's state of the key."""
+
+    def timer(self, ms: int, watermark: int) -> None:
+        self.handle.registerTimer(max(ms, watermark + 1))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _ordered(rows, ["us", "obs_id"])
-        before = self.last.get() if self.last.exists() else None
-        prev_us = pdf["us"].shift(1)
-        prev_delay = pdf["delay_sec"].shift(1)
-        if before is not None:
-            prev_us.iloc[0], prev_delay.iloc[0] = before[0], before[1]
-        self.last.update((int(pdf["us"].iloc[-1]), float(pdf["delay_sec"].iloc[-1])))
-        yield pd.DataFrame({"obs_id": pdf["obs_id"], "prev_delay": prev_delay.astype("float64").fillna(0.0),
-                            "headway_sec": (pdf["us"] - prev_us) / 1e6})
+        kinds = np.dtype(self.FIELDS)
+        run = self.next_run.get()[0] if self.next_run.exists() else 0
+        mark = timerValues.getCurrentWatermarkInMs()
+        for pdf in rows:
+            found = np.zeros(len(pdf), kinds)
+            for name in kinds.names:
+                found[name] = pdf[name].to_numpy()
+            found.sort(order=kinds.names[:2], kind="stable")
+            parts = -(-len(found) // self.block)
+            for part in range(parts):
+                self.blocks.updateValue((run, part), (found[part * self.block:(part + 1) * self.block].tobytes(),))
+            if parts:
+                head = int(found["us"][0])
+                self.runs.updateValue((run,), (head, 0, parts))
+                self.timer(head // 1000, mark)
+                run += 1
+        self.next_run.update((run,))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        some = False
+        for rows in self._due(mark):
+            some = True
+            for part in self._without_gaps(rows):
+                yield from self.advance(key, part)
+        yield from self.passed(key, mark)
+        if not self.runs.exists():
+            self.next_run.clear()
+        last = self.last_ms()
+        if self.idle_ms is not None and last is not None:
+            if last + self.idle_ms > mark:
+                if some:
+                    self.timer(last + self.idle_ms, mark)
+            else:  # rows that still wait are later than the watermark, so more than ``idle`` behind
+                self.forget()
+
+    def _without_gaps(self, rows: np.ndarray) -> Iterator[np.ndarray]:
+        """Cut before each row that comes more than ``idle`` after the one before; the state is dropped there."""
+        if self.idle_ms is None:
+            yield rows
+            return
+        for part in np.split(rows, np.flatnonzero(np.diff(rows["us"] // 1000) > self.idle_ms) + 1):
+            last = self.last_ms()
+            if last is not None and int(part["us"][0]) // 1000 - last > self.idle_ms:
+                self.forget()
+            yield part
+
+    def _block(self, run: int, part: int) -> np.ndarray:
+        return np.frombuffer(self.blocks.getValue((run, part))[0], np.dtype(self.FIELDS))
+
+    def _due(self, mark: int) -> Iterator[np.ndarray]:
+        """Rows up to the watermark in order, in pieces; the rest goes back to its blocks."""
+        live = {run: (part, parts) for (run,), (head, part, parts) in self.runs.iterator() if head // 1000 <= mark}
+        held = {run: self._block(run, part) for run, (part, _) in live.items()}
+        tie = self.FIELDS[1][0]
+        changed = set(live)
+        while live:
+            due = {run: int(np.searchsorted(rows["us"], (mark + 1) * 1000, "left")) for run, rows in held.items()}
+            # A block that is due as a whole and has a successor says how far the merge may go.
+            ends = [(int(rows["us"][-1]), int(rows[tie][-1])) for run, rows in held.items()
+                    if due[run] == len(rows) and live[run][0] + 1 < live[run][1]]
+            cut = min(ends) if ends else None
+            pieces = []
+            for run in list(live):
+                rows, n = held[run], due[run]
+                if cut is not None:
+                    head = rows[:n]
+                    n = int(np.count_nonzero((head["us"] < cut[0]) | ((head["us"] == cut[0]) & (head[tie] <= cut[1]))))
+                pieces.append(rows[:n])
+                held[run] = rows[n:]
+                if n == len(rows):
+                    part, parts = live[run]
+                    self.blocks.removeKey((run, part))
+                    if part + 1 < parts:
+                        live[run], held[run] = (part + 1, parts), self._block(run, part + 1)
+                    else:
+                        del live[run], held[run]
+                        self.runs.removeKey((run,))
+            merged = np.concatenate(pieces)
+            merged.sort(order=[self.FIELDS[0][0], tie], kind="stable")
+            for at in range(0, len(merged), self.block):
+                yield merged[at:at + self.block]
+            if cut is None:
+                break
+        for run in changed & set(live):
+            part, parts = live[run]
+            head = int(held[run]["us"][0])
+            self.blocks.updateValue((run, part), (held[run].tobytes(),))
+            self.runs.updateValue((run,), (head, part, parts))
+            self.timer(head // 1000, mark)
 
     def close(self) -> None:
         pass
 
 
-def lag_features(stream: DataFrame, keys: list[str], time: str = "feed_timestamp") -> DataFrame:
-    from pyspark.sql import functions as F
+class LagFeatures(InOrder):
+    """Previous delay and headway of the key."""
+
+    FIELDS = [("us", "<i8"), ("obs_id", "<i8"), ("delay_sec", "<f8")]
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "us bigint, delay double")
+
+    def last_ms(self) -> int | None:
+        return self.last.get()[0] // 1000 if self.last.exists() else None
+
+    def forget(self) -> None:
+        self.last.clear()
+
+    def advance(self, key, rows: np.ndarray) -> Iterator[pd.DataFrame]:
+        us, delay = pd.Series(rows["us"]), pd.Series(rows["delay_sec"])
+        prev_us, prev_delay = us.shift(1), delay.shift(1)
+        if self.last.exists():
+            prev_us.iloc[0], prev_delay.iloc[0] = self.last.get()
+        self.last.update((int(rows["us"][-1]), float(rows["delay_sec"][-1])))
+        yield pd.DataFrame({"obs_id": rows["obs_id"], "prev_delay": prev_delay.fillna(0.0), "headway_sec": (us - prev_us) / 1e6})
+
 
+def lag_features(stream: DataFrame, keys: list[str], time: str = "feed_timestamp", late: str = "10 minutes", idle: float | None = None,
+                 block: int = BLOCK) -> DataFrame:
+    """``obs_id, prev_delay, headway_sec`` of each row once the watermark has passed it; state idle for ``idle`` minutes is dropped."""
     use_rocksdb(stream.sparkSession)
-    rows = stream.select(*keys, "obs_id", F.unix_micros(time).alias("us"), "delay_sec")
+    rows = stream.withWatermark(time, late).select(*keys, "obs_id", time, F.unix_micros(time).alias("us"), "delay_sec")
     return rows.groupBy(*keys).transformWithStateInPandas(
-        LagFeatures(), "obs_id bigint, prev_delay double, headway_sec double", "Append", "None")
+        LagFeatures(idle, block), "obs_id bigint, prev_delay double, headway_sec double", "Append", "EventTime")
 
 
-class ErrorDetectors(StatefulProcessor):
+class ErrorDetectors(InOrder):
     """The error-rate and cumulative-sum detectors, one set of counts per key."""
 
-    def __init__(self, warning: float = 0.05, drift: float = 0.1, min_rows: int = 30, alpha: float = 0.005, limit: float = 0.01):
+    FIELDS = [("us", "<i8"), ("obs_id", "<i8"), ("wrong", "<i8")]
+
+    def __init__(self, warning: float = 0.05, drift: float = 0.1, min_rows: int = 30, alpha: float = 0.005, limit: float = 0.01,
+                 idle: float | None = None, block: int = BLOCK):
+        super().__init__(idle, block)
         self.warning, self.drift, self.min_rows, self.alpha, self.limit = warning, drift, min_rows, alpha, limit
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.counts = handle.getValueState("counts", "seen bigint, errors bigint")
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.counts = handle.getValueState("counts", "seen bigint, errors bigint, us bigint")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _ordered(rows, ["us", "obs_id"])
-        seen, errors = self.counts.get() if self.counts.exists() else (0, 0)
-        err = (pdf["y_true"] != pdf["y_pred"]).astype("int64")
-        n = pd.Series(range(seen + 1, seen + len(pdf) + 1), index=pdf.index, dtype="int64")
-        e = err.cumsum() + errors
+    def last_ms(self) -> int | None:
+        return self.counts.get()[2] // 1000 if self.counts.exists() else None
+
+    def forget(self) -> None:
+        self.counts.clear()
+
+    def advance(self, key, rows: np.ndarray) -> Iterator[pd.DataFrame]:
+        seen, errors, _ = self.counts.get() if self.counts.exists() else (0, 0, 0)
+        n = pd.Series(np.arange(seen + 1, seen + len(rows) + 1, dtype="int64"))
+        e = pd.Series(np.cumsum(rows["wrong"]) + errors)
         p = e / n
         s = (p * (1 - p) / n).map(math.sqrt)
         ready = n >= self.min_rows
-        self.counts.update((int(n.iloc[-1]), int(e.iloc[-1])))
+        self.counts.update((int(n.iloc[-1]), int(e.iloc[-1]), int(rows["us"][-1])))
         phi = e - n * self.alpha
-        yield pd.DataFrame({"obs_id": pdf["obs_id"], "seen": n, "error_rate": p.where(ready), "warning": ready & (p + s > self.warning),
+        yield pd.DataFrame({"obs_id": rows["obs_id"], "seen": n, "error_rate": p.where(ready), "warning": ready & (p + s > self.warning),
                             "drift": ready & (p + 2 * s > self.drift), "phi": phi, "cusum_drift": phi > self.limit})
 
-    def close(self) -> None:
-        pass
-
-
-def error_detectors(stream: DataFrame, keys: list[str], time: str = "event_ts", **limits) -> DataFrame:
-    from pyspark.sql import functions as F
 
+def error_detectors(stream: DataFrame, keys: list[str], time: str = "event_ts", late: str = "10 minutes", **limits) -> DataFrame:
     use_rocksdb(stream.sparkSession)
-    rows = stream.select(*keys, "obs_id", F.unix_micros(time).alias("us"), "y_true", "y_pred")
+    wrong = (~F.col("y_true").eqNullSafe(F.col("y_pred"))).cast("long")
+    rows = stream.withWatermark(time, late).select(*keys, "obs_id", time, F.unix_micros(time).alias("us"), wrong.alias("wrong"))
     return rows.groupBy(*keys).transformWithStateInPandas(
         ErrorDetectors(**limits), "obs_id bigint, seen bigint, error_rate double, warning boolean, drift boolean, phi double, cusum_drift boolean",
-        "Append", "None")
+        "Append", "EventTime")
 
 
-class AlertLifecycle(StatefulProcessor):
-    """NEW → ACKNOWLEDGED → RESOLVED per alert; a timer at the response deadline reports alerts nobody has taken."""
+class AlertLifecycle(InOrder):
+    """NEW, ACKNOWLEDGED, RESOLVED per alert; an alert that nobody has taken at its deadline is reported as overdue once.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("alert", "status string, due bigint")
+    An acknowledgement at the very deadline is in time.  RESOLVED ends the alert: its state and its timer go.
+    """
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _ordered(rows, ["us"])
-        status, due = self.state.get() if self.state.exists() else ("", 0)
-        out = []
-        for event, us, minutes in zip(pdf["event"], pdf["us"], pdf["deadline_min"]):
-            if event == "NEW" and not status:
-                status, due = "NEW", int(us // 1000 + minutes * 60_000)
-                if due > timerValues.getCurrentWatermarkInMs():
-                    self.handle.registerTimer(due)
-                else:  # a late row whose deadline has passed already
-                    out.append((key[0], status, True))
-            elif event == "ACKNOWLEDGED" and status == "NEW":
-                status = event
-            elif event == "RESOLVED" and status:
-                status = event
-            out.append((key[0], status, False))
-        self.state.update((status, due))
-        yield pd.DataFrame(out, columns=["alert_id", "status", "overdue"])
+    FIELDS = [("us", "<i8"), ("event", "<i8"), ("deadline_min", "<f8")]
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        status = self.state.get()[0] if self.state.exists() else ""
-        if status == "NEW":
-            yield pd.DataFrame([(key[0], status, True)], columns=["alert_id", "status", "overdue"])
-        else:
-            yield pd.DataFrame({"alert_id": pd.Series(dtype="int64"), "status": pd.Series(dtype="object"), "overdue": pd.Series(dtype="bool")})
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("alert", "status string, due bigint, us bigint")
 
-    def close(self) -> None:
-        pass
+    def last_ms(self) -> int | None:
+        return self.state.get()[2] // 1000 if self.state.exists() else None
+
+    def forget(self) -> None:
+        self.state.clear()
 
+    def _table(self, key, out: list[tuple[str, bool]]) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], status, overdue) for status, overdue in out], columns=["alert_id", "status", "overdue"])
 
-def alert_lifecycle(stream: DataFrame, time: str = "event_at", late: str = "10 minutes") -> DataFrame:
+    def advance(self, key, rows: np.ndarray) -> Iterator[pd.DataFrame]:
+        status, due, _ = self.state.get() if self.state.exists() else ("", 0, 0)
+        before, out, us = due, [], 0
+        for us, event, minutes in rows.tolist():
+            if status == "NEW" and due and us // 1000 > due:
+                out.append((status, True))
+                due = 0
+            if event == NEW and not status:
+                status, due = "NEW", int(us // 1000 + minutes * 60_000)
+            elif event == ACKNOWLEDGED and status == "NEW":
+                status, due = "ACKNOWLEDGED", 0
+            elif event == RESOLVED and status:
+                out.append(("RESOLVED", False))
+                status, due = "", 0
+                continue
+            if status:
+                out.append((status, False))
+        if before and before != due:
+            self.handle.deleteTimer(before)
+        if status:
+            self.state.update((status, due, us))
+        else:
+            self.state.clear()
+        if out:
+            yield self._table(key, out)
+
+    def passed(self, key, ms: int) -> Iterator[pd.DataFrame]:
+        if self.state.exists():
+            status, due, us = self.state.get()
+            if status == "NEW" and due:
+                if due <= ms:
+                    self.state.update((status, 0, us))
+                    yield self._table(key, [(status, True)])
+                else:
+                    self.timer(due, ms)
+
+
+def alert_lifecycle(stream: DataFrame, time: str = "event_at", late: str = "10 minutes", idle: float | None = None) -> DataFrame:
     """Status changes of each alert, plus one overdue row when its deadline passes in event time unanswered.
 
     Expects alert_id, event (NEW / ACKNOWLEDGED / RESOLVED), deadline_min and the event time.
     """
-    from pyspark.sql import functions as F
-
     use_rocksdb(stream.sparkSession)
-    rows = stream.withWatermark(time, late).select("alert_id", "event", "deadline_min", time, F.unix_micros(time).alias("us"))
+    code = F.lit(OTHER)
+    for i, name in enumerate(STATUS):
+        code = F.when(F.col("event") == name, i).otherwise(code)
+    rows = stream.withWatermark(time, late).select(
+        "alert_id", code.cast("long").alias("event"), F.coalesce(F.col("deadline_min").cast("double"), F.lit(0.0)).alias("deadline_min"), time,
+        F.unix_micros(time).alias("us"))
     return rows.groupBy("alert_id").transformWithStateInPandas(
-        AlertLifecycle(), "alert_id bigint, status string, overdue boolean", "Append", "EventTime")
+        AlertLifecycle(idle), "alert_id bigint, status string, overdue boolean", "Append", "EventTime")

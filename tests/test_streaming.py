@@ -1,5 +1,6 @@
 """Stream and batch agree, and the keyed state survives several micro-batches."""
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -18,11 +19,50 @@ def several_batches(spark, df, tmp_path, order, n=4):
     return feeds.file_feed(spark, str(tmp_path / "in/*"), df.schema, max_files=1)
 
 
-def test_lag_state_across_batches(spark, tmp_path):
-    df = views.obs(spark, SF).select("obs_id", "stop_id", "feed_timestamp", "delay_sec")
-    got = feeds.replay(stateful.lag_features(several_batches(spark, df, tmp_path, "feed_timestamp"), ["stop_id"]))
-    assert got.count() == df.count()
-    assert got.filter("headway_sec is null").count() == df.select("stop_id").distinct().count()
+def files(spark, tmp_path, *batches):
+    """One file per micro-batch, in this order."""
+    for i, df in enumerate(batches):
+        df.coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    return feeds.file_feed(spark, str(tmp_path / "in/*"), batches[0].schema, max_files=1)
+
+
+@pytest.mark.parametrize("block", [16, 4096])
+def test_lag_state_across_batches(spark, tmp_path, block):
+    """A hot key, rows out of order within and over batches, ties in time: the same as lag over what the watermark has passed."""
+    rows = spark.range(3000).selectExpr(
+        "id as obs_id", "case when id % 3 < 2 then 'hot' else concat('s', id % 40) end as stop_id",
+        "timestamp_seconds(1704067200 + 7 * (id div 2)) as feed_timestamp", "cast(id % 101 as double) as delay_sec").orderBy(F.xxhash64("obs_id"))
+    batch = F.floor(F.col("obs_id") / 750 + F.pmod(F.xxhash64("obs_id"), F.lit(100)) / 1000)  # up to 75 rows, four minutes, behind
+    parts = [rows.withColumn("b", batch).filter(F.col("b") == i).drop("b") for i in range(5)]
+    got = feeds.replay(stateful.lag_features(files(spark, tmp_path, *parts), ["stop_id"], block=block))
+    mark = rows.agg(F.max("feed_timestamp") - F.expr("interval 10 minutes")).first()[0]
+    w = Window.partitionBy("stop_id").orderBy("feed_timestamp", "obs_id")
+    want = rows.withColumns({"prev_delay": F.coalesce(F.lag("delay_sec").over(w), F.lit(0.0)),
+                             "headway_sec": (F.unix_micros("feed_timestamp") - F.unix_micros(F.lag("feed_timestamp").over(w))) / 1e6})
+    want = want.filter(F.col("feed_timestamp") <= mark).select(*got.columns)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_idle_state_is_dropped(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", 0, 5.0), (2, "b", 10, 1.0), (3, "b", 100, 1.0), (4, "a", 300, 2.0), (5, "b", 310, 2.0), (6, "c", 900, 0.0)],
+                                 "obs_id long, stop_id string, m long, delay_sec double").withColumn("feed_timestamp", F.timestamp_seconds((F.col("m") + 1000) * 60)).drop("m")
+    feed = several_batches(spark, rows, tmp_path, "feed_timestamp", 6)
+    got = {r["obs_id"]: r["headway_sec"] for r in feeds.replay(stateful.lag_features(feed, ["stop_id"], idle=240)).collect()}
+    assert got == {1: None, 2: None, 3: 5400.0, 4: None, 5: 12600.0}
+
+
+def test_state_ends_with_the_alert(spark, tmp_path):
+    at = lambda minute: f"2024-01-01 {minute // 60:02d}:{minute % 60:02d}:00"
+    rows = [(i, "NEW", 600, at(i % 7)) for i in range(50)] + [(i, "RESOLVED", None, at(30 + i % 7)) for i in range(48)] + [(99, "NEW", 600, at(59)), (98, "NEW", 600, at(120))]
+    rows += [(1, "RESOLVED", None, at(8)), (1, "ACKNOWLEDGED", None, at(9)), (1, "NEW", 600, at(10))]
+    df = spark.createDataFrame(rows, "alert_id long, event string, deadline_min int, at string").withColumn("event_at", F.to_timestamp("at")).drop("at")
+    stream = stateful.alert_lifecycle(several_batches(spark, df, tmp_path, "event_at", 4))
+    query = feeds.run_to_files(stream, str(tmp_path / "out"))
+    totals = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert totals[-1] < max(totals) / 4
+    out = spark.read.parquet(str(tmp_path / "out/data"))
+    assert [tuple(r) for r in out.filter("alert_id = 1").groupBy("status").count().orderBy("status").collect()] == [("NEW", 2), ("RESOLVED", 2)]
+    assert out.filter("status = 'RESOLVED'").select("alert_id").distinct().count() == 48 and not out.filter("overdue").count()
 
 
 def test_overdue_alerts(spark, tmp_path):
