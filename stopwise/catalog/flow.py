@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from stopwise.catalog.base import Catalog
 from stopwise.catalog.model import SC, RANK, scored, split
 from stopwise.ml import models, neighbours, prepare
+from stopwise.ml.registry import Registry
 from stopwise.operators import label, splits
-from stopwise.session import cut_lineage
+from stopwise.session import checkpoint_root, cut_lineage
 from stopwise.streaming import feeds as stream
 from stopwise.streaming import stateful
+from stopwise.streaming.updates import UpdatePolicy
 from stopwise.testbed import views
 
 CATALOG = Catalog()
@@ -63,6 +67,82 @@ add("str10_stateful_lifecycle", "alert_id:i status overdue", lambda s, d: stream
     """SELECT obs_id AS alert_id, 'NEW' AS status, true AS overdue FROM obs WHERE NOT (k % 2 = 0 AND k % 40 + 1 <= 15) AND feed_us // 1000 + 900000 <= (
        SELECT max(feed_us + CASE WHEN k % 2 = 0 THEN (k % 40 + 1) * CAST(60000000 AS BIGINT) ELSE 0 END) // 1000 - 600000 FROM obs)""")
 
+SLICES = 8
+
+
+def sliced(df):
+    """Rows with the number of their slice of the time range, which are equally long."""
+    us = F.unix_micros("feed_timestamp")
+    lo, hi = df.agg(F.min(us)).scalar(), df.agg(F.max(us)).scalar()
+    return df.withColumn("slice", F.least(F.floor((us - lo) * SLICES / (hi - lo + 1)), F.lit(SLICES - 1)).cast("int"))
+
+
+SLICED = f"""sl AS (SELECT *, CAST(floor((feed_us - min(feed_us) OVER ()) * {SLICES} / (max(feed_us) OVER () - min(feed_us) OVER () + 1)) AS INT) AS slice FROM obs)"""
+
+
+def in_turns(s, rows, part, n, run):
+    """Rows arrive in ``n`` parts; after each the stream is started anew on the same folders and handed to ``run``."""
+    root = f"{checkpoint_root(s).rstrip('/')}/turns-{uuid.uuid4().hex}"
+    rows = cut_lineage(rows)
+    for i in range(n):
+        rows.filter(F.col(part) == i).drop(part).write.parquet(f"{root}/in/part={i}")
+        run(stream.file_feed(s, f"{root}/in", rows.drop(part).schema), root, i)
+    return root
+
+
+def updates(s, d):
+    """Ledger of a policy that is made anew for each batch, so every batch starts from what is on disk."""
+    rows = sliced(obs(s, d)).select("slice", "obs_id", "event_ts", "speed", "k", (F.col("value") > 50).cast("int").alias("y"), (F.col("k") >= 50).cast("int").alias("y_pred"))
+
+    def policy(root):
+        return UpdatePolicy(f"{root}/policy", ["speed", "k"], "y", "batch", warning=0.5, drift=0.52, refit=lambda *a: models.fit(*a, numTrees=3, maxDepth=3))
+
+    root = in_turns(s, rows, "slice", SLICES, lambda live_rows, root, i: stream.run_to_sink(live_rows, policy(root), f"{root}/checkpoint"))
+    return policy(root).ledger(s)
+
+
+add("mon11_update_policy", "batch:i rows:i errors:i seen:i wrong:i warning drift fitted pending:i first_batch:i", updates,
+    """SELECT batch, rows, errors, seen, wrong, warning, drift, due AS fitted, seen AS pending, first_batch FROM (
+       WITH RECURSIVE p AS (SELECT slice AS batch, count(*) AS rows, count(*) FILTER ((value > 50) IS DISTINCT FROM (k >= 50)) AS errors FROM sl GROUP BY 1),
+       w(batch, rows, errors, seen, wrong, first_batch) AS (SELECT batch, rows, errors, rows, errors, 0 FROM p WHERE batch = 0 UNION ALL
+         SELECT p.batch, p.rows, p.errors, CASE WHEN f THEN 0 ELSE seen END + p.rows, CASE WHEN f THEN 0 ELSE wrong END + p.errors, CASE WHEN f THEN p.batch ELSE first_batch END
+         FROM (SELECT *, seen >= 100 AND (wrong / seen + sqrt(wrong / seen * (1 - wrong / seen) / seen) > 0.5 OR wrong / seen + 2 * sqrt(wrong / seen * (1 - wrong / seen) / seen) > 0.52) AS f FROM w) w
+         JOIN p ON p.batch = w.batch + 1)
+       SELECT *, seen >= 30 AND wrong / seen + sqrt(wrong / seen * (1 - wrong / seen) / seen) > 0.5 AS warning, seen >= 30 AND wrong / seen + 2 * sqrt(wrong / seen * (1 - wrong / seen) / seen) > 0.52 AS drift,
+         (warning OR drift) AND seen >= 100 AS due FROM w)""", ctes=SLICED)
+
+
+def late_rows(s, d):
+    """Three quarters of the time range arrive first, then the rest with every 50th row of the first part: most of these are late."""
+    o = sliced(obs(s, d)).withColumn("part", F.when((F.col("slice") < 6) & (F.col("obs_id") % 50 != 7), 0).otherwise(1))
+
+    def run(live_rows, root, i):
+        query = stream.run_to_files(stream.dedup(live_rows, ("obs_id", "feed_timestamp"), "feed_timestamp"), f"{root}/out")
+        stream.save_progress(query, f"{root}/progress")
+
+    root = in_turns(s, o.select("part", "obs_id", "feed_timestamp"), "part", 2, run)
+    kept = s.read.schema("obs_id bigint").parquet(f"{root}/out/data").agg(F.count(F.lit(1))).scalar()
+    return s.read.schema(stream.PROGRESS).parquet(f"{root}/progress").agg(F.sum("rows_in").alias("rows_in"), F.sum("rows_late").alias("rows_late")).withColumn("rows_kept", kept)
+
+
+add("str11_late_rows", "rows_in:i rows_late:i rows_kept:i", late_rows,
+    """SELECT count(*) AS rows_in, count(*) FILTER (late) AS rows_late, count(*) FILTER (NOT late) AS rows_kept FROM (SELECT slice < 6 AND obs_id % 50 = 7 AND feed_us <= (
+       SELECT max(feed_us) // 1000 - 600000 FROM sl WHERE slice < 6 AND obs_id % 50 <> 7) * 1000 AS late FROM sl)""", ctes=SLICED)
+
+
+def sink(s, d):
+    """Every batch is written twice, as after a failure between the write and the commit."""
+    def twice(root):
+        write = stream.table_sink(f"{root}/table", "delays")
+        return lambda batch, n: [write(batch, n) for _ in range(2)] and None
+
+    rows = sliced(obs(s, d)).select("slice", "route_id", "delay_sec")
+    root = in_turns(s, rows, "slice", SLICES, lambda live_rows, root, i: stream.run_to_sink(live_rows, twice(root), f"{root}/checkpoint"))
+    return stream.read_sink(s, f"{root}/table", "delays").groupBy("route_id").agg(F.count(F.lit(1)).alias("n"), F.sum("delay_sec").alias("delay"))
+
+
+add("snk04_table_sink", "route_id n:i delay:f", sink, "SELECT route_id, count(*) AS n, sum(delay_sec) AS delay FROM obs GROUP BY 1", digits=3)
+
 FEATURES = ["delay", "velocity", "hour", "weekday", "is_rush"]
 
 
@@ -81,6 +161,26 @@ def parts(s, d):
 
 
 add("ml01_fit_predict", "obs_id:i y_pred:i", lambda s, d: models.fit_predict(*parts(s, d), FEATURES, "y", numTrees=8))
+
+
+def registered(s, d):
+    """Two versions are registered with their validation F1; loaded ones score like the fitted ones."""
+    train, val, test = parts(s, d)
+    models_of = Registry(s, f"{checkpoint_root(s).rstrip('/')}/registry-{uuid.uuid4().hex}")
+    out = None
+    for depth in (2, 5):
+        model = models.fit(train, FEATURES, "y", numTrees=5, maxDepth=depth)
+        tuned = models.tune_threshold(models.score(model, val), "y", "score").first()
+        version = models_of.register("state", model, FEATURES, "y", tuned["threshold"], f1=tuned["f1"])
+        fitted = models.score(model, test, tuned["threshold"]).select("obs_id", F.col("score").alias("_s"), F.col("y_pred").alias("_p"))
+        both = models_of.score(test, "state", version).join(fitted, "obs_id")
+        row = both.agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("score") != F.col("_s")) | (F.col("y_pred") != F.col("_p"))).alias("different")).withColumn("version", F.lit(version))
+        out = row if out is None else out.unionByName(row)
+    return out.withColumn("latest", F.lit(models_of.latest("state")))
+
+
+add("snk03_ml10_registry", "version:i n:i different:i latest:i", registered,
+    "SELECT v AS version, count(*) AS n, 0 AS different, 2 AS latest FROM sp, range(1, 3) AS u(v) WHERE split = 'test' GROUP BY v", ctes=RANK)
 add("ml04_cmp11_chain", "approach f1_macro:f hamming_loss:f subset_accuracy:f",
     lambda s, d: (lambda p: models.compare_chain(p[0], p[2], FEATURES, ["y", "y2"], numTrees=5, maxDepth=4))(parts(s, d)))
 add("ml08_search", "params value:f", lambda s, d: (lambda p: models.search(p[0], p[1], FEATURES, "y", "forest", {"numTrees": [4, 8], "maxDepth": [3, 5]}))(parts(s, d)))

@@ -90,6 +90,52 @@ def run_to_files(stream: DataFrame, path: str, mode: str = "append", name: str |
     return query
 
 
+def run_to_sink(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, name: str | None = None):
+    """Hand everything available now to a sink, batch by batch; a later call with the same checkpoint goes on; returns the query."""
+    writer = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    query = (writer.queryName(name) if name else writer).start()
+    query.awaitTermination()
+    return query
+
+
+def table_sink(path: str, name: str) -> Callable[[DataFrame, int], None]:
+    """Sink that writes batch n of query ``name`` to its own folder.  A batch that comes again after a failure overwrites
+    its folder, so no row is written twice; ``read_sink`` reads all batches."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/query={name}/batch={batch_id}")
+
+    return write
+
+
+def read_sink(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return spark.read.option("basePath", path).parquet(f"{path}/query={name}").drop("query", "batch")
+
+
+PROGRESS = "batch bigint, rows_in bigint, rows_late bigint, state_rows bigint, watermark string"
+
+
+def progress_rows(query) -> DataFrame:
+    """Per micro-batch of a finished or running query: rows read, rows dropped as later than the watermark, rows of state.
+
+    Spark keeps the newest ``spark.sql.streaming.numRecentProgressUpdates`` batches; ``save_progress`` collects them in a table.
+    A windowed aggregate counts its late rows after the partial aggregation, a de-duplication each row.
+    """
+    rows = []
+    for p in query.recentProgress:
+        state = p["stateOperators"] or []
+        rows.append((p["batchId"], p["numInputRows"], sum(o["numRowsDroppedByWatermark"] for o in state), sum(o["numRowsTotal"] for o in state),
+                     (p["eventTime"] or {}).get("watermark")))
+    return SparkSession.active().createDataFrame(rows, PROGRESS)
+
+
+def save_progress(query, path: str) -> DataFrame:
+    """Add the progress of a query to the table at ``path``, one folder per batch, and read the table back."""
+    spark = SparkSession.active()
+    progress_rows(query).withColumn("of", F.col("batch")).coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        .partitionBy("of").parquet(path)
+    return spark.read.schema(PROGRESS).parquet(path)
+
+
 def replay(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over the data there is and read its output back as a table (for replays and tests)."""
     import uuid

@@ -74,17 +74,69 @@ def test_overdue_alerts(spark, tmp_path):
     assert out.filter("alert_id = 1 and status = 'ACKNOWLEDGED'").count() == 1
 
 
-def test_update_policy(spark, tmp_path):
-    df = views.obs(spark, SF).selectExpr("obs_id", "event_ts", "speed", "cast(value > 50 as int) as y", "cast(k > 50 as int) as y_pred")
-    fitted = []
-    class Stub:
-        def write(self):
-            return self
-        def overwrite(self):
-            return self
-        def save(self, path):
-            fitted.append(path)
-    policy = UpdatePolicy(str(tmp_path / "buffer"), str(tmp_path / "model"), ["speed"], "y", "batch", 400, refit=lambda *a: Stub())
+class Stub:
+    def write(self):
+        return self
+
+    def overwrite(self):
+        return self
+
+    def save(self, path):
+        pass
+
+
+@pytest.mark.parametrize("mode,want", [("batch", [1, 3]), ("immediate", [0, 1, 2, 3]), ("window", [0, 1, 2, 3])])
+def test_update_policy(spark, tmp_path, mode, want):
+    """A policy made anew before each batch, and every batch twice, goes on like one that lives through all of them."""
+    df = views.obs(spark, SF).selectExpr("obs_id", "event_ts", "speed", "cast(value > 50 as int) as y", "cast(k > 50 as int) as y_pred").cache()
+    trained = {"one": [], "many": []}
+
+    def policy(name):
+        return UpdatePolicy(str(tmp_path / name), ["speed"], "y", mode, 400, 300, warning=0.3, drift=0.3,
+                            refit=lambda train, *a: trained[name].append(sorted(r[0] for r in train.select("obs_id").collect())) or Stub())
+
+    one = policy("one")
     for i in range(4):
-        policy(df.filter(f"obs_id % 4 = {i}"), i)
-    assert [b for b, _ in policy.updates] == [1, 3] and len(fitted) == 2
+        part = df.filter(f"obs_id % 4 = {i}")
+        one(part, i)
+        policy("many")(part, i)
+        policy("many")(part, i)
+    ledgers = [sorted(map(tuple, policy(name).ledger(spark).collect())) for name in trained]
+    assert ledgers[0] == ledgers[1] and trained["one"] == trained["many"]
+    assert [r["batch"] for r in policy("one").ledger(spark).filter("fitted").orderBy("batch").collect()] == want
+    if mode == "batch":
+        assert trained["one"][0] == sorted(r[0] for r in df.filter("obs_id % 4 < 2").select("obs_id").collect())
+    if mode == "window":
+        seen = df.filter("obs_id % 4 in (1, 2)").orderBy(F.desc(F.col("obs_id") % 4), F.desc("event_ts"), F.desc("obs_id")).limit(300)
+        assert trained["one"][2] == sorted(r[0] for r in seen.select("obs_id").collect())
+
+
+def test_unfinished_batch_is_done_again(spark, tmp_path):
+    df = spark.range(100).selectExpr("id as obs_id", "timestamp_seconds(id) as event_ts", "id % 2 as y", "0L as y_pred")
+
+    def broken(*a):
+        raise OSError("lost")
+
+    with pytest.raises(OSError):
+        UpdatePolicy(str(tmp_path), ["obs_id"], "y", "immediate", refit=broken)(df, 0)
+    policy = UpdatePolicy(str(tmp_path), ["obs_id"], "y", "immediate", refit=lambda *a: Stub())
+    assert policy.ledger(spark).isEmpty()
+    policy(df, 0)
+    assert [tuple(r) for r in policy.ledger(spark).select("rows", "errors", "fitted").collect()] == [(100, 50, True)]
+
+
+def test_registry(spark, tmp_path):
+    from stopwise.ml import models
+    from stopwise.ml.registry import Registry
+
+    df = spark.range(60).selectExpr("id", "cast(id % 10 as double) as x", "cast(id % 10 > 4 as int) as y")
+    found = Registry(spark, str(tmp_path))
+    assert found.latest("m") == 0
+    for depth, f1 in ((1, 0.9), (2, 0.5)):
+        found.register("m", models.fit(df, ["x"], "y", numTrees=2, maxDepth=depth), ["x"], "y", 0.4, f1=f1)
+    assert found.latest("m") == 2 and found.best("m", "f1") == 1 and found.load("m", 1)[1:] == (["x"], 0.4)
+    assert {r["model_version"] for r in found.score(df, "m").collect()} == {2}
+    with pytest.raises(KeyError):
+        found.load("other", 1)
+    with pytest.raises(ValueError):
+        found.score(df.drop("x"), "m")
