@@ -91,13 +91,15 @@ def obs_edges(s, d):
 
 OEDGES = """edges AS (SELECT DISTINCT src, dst FROM (SELECT stop_id AS src, lead(stop_id) OVER (PARTITION BY trip_id ORDER BY stop_sequence, stop_id) AS dst FROM (
   SELECT trip_id, stop_sequence, min(stop_id) AS stop_id FROM obs GROUP BY 1, 2)) WHERE substring(src, 2) < substring(dst, 2))"""
-add("grf09_network_load", "obs_id:i network_disruption_load:f network_load_normalized:f", lambda s, d: graph.network_load(lab(s, d), obs_edges(s, d)),
-    """SELECT obs_id, coalesce(v, 0) AS network_disruption_load, coalesce(v, 0) / nullif(severity_score, 0) AS network_load_normalized FROM lab LEFT JOIN (
+LOAD = """SELECT obs_id, coalesce(v, 0) AS network_disruption_load, coalesce(v, 0) / nullif(severity_score, 0) AS network_load_normalized FROM lab LEFT JOIN (
        SELECT src AS stop_id, sum(coalesce(sev, 0)) AS v FROM hop2 LEFT JOIN (SELECT stop_id AS dst, arg_max(severity_score, feed_us) AS sev FROM lab GROUP BY 1)
-       USING (dst) GROUP BY 1) USING (stop_id)""", ctes=OEDGES + ",\n" + TWO)
+       USING (dst) GROUP BY 1) USING (stop_id)"""
+add("grf09_network_load", "obs_id:i network_disruption_load:f network_load_normalized:f", lambda s, d: graph.network_load(lab(s, d), obs_edges(s, d)),
+    LOAD, ctes=OEDGES + ",\n" + TWO)
 
-# The check SQL above takes half of the edges; this one takes all and has no SQL.
-add("grf09_network_load_all_edges", "obs_id:i network_disruption_load:f network_load_normalized:f", lambda s, d: graph.network_load(lab(s, d), all_obs_edges(s, d)))
+# The query above takes half of the edges; this one takes all.
+add("grf09_network_load_all_edges", "obs_id:i network_disruption_load:f network_load_normalized:f", lambda s, d: graph.network_load(lab(s, d), all_obs_edges(s, d)),
+    LOAD, ctes=OEDGES.replace(" WHERE substring(src, 2) < substring(dst, 2)", " WHERE dst IS NOT NULL") + ",\n" + TWO)
 
 add("srt05_sample_trips", "trip_id stop_id", lambda s, d: graph.sample_trips(views.stop_times(s, d), 100))
 add("srt06_sample_rows", "event_id:i", lambda s, d: graph.sample_rows(table(s, d, "events"), "event_id", 200))

@@ -6,7 +6,9 @@ short and a lost executor costs one round.  Per-node tables are joined to the ed
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stopwise.operators.temporal import latest_per_key
@@ -15,6 +17,10 @@ from stopwise.session import cut_lineage
 from stopwise.skew import attach, lookup
 
 SEQ = ["stop_sequence", "stop_id"]
+#: Pairs of edges through one node above which its edges are cut into blocks, or its neighbourhood is summed as a whole.
+HUB_PAIRS = 1_000_000
+#: Rows of (source, reached node) that one round of betweenness sources may have.
+REACHED = 100_000_000
 
 
 def _next_stop(stop_times: DataFrame) -> DataFrame:
@@ -63,19 +69,73 @@ def node_index(nodes: DataFrame, node: str) -> DataFrame:
     return placed.withColumn("_p", part).join(F.broadcast(shift), "_p").select(node, (place + F.col("_shift")).alias("node_idx"))
 
 
-def two_hop(edges: DataFrame) -> DataFrame:
+def _hubs(into: DataFrame, out: DataFrame, limit: int) -> DataFrame:
+    """``mid`` with the numbers of blocks of its in- and out-edges, for nodes with more than ``limit`` pairs through them."""
+    a = into.groupBy("mid").agg(F.count(F.lit(1)).alias("_a"))
+    b = out.groupBy("mid").agg(F.count(F.lit(1)).alias("_b"))
+    side = limit ** 0.5
+    heavy = a.join(b, "mid").filter(F.col("_a").cast("double") * F.col("_b") > limit)
+    return heavy.select("mid", F.ceil(F.col("_a") / side).cast("int").alias("_a"), F.ceil(F.col("_b") / side).cast("int").alias("_b"))
+
+
+def _through(into: DataFrame, out: DataFrame, limit: int) -> DataFrame:
+    """Pairs (src, mid) with (mid, dst).  The edges of a hub are cut into blocks of sqrt(limit) on both sides and every pair of
+    blocks is a join key of its own, so a star is spread over tasks and an edge is copied once per block it meets."""
+    hubs = cut_lineage(_hubs(into, out, limit))
+    left, right = lookup(into, hubs, ["mid"], F.xxhash64("src")), lookup(out, hubs, ["mid"], F.xxhash64("dst"))
+
+    def block(name: str, of: str) -> Column:
+        return F.coalesce(F.pmod(F.xxhash64(name), F.col(of)).cast("int"), F.lit(0))
+
+    def every(of: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.coalesce(F.col(of), F.lit(1)) - 1))
+
+    left = left.withColumns({"_i": block("src", "_a"), "_j": every("_b")}).drop("_a", "_b")
+    right = right.withColumns({"_i": every("_a"), "_j": block("dst", "_b")}).drop("_a", "_b")
+    return left.join(right, ["mid", "_i", "_j"]).drop("_i", "_j")
+
+
+def two_hop(edges: DataFrame, limit: int = HUB_PAIRS) -> DataFrame:
     """Nodes reachable in one or two steps, without the node itself."""
-    first = edges.select("src", "dst").distinct()
-    second = first.select("src", F.col("dst").alias("mid")).join(
-        first.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
-    return first.union(second).filter("src <> dst").distinct()
+    first = cut_lineage(edges.select("src", "dst").distinct())
+    second = _through(first.select("src", F.col("dst").alias("mid")), first.select(F.col("src").alias("mid"), "dst"), limit)
+    return first.union(second.select("src", "dst")).filter("src <> dst").distinct()
 
 
-def network_load(df: DataFrame, edges: DataFrame, severity: str = "severity_score", spread: str = "obs_id") -> DataFrame:
+def two_hop_load(edges: DataFrame, weights: DataFrame, limit: int = HUB_PAIRS) -> DataFrame:
+    """``src`` and ``load``: the sum of ``weight`` (per ``dst``) over the nodes reachable in one or two steps, without the node itself.
+
+    Pairs are made through light nodes only.  What lies behind hubs is summed once per set of hubs that some node leads to, and
+    is shared by all nodes with that set; what such a node also reaches by light ways counts only when it is not behind its hubs.
+    """
+    first = cut_lineage(edges.select("src", "dst").distinct())
+    weighed = weights.filter(F.col("weight") != 0)
+    ends = cut_lineage(lookup(first, weighed, ["dst"], F.xxhash64("src")).filter("weight is not null"))
+    into, out = first.select("src", F.col("dst").alias("mid")), ends.select(F.col("src").alias("mid"), "dst", "weight")
+    hubs = cut_lineage(_hubs(into, out, limit).select("mid"))
+    if hubs.isEmpty():
+        light = ends.unionByName(into.join(out, "mid").select("src", "dst", "weight")).filter("src <> dst").distinct()
+        return light.groupBy("src").agg(F.sum("weight").alias("load"))
+    flags = hubs.withColumn("_hub", F.lit(True))
+    marked = cut_lineage(lookup(into, flags, ["mid"], F.xxhash64("src")))
+    light = ends.unionByName(marked.filter("_hub is null").join(out, "mid").select("src", "dst", "weight")).filter("src <> dst").distinct()
+    sets = cut_lineage(marked.filter("_hub").groupBy("src").agg(F.array_sort(F.collect_set("mid")).alias("hubs")))
+    behind = cut_lineage(_through(
+        sets.select("hubs").distinct().select(F.col("hubs").alias("src"), F.explode("hubs").alias("mid")), out, limit).select(
+        F.col("src").alias("hubs"), "dst", "weight").distinct())
+    shared = behind.groupBy("hubs").agg(F.sum("weight").alias("_all"))
+    own = behind.select("hubs", F.col("dst").alias("src"), F.col("weight").alias("_own"))
+    more = light.join(sets, "src", "left").join(behind.select("hubs", "dst", F.lit(True).alias("_in")), ["hubs", "dst"], "left") \
+        .filter("_in is null").groupBy("src").agg(F.sum("weight").alias("_more"))
+    mine = sets.join(shared, "hubs", "left").join(own, ["hubs", "src"], "left").select(
+        "src", (F.coalesce("_all", F.lit(0)) - F.coalesce("_own", F.lit(0))).alias("_far"))
+    return mine.join(more, "src", "full").select("src", (F.coalesce("_far", F.lit(0)) + F.coalesce("_more", F.lit(0))).alias("load"))
+
+
+def network_load(df: DataFrame, edges: DataFrame, severity: str = "severity_score", spread: str = "obs_id", limit: int = HUB_PAIRS) -> DataFrame:
     """Sum of the latest severities over the two-hop neighbourhood of the stop, also relative to the own severity."""
-    latest = latest_per_key(df, ["stop_id"], severity).select(F.col("stop_id").alias("dst"), F.col(f"last_{severity}").alias("_sev"))
-    load = lookup(two_hop(edges), latest, ["dst"], F.xxhash64("src")).groupBy(F.col("src").alias("stop_id")).agg(
-        F.sum(F.coalesce("_sev", F.lit(0))).alias("network_disruption_load"))
+    latest = latest_per_key(df, ["stop_id"], severity).select(F.col("stop_id").alias("dst"), F.col(f"last_{severity}").alias("weight"))
+    load = two_hop_load(edges, latest, limit).select(F.col("src").alias("stop_id"), F.col("load").alias("network_disruption_load"))
     rows = attach(df, load, ["stop_id"], F.col(spread))
     out = rows.withColumn("network_disruption_load", F.coalesce("network_disruption_load", F.lit(0)).cast("double"))
     return out.withColumn("network_load_normalized", F.try_divide(F.col("network_disruption_load"), F.col(severity)))
@@ -151,35 +211,20 @@ def largest_component(edges: DataFrame) -> DataFrame:
     return inside.filter("component is not null").drop("component")
 
 
-def betweenness(edges: DataFrame, sources: int | None = None, seed: int = 42, directed: bool = False, lcc: bool = True) -> DataFrame:
-    """Betweenness centrality from shortest paths out of all nodes, or of ``sources`` sampled ones and scaled to all.
+def _dependencies(links: DataFrame, sources: DataFrame, directed: bool) -> DataFrame:
+    """``v, dep``: Brandes dependencies out of the given sources.
 
-    State is one row per (source, reached node).  The search front advances one level per round, path counts are
-    summed by node, and the dependencies are collected level by level on the way back.  With as many sources as
-    nodes the result is exact.
+    Every level of the search is a table that is written once.  In an undirected graph a neighbour of the front is in one of
+    the last two levels or new; with directed links an edge may lead back to any level, so all of them are read.
     """
-    graph = largest_component(edges) if lcc else edges
-    links = graph.select("src", "dst").filter("src <> dst")
-    if not directed:
-        links = links.union(links.select("dst", "src"))
-    links = cut_lineage(links.distinct())
-    nodes = cut_lineage(links.select(F.col("src").alias("node")).union(links.select("dst")).distinct())
-    n = nodes.count()
-    k = n if sources is None else min(sources, n)
-    picked = nodes if k == n else nodes.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(k)
-    visited = cut_lineage(picked.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(0).alias("d"),
-                                        F.lit(1.0).alias("sigma")))
-    levels = [visited]
+    levels = [cut_lineage(sources.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(1.0).alias("sigma")))]
     while True:
-        front = levels[-1]
-        grown = front.join(links.withColumnRenamed("src", "v"), "v").groupBy("s", F.col("dst").alias("v")).agg(
-            F.sum("sigma").alias("sigma"))
-        fresh = cut_lineage(grown.join(visited.select("s", "v"), ["s", "v"], "left_anti").select(
-            "s", "v", F.lit(len(levels)).alias("d"), "sigma"))
+        grown = levels[-1].join(links.withColumnRenamed("src", "v"), "v").groupBy("s", F.col("dst").alias("v")).agg(F.sum("sigma").alias("sigma"))
+        seen = reduce(DataFrame.unionByName, [x.select("s", "v") for x in (levels if directed else levels[-2:])])
+        fresh = cut_lineage(grown.join(seen, ["s", "v"], "left_anti").select("s", "v", "sigma"))
         if fresh.isEmpty():
             break
         levels.append(fresh)
-        visited = cut_lineage(visited.unionByName(fresh))
     total = None
     below = None
     for level in reversed(levels):
@@ -195,8 +240,29 @@ def betweenness(edges: DataFrame, sources: int | None = None, seed: int = 42, di
         mine = here.filter("s <> v").groupBy("v").agg(F.sum("delta").alias("dep"))
         total = mine if total is None else total.unionByName(mine)
         below = here
+    return total.groupBy("v").agg(F.sum("dep").alias("dep"))
+
+
+def betweenness(edges: DataFrame, sources: int | None = None, seed: int = 42, directed: bool = False, lcc: bool = True,
+                reached: int = REACHED) -> DataFrame:
+    """Betweenness centrality from shortest paths out of all nodes, or of ``sources`` sampled ones and scaled to all.
+
+    State is one row per (source, reached node), written twice: when the search reaches it and on the way back.  Sources are
+    taken in rounds of at most about ``reached`` such rows.  With as many sources as nodes the result is exact.
+    """
+    graph = largest_component(edges) if lcc else edges
+    links = graph.select("src", "dst").filter("src <> dst")
+    if not directed:
+        links = links.union(links.select("dst", "src"))
+    links = cut_lineage(links.distinct())
+    nodes = cut_lineage(links.select(F.col("src").alias("node")).union(links.select("dst")).distinct())
+    n = nodes.count()
+    k = n if sources is None else min(sources, n)
+    picked = nodes if k == n else cut_lineage(nodes.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(k))
+    rounds = max(1, -(-k * n // reached))
+    parts = [cut_lineage(_dependencies(links, picked.filter(F.pmod(F.xxhash64("node", F.lit(seed + 1)), F.lit(rounds)) == i), directed)) for i in range(rounds)]
     scale = (1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0) * n / max(k, 1)
-    sums = total.groupBy(F.col("v").alias("node")).agg(F.sum("dep").alias("dep"))
+    sums = reduce(DataFrame.unionByName, parts).groupBy(F.col("v").alias("node")).agg(F.sum("dep").alias("dep"))
     return nodes.join(sums, "node", "left").select("node", (F.coalesce("dep", F.lit(0.0)) * scale).alias("betweenness_centrality"))
 
 

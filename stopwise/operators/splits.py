@@ -10,10 +10,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stopwise.operators.label import disrupted
 from stopwise.ordered import with_running
-from stopwise.skew import lookup
+from stopwise.skew import lookup, position
+
+#: Accuracy of the sketch that brackets a cut.
+SKETCH = 10_000
 
 
 def with_rank(df: DataFrame, time: str, row_id: str, out: str = "rank") -> DataFrame:
@@ -22,14 +26,39 @@ def with_rank(df: DataFrame, time: str, row_id: str, out: str = "rank") -> DataF
     return ranked.withColumn(out, F.col(out) - 1).drop("_all")
 
 
+def _before_cut(df: DataFrame, time: str, row_id: str, shares: list[float]) -> list[Column]:
+    """Whether a row is among the first int(n * share) rows in (time, id) order, for each share.
+
+    A sketch of the instants gives an interval that must hold the cut; rows before it are only counted, and exact positions are
+    found among the rows inside it: about 4 / SKETCH of the table, or one instant when that holds more.  No other row is
+    shuffled, and the result is a comparison with the row at the cut.
+    """
+    at = F.coalesce(position(df, time), F.lit(-(1 << 53)))  # no time comes first
+    rows = df.select(at.alias("_p"), F.col(row_id).alias("_i"))
+    around = [min(1.0, max(0.0, share + side / SKETCH)) for share in shares for side in (-2, 2)]
+    grid = rows.agg(F.percentile_approx("_p", F.array(*map(F.lit, around)), F.lit(SKETCH))).scalar()
+    known = rows.agg(F.struct(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("_p") < grid[2 * k]).alias(f"c{k}") for k in range(len(shares))])).scalar()
+    out = []
+    for k, share in enumerate(shares):
+        near = rows.filter((F.col("_p") >= grid[2 * k]) & (F.col("_p") <= grid[2 * k + 1]))
+        place = F.floor(known["n"] * F.lit(share))
+        row = with_rank(near, "_p", "_i", "_r").filter(F.col("_r") == place - known[f"c{k}"]).select(F.struct("_p", "_i")).scalar()
+        before = (at < row["_p"]) | ((at == row["_p"]) & (F.col(row_id) < row["_i"]))
+        out.append(F.coalesce(before, place >= known["n"]))
+    return out
+
+
 def chronological_split(df: DataFrame, time: str, row_id: str, train: float = 0.7, val: float = 0.15, test: float = 0.15) -> DataFrame:
-    """``split`` = train / val / test by position; the cuts are int(n * ratio)."""
+    """``split`` = train / val / test by position in (time, id) order; the cuts are int(n * ratio), ids are unique."""
     if abs(train + val + test - 1.0) > 1e-8:
         raise ValueError("the ratios must add up to 1")
+    if isinstance(df.schema[time].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        first, second = _before_cut(df, time, row_id, [train, train + val])
+        return df.withColumn("split", F.when(first, "train").when(second, "val").otherwise("test"))
     n = df.agg(F.count(F.lit(1))).scalar()
-    first, second = F.floor(n * F.lit(train)), F.floor(n * F.lit(train + val))
+    rank = F.col("_rank")
     return with_rank(df, time, row_id, "_rank").withColumn(
-        "split", F.when(F.col("_rank") < first, "train").when(F.col("_rank") < second, "val").otherwise("test")).drop("_rank")
+        "split", F.when(rank < F.floor(n * F.lit(train)), "train").when(rank < F.floor(n * F.lit(train + val)), "val").otherwise("test")).drop("_rank")
 
 
 def gap_buffer(df: DataFrame, time: str, gap_minutes: float) -> DataFrame:

@@ -284,3 +284,38 @@ def test_simulate_takes_all_windows(spark):
     df = spark.createDataFrame(rows, "window_id int, part string, x double, y int")
     got = {(r.window_id, r.model) for r in models.simulate(df, ["x"], "y", None, ("forest",), numTrees=2, maxDepth=2).select("window_id", "model").collect()}
     assert got == {(w, k) for w in (1, 4) for k in ("forest",)}
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 30, 1])
+def test_two_hop_through_hubs(spark, limit):
+    """Two stars that share leaves, a chain, self links and repeats: pairs and sums as by hand, however hubs are cut."""
+    pairs = [(f"l{i}", "hub") for i in range(12)] + [("hub", f"r{i}") for i in range(9)] + [(f"l{i}", "mid") for i in range(4, 15)] + [("mid", f"r{i}") for i in range(5, 14)]
+    pairs += [("l0", "l1"), ("l1", "r2"), ("l1", "z"), ("z", "y"), ("y", "z"), ("r1", "r1"), ("hub", "l3"), ("hub", "l3"), ("r0", "hub"), ("y", "l5")]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, set()).add(b)
+    want = {(a, c) for a in out for b in out[a] for c in {b} | out.get(b, set()) if c != a}
+    assert {tuple(r) for r in graph.two_hop(edges, limit).collect()} == want
+    weight = {n: i % 5 - 1 for i, n in enumerate(sorted({x for p in pairs for x in p})) if i % 7}
+    weights = spark.createDataFrame([(n, w) for n, w in weight.items()] + [("l2x", None)], "dst string, weight int")
+    got = {r["src"]: r["load"] for r in graph.two_hop_load(edges, weights, limit).collect()}
+    sums = {a: sum(weight.get(c, 0) for b, c in want if b == a) for a in out}
+    assert {a: got.get(a, 0) for a in out} == sums
+
+
+@pytest.mark.parametrize("directed", [True, False])
+def test_betweenness_in_rounds(spark, directed):
+    edges = spark.createDataFrame(EDGES, "src string, dst string")
+    one = dict(graph.betweenness(edges, directed=directed).collect())
+    many = dict(graph.betweenness(edges, directed=directed, reached=10).collect())
+    assert one.keys() == many.keys() and all(math.isclose(one[n], many[n], abs_tol=1e-12) for n in one)
+
+
+def test_split_cuts_are_exact_with_ties_and_missing_times(spark, split_keys):
+    df = spark.range(700).selectExpr("(id * 389) % 700 as id", "case when id % 90 = 1 then null when id % 3 = 0 then timestamp_seconds(1000) else timestamp_seconds(900 + id % 160) end as ts")
+    order = sorted(df.collect(), key=lambda r: (r["ts"] is not None, r["ts"] and r["ts"].timestamp(), r["id"]))
+    for shares in ((0.7, 0.15, 0.15), (0.01, 0.5, 0.49), (0.5, 0.5, 0.0), (1.0, 0.0, 0.0)):
+        got = {r["id"]: r["split"] for r in splits.chronological_split(df, "ts", "id", *shares).collect()}
+        a, b = math.floor(700 * shares[0]), math.floor(700 * (shares[0] + shares[1]))
+        assert [got[r["id"]] for r in order] == ["train"] * a + ["val"] * (b - a) + ["test"] * (700 - b)
