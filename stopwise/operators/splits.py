@@ -6,9 +6,10 @@ over time slices, so no step sorts all rows in one task.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,8 +17,9 @@ from stopwise.operators.label import disrupted
 from stopwise.ordered import with_running
 from stopwise.skew import lookup, position
 
-#: Accuracy of the sketch that brackets a cut.
+#: Accuracy of the sketch that brackets a cut, and rows that one task may sort for the exact place.
 SKETCH = 10_000
+FEW = 200_000
 
 
 def with_rank(df: DataFrame, time: str, row_id: str, out: str = "rank") -> DataFrame:
@@ -26,25 +28,43 @@ def with_rank(df: DataFrame, time: str, row_id: str, out: str = "rank") -> DataF
     return ranked.withColumn(out, F.col(out) - 1).drop("_all")
 
 
+def _row_at(near: DataFrame, lo: int, hi: int, place: int, size: int) -> Row:
+    """The row at a position among ``size`` rows of (``_p``, ``_i``) whose ``_p`` lies from ``lo`` to ``hi``."""
+    while size > FEW and lo < hi:
+        shares = [min(1.0, max(0.0, place / size + side / SKETCH)) for side in (-2, 2)]
+        a, b = near.agg(F.percentile_approx("_p", shares, SKETCH)).first()[0]
+        if (a, b) == (lo, hi):
+            break
+        below, size = near.agg(F.count_if(F.col("_p") < a), F.count_if(F.col("_p").between(a, b))).first()
+        near, lo, hi, place = near.filter(F.col("_p").between(a, b)), a, b, place - below
+    if size > FEW:  # one instant holds this many rows
+        return with_rank(near, "_p", "_i", "_r").filter(F.col("_r") == place).first()
+    return near.orderBy("_p", "_i").offset(place).limit(1).first()
+
+
 def _before_cut(df: DataFrame, time: str, row_id: str, shares: list[float]) -> list[Column]:
     """Whether a row is among the first int(n * share) rows in (time, id) order, for each share.
 
-    A sketch of the instants gives an interval that must hold the cut; rows before it are only counted, and exact positions are
-    found among the rows inside it: about 4 / SKETCH of the table, or one instant when that holds more.  No other row is
-    shuffled, and the result is a comparison with the row at the cut.
+    A sketch of the instants gives an interval that must hold the row at the cut, about 4 / SKETCH of the table; rows before it
+    are only counted, and the interval is narrowed in the same way until few rows are left.  The result is a comparison with
+    the row at the cut, so no row is shuffled for the split itself.
     """
     at = F.coalesce(position(df, time), F.lit(-(1 << 53)))  # no time comes first
     rows = df.select(at.alias("_p"), F.col(row_id).alias("_i"))
     around = [min(1.0, max(0.0, share + side / SKETCH)) for share in shares for side in (-2, 2)]
-    grid = rows.agg(F.percentile_approx("_p", F.array(*map(F.lit, around)), F.lit(SKETCH))).scalar()
-    known = rows.agg(F.struct(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("_p") < grid[2 * k]).alias(f"c{k}") for k in range(len(shares))])).scalar()
+    n, grid = rows.agg(F.count(F.lit(1)), F.percentile_approx("_p", around, SKETCH)).first()
+    if not n:
+        return [F.lit(True) for _ in shares]
+    bounds = [(grid[2 * k], grid[2 * k + 1]) for k in range(len(shares))]
+    known = rows.agg(*[x for a, b in bounds for x in (F.count_if(F.col("_p") < a), F.count_if(F.col("_p").between(a, b)))]).first()
     out = []
-    for k, share in enumerate(shares):
-        near = rows.filter((F.col("_p") >= grid[2 * k]) & (F.col("_p") <= grid[2 * k + 1]))
-        place = F.floor(known["n"] * F.lit(share))
-        row = with_rank(near, "_p", "_i", "_r").filter(F.col("_r") == place - known[f"c{k}"]).select(F.struct("_p", "_i")).scalar()
-        before = (at < row["_p"]) | ((at == row["_p"]) & (F.col(row_id) < row["_i"]))
-        out.append(F.coalesce(before, place >= known["n"]))
+    for k, (share, (a, b)) in enumerate(zip(shares, bounds)):
+        place = math.floor(n * share)
+        if place >= n:
+            out.append(F.lit(True))
+            continue
+        row = _row_at(rows.filter(F.col("_p").between(a, b)), a, b, place - known[2 * k], known[2 * k + 1])
+        out.append((at < row["_p"]) | ((at == row["_p"]) & (F.col(row_id) < F.lit(row["_i"]))))
     return out
 
 

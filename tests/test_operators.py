@@ -312,7 +312,10 @@ def test_betweenness_in_rounds(spark, directed):
     assert one.keys() == many.keys() and all(math.isclose(one[n], many[n], abs_tol=1e-12) for n in one)
 
 
-def test_split_cuts_are_exact_with_ties_and_missing_times(spark, split_keys):
+@pytest.mark.parametrize("few,sketch", [(200_000, 10_000), (20, 10), (20, 100)])
+def test_split_cuts_are_exact_with_ties_and_missing_times(monkeypatch, spark, split_keys, few, sketch):
+    monkeypatch.setattr(splits, "FEW", few)
+    monkeypatch.setattr(splits, "SKETCH", sketch)
     df = spark.range(700).selectExpr("(id * 389) % 700 as id", "case when id % 90 = 1 then null when id % 3 = 0 then timestamp_seconds(1000) else timestamp_seconds(900 + id % 160) end as ts")
     order = sorted(df.collect(), key=lambda r: (r["ts"] is not None, r["ts"] and r["ts"].timestamp(), r["id"]))
     for shares in ((0.7, 0.15, 0.15), (0.01, 0.5, 0.49), (0.5, 0.5, 0.0), (1.0, 0.0, 0.0)):
