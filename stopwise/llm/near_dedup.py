@@ -218,11 +218,17 @@ def _pivot_pairs(open_lists: DataFrame, classes: DataFrame, salt: int) -> DataFr
 
 
 def _all_pairs(open_lists: DataFrame, classes: DataFrame) -> DataFrame:
-    """All pairs of members of a list that are in different components and may be linked."""
-    left = open_lists.join(_signed(classes, "a"), F.col("id") == F.col("id_a")).drop("id").withColumnRenamed("comp", "comp_a")
-    right = open_lists.join(_signed(classes, "b"), F.col("id") == F.col("id_b")).drop("id").withColumnsRenamed({"comp": "comp_b", "key": "key_b"})
-    on = (F.col("key") == F.col("key_b")) & (F.col("id_a") < F.col("id_b")) & (F.col("comp_a") != F.col("comp_b")) & _may_link("a", "b")
-    return left.join(right, on).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    """All pairs of members of a list that are in different components and may be linked, each in its first common list only.
+
+    Every entry knows the lists that its set is in before this one; when two entries share one of those, the pair is met there.
+    """
+    keys = open_lists.groupBy("id").agg(F.min("comp").alias("comp"), F.sort_array(F.collect_list("key")).alias("keys"))
+    rows = keys.join(classes.select("id", "n", *SIGNATURE), "id").select("id", "comp", "n", *SIGNATURE, "keys", F.posexplode("keys").alias("at", "key"))
+    rows = rows.withColumn("before", F.slice("keys", F.lit(1), F.col("at"))).drop("keys", "at")
+    left, right = (rows.select(*[F.col(c).alias(f"{c}_{side}") for c in rows.columns]) for side in "ab")
+    on = (F.col("key_a") == F.col("key_b")) & (F.col("id_a") < F.col("id_b")) & (F.col("comp_a") != F.col("comp_b")) & _may_link("a", "b") \
+        & ~F.arrays_overlap("before_a", "before_b")
+    return left.join(right, on).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
 def _open(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
