@@ -166,6 +166,7 @@ add("set03_transfer_stops", "stop_id", lambda s, d: timetable.transfer_stops(vie
 HAV = ("2 * 6371 * asin(sqrt(power(sin((radians({b}) - radians({a})) / 2), 2) + cos(radians({a})) * cos(radians({b})) * "
        "power(sin((radians({d}) - radians({c})) / 2), 2)))")
 HUB_KM = {n: HAV.format(a="stop_lat", b=a, c="stop_lon", d=b) for n, (a, b) in geo.HUBS.items()}
+ALL_HUB_KM = [HAV.format(a="stop_lat", b=a, c="stop_lon", d=b) for a, b in geo.ALL_HUBS.values()]
 add("mth09_stop_dimension",
     "stop_id is_station:i has_parent_station:i has_platform:i wheelchair_accessible_stop:i lat_bin:i lon_bin:i "
     "stop_degree:i is_hub_stop:i is_transfer_stop:i transfer_connection_count:i dist_to_nearest_hub_km:f",
@@ -176,7 +177,7 @@ add("mth09_stop_dimension",
         AS wheelchair_accessible_stop, round_even(stop_lat * 10, 0) AS lat_bin, round_even(stop_lon * 10, 0) AS lon_bin,
         coalesce(g.stop_degree, 0) AS stop_degree, CAST(coalesce(g.stop_degree, 0) > 5 AS INT) AS is_hub_stop,
         CAST(n IS NOT NULL AS INT) AS is_transfer_stop, coalesce(n, 0) AS transfer_connection_count,
-        round_even(least({', '.join(HUB_KM.values())}), 1) AS dist_to_nearest_hub_km
+        round_even(least({', '.join(ALL_HUB_KM)}), 1) AS dist_to_nearest_hub_km
         FROM stops LEFT JOIN sdeg g USING (stop_id) LEFT JOIN (SELECT stop_id, count(*) AS n FROM (SELECT from_stop_id AS
         stop_id FROM transfers UNION ALL SELECT to_stop_id FROM transfers) GROUP BY 1) USING (stop_id)""",
     "stop_times trips stops transfers", ctes=BRIDGE)

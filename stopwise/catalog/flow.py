@@ -184,6 +184,10 @@ add("snk03_ml10_registry", "version:i n:i different:i latest:i", registered,
 add("ml04_cmp11_chain", "approach f1_macro:f hamming_loss:f subset_accuracy:f",
     lambda s, d: (lambda p: models.compare_chain(p[0], p[2], FEATURES, ["y", "y2"], numTrees=5, maxDepth=4))(parts(s, d)))
 add("ml08_search", "params value:f", lambda s, d: (lambda p: models.search(p[0], p[1], FEATURES, "y", "forest", {"numTrees": [4, 8], "maxDepth": [3, 5]}))(parts(s, d)))
+add("ml08_halving", "rung:i share:f params value:f kept",
+    lambda s, d: (lambda p: models.halving(p[0], p[1], FEATURES, "y", "forest", models.sample_space({"numTrees": (2, 8, 2), "maxDepth": (2, 5, 1)}, 6), "obs_id"))(parts(s, d)))
+add("ml01_compare_models", "model threshold:f val_f1:f f1:f best",
+    lambda s, d: (lambda p: models.compare(*p, FEATURES, "y", {"forest": {"numTrees": 5}, "boosted": {"maxIter": 3}, "perceptron": {"maxIter": 20}}))(parts(s, d)))
 add("ml09_permutation_importance", "feature importance:f",
     lambda s, d: (lambda p: models.permutation_importance(models.fit(p[0], FEATURES, "y", numTrees=5), p[2], FEATURES, "y", "obs_id"))(parts(s, d)))
 add("str06_07_score_stream", "window_start n:i mean_probability:f disruption_rate:f",

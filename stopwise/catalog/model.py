@@ -143,6 +143,15 @@ add("dq01_schema_issues", "feed_type severity code n:i",
     lambda s, d: quality.schema_issues(feed_rows(s, d).drop("vehicle_id"), "vehicle_positions").unionByName(
         quality.schema_issues(feed_rows(s, d), "service_alerts")))
 
+add("dq01_required_fields", "feed_type field rows:i missing:i share:f severity code", lambda s, d: quality.required_fields(feed_rows(s, d)),
+    """SELECT feed_type, r.f AS field, rows, r.m AS missing, r.m / rows AS share, CASE WHEN r.m > 0 THEN r.s END AS severity,
+       CASE WHEN r.m > 0 THEN r.c || upper(r.f) END AS code FROM (SELECT feed_type, count(*) AS rows, unnest(CASE feed_type
+       WHEN 'vehicle_positions' THEN [{'f': 'vehicle_id', 'm': count(*) - count(vid), 's': 'error', 'c': 'NULL_'}, {'f': 'trip_id', 'm': count(*) - count(trip_id), 's': 'error', 'c': 'NULL_'},
+         {'f': 'latitude', 'm': count(*) - count(lat), 's': 'warn', 'c': 'NULL_'}, {'f': 'longitude', 'm': count(*) - count(stop_lon), 's': 'warn', 'c': 'NULL_'}]
+       WHEN 'trip_updates' THEN [{'f': 'trip_id', 'm': count(*) - count(trip_id), 's': 'error', 'c': 'NULL_'}, {'f': 'stop_id', 'm': count(*), 's': 'warn', 'c': 'MISSING_'}]
+       ELSE [{'f': 'alert_id', 'm': count(*), 's': 'error', 'c': 'MISSING_'}, {'f': 'cause', 'm': count(*), 's': 'warn', 'c': 'MISSING_'}, {'f': 'effect', 'm': count(*), 's': 'warn', 'c': 'MISSING_'}]
+       END) AS r FROM fr GROUP BY feed_type)""", ctes=FEED)
+
 add("dq02_06_feed_metrics",
     "feed_type n_rows:i feed_age_seconds:f out_of_bounds:i implausible_speed:i null_vehicle_id:i large_negative_delay:i duplicate_ids:i coverage_trips_pct:f coverage_routes_pct:f",
     lambda s, d: quality.feed_metrics(feed_rows(s, d), F.lit(AS_OF)),
@@ -158,9 +167,10 @@ add("dq09_vehicles_without_updates", "entity_id trip_id",
     lambda s, d: quality.without_updates(feeds.vehicle_positions(views.messages(s, d)), feeds.trip_updates(views.messages(s, d)).filter("stop_sequence = 3")),
     "SELECT entity_id, trip_id FROM vp WHERE NOT EXISTS (SELECT 1 FROM tu WHERE tu.trip_id = vp.trip_id AND stop_sequence = 3)", "obs feeds")
 
-# The check SQL above tests against the updates of one stop; this one tests against all and has no SQL.
+# The query above tests against the updates of one stop; this one tests against all.
 add("dq09_vehicles_without_any_update", "entity_id trip_id",
-    lambda s, d: quality.without_updates(feeds.vehicle_positions(views.messages(s, d)), feeds.trip_updates(views.messages(s, d))))
+    lambda s, d: quality.without_updates(feeds.vehicle_positions(views.messages(s, d)), feeds.trip_updates(views.messages(s, d))),
+    "SELECT entity_id, trip_id FROM vp WHERE NOT EXISTS (SELECT 1 FROM tu WHERE tu.trip_id = vp.trip_id)", "obs feeds")
 
 # ---------------------------------------------------------------- splits
 RANK = """rk AS (SELECT *, row_number() OVER (ORDER BY event_ts, obs_id) - 1 AS rank, count(*) OVER () AS n FROM lab),

@@ -175,10 +175,9 @@ add("mth10_cause_effect_codes", "obs_id:i cause_id:i effect_id:i alert_severity_
     """SELECT obs_id, c AS cause_id, e AS effect_id, abs(c) + abs(e) AS alert_severity_composite FROM (SELECT obs_id,
        CASE WHEN k % 14 BETWEEN 1 AND 12 THEN k % 14 - 1 ELSE -1 END AS c, CASE WHEN k % 13 BETWEEN 1 AND 9 THEN k % 13 - 1 ELSE -1 END AS e FROM obs)""")
 
-add("mth15_risk_label", "obs_id:i risk_level",
-    lambda s, d: lab(s, d).withColumn("risk_level", label.risk_label(
-        (F.col("disruption_type") != "ON_TIME").cast("int"))),
-    "SELECT obs_id, CASE WHEN disruption_type <> 'ON_TIME' THEN 'high' ELSE 'low' END AS risk_level FROM lab")
+add("mth15_risk_label", "obs_id:i risk_level disruption_class",
+    lambda s, d: label.with_risk(lab(s, d).withColumn("disruption_target", (F.col("disruption_type") != "ON_TIME").cast("int"))),
+    "SELECT obs_id, CASE WHEN disruption_type <> 'ON_TIME' THEN 'high' ELSE 'low' END AS risk_level, 'unknown' AS disruption_class FROM lab")
 
 add("mth16_flt06_prediction_alerts", "obs_id:i severity_class:i severity_label message",
     lambda s, d: alerts.prediction_alerts(obs(s, d).withColumns({"bunching_index": F.col("k") / 100, "confidence": F.col("value") / 500})),

@@ -23,6 +23,15 @@ HUBS = {
     "DH": (52.0807, 4.3247),
 }
 
+# The eight hubs that a stop's nearest hub is looked for among.
+ALL_HUBS = {
+    **HUBS,
+    "LEI": (52.1663, 4.4814),
+    "SPL": (52.3094, 4.7625),
+    "EHV": (51.4431, 5.4813),
+    "AH": (51.9846, 5.9010),
+}
+
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     a1, a2 = F.radians(lat1), F.radians(lat2)

@@ -5,14 +5,17 @@ The driver only loops over small plans (folds, grid points, targets); every fit
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from itertools import product
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stopwise.metrics.classification import binary_metrics, multilabel_metrics, ranking_metrics, tune_threshold
@@ -126,6 +129,73 @@ def search(train: DataFrame, val: DataFrame, features: Sequence[str], label: str
     return train.sparkSession.createDataFrame(rows, "params string, value double").orderBy(F.desc("value"), "params")
 
 
+# The published search spaces, under the names of the parameters here: (low, high, step), (low, high, "log") or choices.
+SPACES = {
+    "forest": {"numTrees": (50, 300, 50), "maxDepth": (3, 15, 1), "minInstancesPerNode": (1, 10, 1), "featureSubsetStrategy": ["sqrt", "log2", "all"]},
+    "boosted": {"maxIter": (50, 300, 50), "maxDepth": (3, 10, 1), "stepSize": (0.01, 0.3, "log"), "minInstancesPerNode": (1, 10, 1)},
+    "perceptron": {"stepSize": (1e-4, 1e-2, "log"), "blockSize": [32, 64, 128, 256]},
+}
+
+
+def sample_space(space: dict, trials: int, seed: int = 42) -> list[dict]:
+    """Different random points of a space, the same for the same seed; fewer when the space is smaller."""
+    rng, out = random.Random(seed), []
+    for _ in range(20 * trials):
+        point = {}
+        for name, values in space.items():
+            if isinstance(values, list):
+                point[name] = rng.choice(values)
+            elif values[2] == "log":
+                point[name] = math.exp(rng.uniform(math.log(values[0]), math.log(values[1])))
+            else:
+                point[name] = rng.randrange(values[0], values[1] + 1, values[2])
+        if point not in out:
+            out.append(point)
+        if len(out) == trials:
+            break
+    return out
+
+
+def halving(train: DataFrame, val: DataFrame, features: Sequence[str], label: str, kind: str, points: Sequence[dict], row_id: str,
+            eta: int = 3, first_share: float = 1 / 9, workers: int = 4, seed: int = 42) -> DataFrame:
+    """Successive halving: all points are fitted on a small share of the rows, the best of ``eta`` go on to ``eta`` times the rows, until one
+    rung has them all.  A row is in a rung by its hash, so rungs grow by adding rows; the fits of a rung run side by side.
+
+    One row per fit: rung, share, parameters, ROC-AUC on ``val`` and whether the point went on (in the last rung: won).
+    """
+    shares = [1.0]
+    while shares[0] > first_share * (1 + 1e-9):
+        shares.insert(0, max(first_share, shares[0] / eta))
+    alive, rows = list(points), []
+    place = F.pmod(F.xxhash64(row_id, F.lit(seed)), F.lit(1_000_000))
+    for rung, share in enumerate(shares):
+        part = train if share == 1.0 else train.filter(place < int(share * 1_000_000))
+
+        def value(point: dict) -> float:
+            return ranking_metrics(score(fit(part, features, label, kind, **point), val), label, "score").first()["roc_auc"] or 0.0
+
+        with ThreadPoolExecutor(workers) as pool:
+            found = sorted(zip(pool.map(value, alive), map(str, alive), alive), key=lambda r: (-r[0], r[1]))
+        keep = 1 if share == 1.0 else max(1, -(-len(found) // eta))
+        rows += [(rung, share, name, float(v), i < keep) for i, (v, name, _) in enumerate(found)]
+        alive = [point for _, _, point in found[:keep]]
+    return train.sparkSession.createDataFrame(rows, "rung int, share double, params string, value double, kept boolean")
+
+
+def compare(train: DataFrame, val: DataFrame, test: DataFrame, features: Sequence[str], label: str,
+            kinds: dict[str, dict] = {"forest": {}, "boosted": {}, "perceptron": {}}) -> DataFrame:
+    """Every kind of model fitted on train, its threshold tuned on val: F1 on val and test, and which is best by val."""
+    out = None
+    for kind, params in kinds.items():
+        model = fit(train, features, label, kind, **params)
+        tuned = tune_threshold(score(model, val), label, "score").first()
+        row = binary_metrics(score(model, test, tuned["threshold"]), label, "y_pred").select(
+            F.lit(kind).alias("model"), F.lit(tuned["threshold"]).alias("threshold"), F.lit(tuned["f1"]).alias("val_f1"), "f1")
+        out = row if out is None else out.unionByName(row)
+    top = F.max(F.struct("val_f1", "model")).over(Window.partitionBy())  # one row per kind
+    return out.withColumn("best", top["model"] == F.col("model"))
+
+
 def tree_importance(model: PipelineModel, features: Sequence[str]) -> list[tuple[str, float]]:
     return sorted(zip(features, (float(x) for x in model.stages[-1].featureImportances.toArray())), key=lambda p: (-p[1], p[0]))
 

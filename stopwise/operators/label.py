@@ -124,10 +124,18 @@ def infer_type_from_delay(df: DataFrame) -> DataFrame:
         F.when(delay <= 2, "ON_TIME").when(delay <= 5, "MINOR_DELAY").when(delay > 5, "MAJOR_DELAY"))
 
 
-def risk_label(target: Column, confidence: Column | None = None) -> Column:
+def risk_label(target: Column) -> Column:
     return F.when(target == 1, "high").otherwise("low")
 
 
+def with_risk(df: DataFrame, target: str = "disruption_target") -> DataFrame:
+    """``risk_level`` from the target (low without one) and ``disruption_class`` = unknown, where the table has none of its own."""
+    out = df
+    if "risk_level" not in df.columns:
+        out = out.withColumn("risk_level", risk_label(F.col(target)) if target in df.columns else F.lit("low"))
+    return out if "disruption_class" in df.columns else out.withColumn("disruption_class", F.lit("unknown"))
+
+
 def pick_features(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
     """All numeric feature columns in schema order: no ids, targets, labels, text or clocks."""
     numeric = {"double", "float", "int", "bigint", "smallint", "tinyint", "boolean"}

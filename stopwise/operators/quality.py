@@ -31,6 +31,25 @@ def schema_issues(df: DataFrame, feed_type: str) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, ISSUE_DDL)
 
 
+def required_fields(df: DataFrame, feed: str = "feed_type") -> DataFrame:
+    """Per feed and required field: rows, rows without a value, their share, severity and code; one grouped pass over the rows.
+
+    A field is found under any of its names; without a column it is missing in every row.  Complete fields have no code.
+    """
+    names = {f: next((a for a in ALTERNATES.get(f, (f,)) if a in df.columns), None) for fields in REQUIRED.values() for f in fields}
+    found = df.groupBy(feed).agg(F.count(F.lit(1)).alias("rows"), *[
+        (F.count_if(F.col(f"`{name}`").isNull()) if name else F.count(F.lit(1))).alias(f"_{f}") for f, name in names.items()])
+    rows = None
+    for kind, fields in REQUIRED.items():
+        here = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_{f}").alias("missing"), F.lit(names[f] is not None).alias("present"),
+                                  F.lit("error" if f in FATAL else "warn").alias("severity")) for f in fields])
+        rows = F.when(F.col(feed) == kind, here) if rows is None else rows.when(F.col(feed) == kind, here)
+    out = found.select(F.col(feed).alias("feed_type"), "rows", F.explode(rows).alias("r")).select("feed_type", "rows", "r.*")
+    code = F.when(~F.col("present"), F.concat(F.lit("MISSING_"), F.upper("field"))).when(F.col("missing") > 0, F.concat(F.lit("NULL_"), F.upper("field")))
+    return out.select("feed_type", "field", "rows", "missing", (F.col("missing") / F.col("rows")).alias("share"),
+                      F.when(code.isNotNull(), F.col("severity")).alias("severity"), code.alias("code"))
+
+
 def max_age(feed_type: Column) -> Column:
     return F.when(feed_type == "service_alerts", 900).otherwise(90)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stopwise.functions.bins import cut, flag
 from stopwise.functions.clock import clock_seconds
-from stopwise.functions.geo import HUBS, haversine_km
+from stopwise.functions.geo import ALL_HUBS, haversine_km
 from stopwise.operators.temporal import clip, first_per_key
 from stopwise.ordered import with_totals, with_windows
 from stopwise.session import cut_lineage
@@ -72,10 +72,10 @@ def transfer_stops(transfers: DataFrame) -> DataFrame:
 
 
 def stop_dimension(stops: DataFrame, stop_degree: DataFrame, transfers: DataFrame) -> DataFrame:
-    """Station, parent, platform and wheelchair flags, bins, degree, hub and transfer flags, distance to a hub."""
+    """Station, parent, platform and wheelchair flags, bins, degree, hub and transfer flags, distance to the nearest of eight hubs."""
     base = first_per_key(stops, ["stop_id"], [F.coalesce("stop_name", F.lit(""))])
     lat, lon = F.col("stop_lat").try_cast("double"), F.col("stop_lon").try_cast("double")
-    nearest = F.least(*[haversine_km(lat, lon, F.lit(a), F.lit(b)) for a, b in HUBS.values()])
+    nearest = F.least(*[haversine_km(lat, lon, F.lit(a), F.lit(b)) for a, b in ALL_HUBS.values()])
     out = base.join(stop_degree, "stop_id", "left").join(transfer_counts(transfers), "stop_id", "left")
     degree = F.coalesce("stop_degree", F.lit(0))
     return out.withColumns({

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from stopwise.metrics import classification as cl
 from stopwise.metrics import significance
-from stopwise.ml import neighbours
-from stopwise.operators import graph, label, spatial, splits, summary, temporal
+from stopwise.ml import models, neighbours
+from stopwise.operators import graph, label, quality, spatial, splits, summary, temporal
 from stopwise.sources import readers
 from stopwise.testbed import views
 
@@ -322,3 +322,30 @@ def test_split_cuts_are_exact_with_ties_and_missing_times(monkeypatch, spark, sp
         got = {r["id"]: r["split"] for r in splits.chronological_split(df, "ts", "id", *shares).collect()}
         a, b = math.floor(700 * shares[0]), math.floor(700 * (shares[0] + shares[1]))
         assert [got[r["id"]] for r in order] == ["train"] * a + ["val"] * (b - a) + ["test"] * (700 - b)
+
+
+def test_halving_finds_the_point_of_the_full_search(spark):
+    df = spark.range(900).selectExpr("id", "cast(id * 37 % 101 as double) as x", "cast(id * 53 % 97 as double) as z", "cast((id * 37 % 101) * (id * 53 % 97) > 2500 as int) as y")
+    train, val = df.filter("id % 4 > 0"), df.filter("id % 4 = 0")
+    points = [{"numTrees": n, "maxDepth": m} for n in (1, 5) for m in (1, 4)]
+    full = models.search(train, val, ["x", "z"], "y", "forest", {"numTrees": [1, 5], "maxDepth": [1, 4]}).first()
+    found = models.halving(train, val, ["x", "z"], "y", "forest", points, "id", eta=2, first_share=0.5).collect()
+    won = [r for r in found if r["share"] == 1.0 and r["kept"]]
+    assert [(r["params"], r["value"]) for r in won] == [(full["params"], full["value"])]
+    assert sum(r["share"] == 1.0 for r in found) < len(points) and sum(r["share"] == 0.5 for r in found) == len(points)
+
+
+def test_sampled_points_lie_in_the_space():
+    for kind, space in models.SPACES.items():
+        points = models.sample_space(space, 30)
+        assert points == models.sample_space(space, 30) and len({str(p) for p in points}) == len(points) >= 4, kind
+        for p in points:
+            for name, v in p.items():
+                assert v in space[name] if isinstance(space[name], list) else space[name][0] <= v <= space[name][1]
+
+
+def test_required_fields(spark):
+    df = spark.createDataFrame([("trip_updates", "t", None), ("trip_updates", None, "s"), ("vehicle_positions", "t", None)], "feed_type string, trip_id string, stop_id string")
+    got = {(r["feed_type"], r["field"]): (r["missing"], r["severity"], r["code"]) for r in quality.required_fields(df).collect()}
+    assert got[("trip_updates", "trip_id")] == (1, "error", "NULL_TRIP_ID") and got[("trip_updates", "stop_id")] == (1, "warn", "NULL_STOP_ID")
+    assert got[("vehicle_positions", "trip_id")] == (0, None, None) and got[("vehicle_positions", "latitude")] == (1, "warn", "MISSING_LATITUDE")
