@@ -195,9 +195,10 @@ add("str06_07_score_stream", "window_start n:i mean_probability:f disruption_rat
 
 
 def simulation(s, d):
-    rows = splits.rolling_windows(cut_lineage(stream.event_features(label.add_targets(lab(s, d)))), "event_ts", splits.Rolling(20, 4, 4))
-    forest = models.simulate(rows, FEATURES[1:], "disruption_target", None, ("forest",), numTrees=5)
-    return forest.unionByName(models.simulate(rows, FEATURES[1:], "disruption_target", None, ("boosted",)))
+    rows = cut_lineage(splits.with_day_rank(stream.event_features(label.add_targets(lab(s, d))), "event_ts"))
+    spans = splits.window_spans(splits.day_table(rows, "event_ts"), splits.Rolling(20, 4, 4))
+    forest = models.simulate(rows, FEATURES[1:], "disruption_target", None, ("forest",), spans, numTrees=5)
+    return forest.unionByName(models.simulate(rows, FEATURES[1:], "disruption_target", None, ("boosted",), spans))
 
 
 add("ml03_simulation", "window_id:i model threshold:f val_f1:f f1:f", simulation)

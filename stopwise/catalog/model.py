@@ -190,12 +190,11 @@ add("spl02_index_folds", "fold:i part n:i first_rank:i last_rank:i",
 
 DAYS = "dr AS (SELECT *, dense_rank() OVER (ORDER BY CAST(event_ts AS DATE)) AS day_rank FROM lab), nd AS (SELECT max(day_rank) AS days FROM dr)"
 add("spl03_day_folds", "fold:i part n:i rate:f",
-    lambda s, d: splits.balance(splits.day_folds(lab(s, d), "event_ts", 20), ("fold", "part")).withColumnRenamed("disruption_rate", "rate"),
+    lambda s, d: (lambda days: splits.span_balance(days, splits.fold_spans(days, 20)))(splits.day_table(lab(s, d), "event_ts")).withColumnRenamed("disruption_rate", "rate"),
     """SELECT fold, part, count(*) AS n, avg(CAST(disruption_type <> 'ON_TIME' AS INT)) AS rate FROM (SELECT *, CASE WHEN day_rank <= 20 + fold - 1 THEN 'train' WHEN day_rank = 20 + fold
        THEN 'test' END AS part FROM dr, nd, range(1, 100) t(fold) WHERE fold <= days - 20) WHERE part IS NOT NULL GROUP BY 1, 2""", ctes=DAYS)
 add("spl04_rolling_windows", "window_id:i part n:i first_day last_day",
-    lambda s, d: splits.rolling_windows(lab(s, d), "event_ts", splits.PRESETS["ultra_lean"]).groupBy("window_id", "part").agg(
-        F.count(F.lit(1)).alias("n"), F.min("day").alias("first_day"), F.max("day").alias("last_day")),
+    lambda s, d: (lambda days: splits.span_balance(days, splits.window_spans(days, splits.PRESETS["ultra_lean"])))(splits.day_table(lab(s, d), "event_ts")),
     """SELECT window_id, CASE WHEN pos < 14 THEN 'train' WHEN pos < 17 THEN 'val' ELSE 'test' END AS part, count(*) AS n, min(CAST(event_ts AS DATE)) AS first_day,
        max(CAST(event_ts AS DATE)) AS last_day FROM (SELECT *, day_rank - 1 - window_id AS pos FROM dr, nd, range(0, 100) t(window_id) WHERE window_id <= days - 20)
        WHERE pos BETWEEN 0 AND 19 GROUP BY 1, 2""", ctes=DAYS)

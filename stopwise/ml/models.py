@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stopwise.metrics.classification import binary_metrics, multilabel_metrics, ranking_metrics, tune_threshold
-from stopwise.operators.splits import add_class_weight
+from stopwise.operators.splits import add_class_weight, span_rows
 
 
 def estimator(kind: str, features: Sequence[str], label: str, weight: str | None = None, seed: int = 42, **params):
@@ -63,14 +63,26 @@ def fit_predict(train: DataFrame, val: DataFrame, test: DataFrame, features: Seq
     return score(model, test, threshold)
 
 
-def simulate(df: DataFrame, features: Sequence[str], label: str, windows: Sequence[int] | None = None, kinds: Sequence[str] = ("forest", "boosted"), **params) -> DataFrame:
-    """Train, tune and test every model on each rolling window (long form of ``splits.rolling_windows``), or on those named."""
-    if windows is None:
+def simulate(df: DataFrame, features: Sequence[str], label: str, windows: Sequence[int] | None = None, kinds: Sequence[str] = ("forest", "boosted"),
+             spans: DataFrame | None = None, **params) -> DataFrame:
+    """Train, tune and test every model on each rolling window, or on those named.
+
+    ``spans`` are the windows as intervals of days (``splits.window_spans``) over rows with ``day_rank``; without them the rows are the
+    long form of ``splits.rolling_windows``.
+    """
+    table = None
+    if spans is not None:
+        table = {(r["window_id"], r["part"]): r for r in spans.collect()}  # a few rows per day
+        windows = windows if windows is not None else sorted({w for w, _ in table})
+    elif windows is None:
         windows = [r[0] for r in df.select("window_id").distinct().orderBy("window_id").collect()]
     out = None
     for w in windows:
-        part = df.filter(F.col("window_id") == w)
-        train, val, test = (part.filter(F.col("part") == p) for p in ("train", "val", "test"))
+        if table is not None:
+            train, val, test = (span_rows(df, table[(w, p)]) for p in ("train", "val", "test"))
+        else:
+            part = df.filter(F.col("window_id") == w)
+            train, val, test = (part.filter(F.col("part") == p) for p in ("train", "val", "test"))
         for kind in kinds:
             model = fit(train, features, label, kind, **params)
             best = tune_threshold(score(model, val), label, "score").first()

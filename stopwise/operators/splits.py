@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -189,6 +189,55 @@ def rolling_windows(df: DataFrame, time: str, plan: Rolling) -> DataFrame:
     return out.withColumn("part", F.when(at < plan.train_days, "train").when(at < plan.train_days + plan.val_days, "val").otherwise("test"))
 
 
+def day_table(df: DataFrame, time: str) -> DataFrame:
+    """One row per day present: ``day``, ``day_rank`` (from 1), rows and disrupted rows, with both sums up to that day."""
+    days = df.groupBy(F.to_date(time).alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count_if(disrupted()).alias("hits"))
+    order = Window.orderBy("day")  # one row per day
+    return days.withColumns({"day_rank": F.row_number().over(order), "n_to": F.sum("n").over(order), "hits_to": F.sum("hits").over(order)})
+
+
+def _spans(kind: str, ids: Column, spans: list[tuple[str, Column, Column]]) -> DataFrame:
+    """``kind``, ``part``, ``first_rank``, ``last_rank``: one row per part of each id; days are numbered from 1."""
+    rows = SparkSession.active().range(1).select(F.explode(ids).alias(kind))
+    parts = F.array(*[F.struct(F.lit(p).alias("part"), a.cast("int").alias("first_rank"), b.cast("int").alias("last_rank")) for p, a, b in spans])
+    return rows.withColumn("_p", F.explode(parts)).select(kind, "_p.*")
+
+
+def _up_to(lo: int, hi: Column) -> Column:
+    return F.when(hi >= lo, F.sequence(F.lit(lo), hi.cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
+def fold_spans(days: DataFrame, min_train_days: int) -> DataFrame:
+    """The folds of ``day_folds`` as intervals of days: fold i trains on days 1..min+i-1 and tests on the next one."""
+    n = days.agg(F.count(F.lit(1))).scalar()
+    i = F.col("fold")
+    return _spans("fold", _up_to(1, n - min_train_days), [
+        ("train", F.lit(1), i + (min_train_days - 1)), ("test", i + min_train_days, i + min_train_days)])
+
+
+def window_spans(days: DataFrame, plan: "Rolling") -> DataFrame:
+    """The windows of ``rolling_windows`` as intervals of days."""
+    n = days.agg(F.count(F.lit(1))).scalar()
+    start = F.col("window_id") * plan.step
+    val, test = plan.train_days, plan.train_days + plan.val_days
+    parts = [("train", 0, val), ("val", val, test), ("test", test, plan.span)]
+    return _spans("window_id", _up_to(0, F.floor((n - plan.span) / plan.step)), [(p, start + a + 1, start + b) for p, a, b in parts if b > a])
+
+
+def span_balance(days: DataFrame, spans: DataFrame) -> DataFrame:
+    """Spans with rows, disruption rate, first and last day, from the sums up to their ends: a join of two small tables."""
+    ends = days.select(F.col("day_rank").alias("last_rank"), F.col("day").alias("last_day"), F.col("n_to").alias("_n1"), F.col("hits_to").alias("_h1"))
+    starts = days.select(F.col("day_rank").alias("first_rank"), F.col("day").alias("first_day"), (F.col("n_to") - F.col("n")).alias("_n0"), (F.col("hits_to") - F.col("hits")).alias("_h0"))
+    n = F.col("_n1") - F.col("_n0")
+    return spans.join(ends, "last_rank").join(starts, "first_rank").withColumns(
+        {"n": n, "disruption_rate": (F.col("_h1") - F.col("_h0")) / n}).drop("_n0", "_n1", "_h0", "_h1")
+
+
+def span_rows(ranked: DataFrame, span: Row) -> DataFrame:
+    """Rows of ``with_day_rank`` that lie in a span; no row is copied per fold."""
+    return ranked.filter(F.col("day_rank").between(span["first_rank"], span["last_rank"]))
+
+
 def overlap_check(df: DataFrame, time: str) -> DataFrame:
     """Whether train ends before val begins and val before test; one row with the four instants."""
     ends = df.agg(*[f(F.when(F.col("split") == p, F.col(time))).alias(n) for f, p, n in (

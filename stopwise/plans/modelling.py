@@ -31,7 +31,8 @@ class SplitConfig:
 
 
 def adaptive_split(df: DataFrame, config: SplitConfig = SplitConfig(), time: str = "feed_timestamp", row_id: str = "obs_id") -> tuple[DataFrame, DataFrame]:
-    """Labelled rows (``split``, or ``fold`` and ``part``) and the balance table.
+    """Labelled rows and the balance table: rows with ``split``, or rows with ``day_rank`` and a balance whose folds are intervals of
+    days (``splits.span_rows`` takes the rows of one).
 
     Small data (few rows or few days) is walked forward by day, everything else is cut once; the choice reads one
     aggregated row.
@@ -40,8 +41,8 @@ def adaptive_split(df: DataFrame, config: SplitConfig = SplitConfig(), time: str
     if strategy == "auto":
         strategy = splits.volume(df, time, config.small_rows, config.small_days).first()["strategy"]
     if strategy == "walk_forward":
-        out = splits.day_folds(df, time, config.min_train_days)
-        return out, splits.balance(out, ("fold", "part"))
+        days = splits.day_table(df, time)
+        return splits.with_day_rank(df, time), splits.span_balance(days, splits.fold_spans(days, config.min_train_days))
     if config.train_end and config.val_end:
         out = splits.boundary_split(df, time, F.lit(config.train_end).cast("timestamp"), F.lit(config.val_end).cast("timestamp"), config.gap_minutes)
     else:

@@ -349,3 +349,24 @@ def test_required_fields(spark):
     got = {(r["feed_type"], r["field"]): (r["missing"], r["severity"], r["code"]) for r in quality.required_fields(df).collect()}
     assert got[("trip_updates", "trip_id")] == (1, "error", "NULL_TRIP_ID") and got[("trip_updates", "stop_id")] == (1, "warn", "NULL_STOP_ID")
     assert got[("vehicle_positions", "trip_id")] == (0, None, None) and got[("vehicle_positions", "latitude")] == (1, "warn", "MISSING_LATITUDE")
+
+
+@pytest.mark.parametrize("plan", [splits.Rolling(4, 2, 1), splits.Rolling(3, 1, 2, 2), splits.Rolling(40, 1, 1)])
+def test_spans_are_the_long_forms(spark, plan):
+    """Folds and windows as intervals of days hold the same rows as the long forms, with days that have no row."""
+    df = spark.range(400).selectExpr("id", "timestamp_seconds(1704067200 + 7000 * id + 200000 * (id div 90)) as ts",
+                                     "case when id % 3 = 0 then 'MAJOR_DELAY' else 'ON_TIME' end as disruption_type")
+    days = splits.day_table(df, "ts")
+
+    def long(rows, kind):
+        return sorted((r[kind], r["part"], r["n"], round(r["rate"], 9)) for r in rows.groupBy(kind, "part").agg(
+            F.count(F.lit(1)).alias("n"), F.avg((F.col("disruption_type") != "ON_TIME").cast("double")).alias("rate")).collect())
+
+    def short(spans, kind):
+        return sorted((r[kind], r["part"], r["n"], round(r["disruption_rate"], 9)) for r in splits.span_balance(days, spans).collect())
+
+    assert short(splits.window_spans(days, plan), "window_id") == long(splits.rolling_windows(df, "ts", plan), "window_id")
+    assert short(splits.fold_spans(days, plan.train_days), "fold") == long(splits.day_folds(df, "ts", plan.train_days), "fold")
+    ranked = splits.with_day_rank(df, "ts")
+    for span in splits.span_balance(days, splits.fold_spans(days, 30)).collect():
+        assert splits.span_rows(ranked, span).count() == span["n"]
