@@ -16,7 +16,7 @@ whose fingerprints differ in ``APART`` bits or fewer are linked, and components
   the task: a shard returns fewer rows than it has points and visitors, however many pairs are linked.
 
 A shard holds about ``SHARD`` points at most, fewer while there are more tasks than shards.  Fingerprints of unrelated texts
-are about 32 bits from any vantage point, so each level of the upper tree lets a visitor pass to 1.4 branches on average.
+are about 32 bits from any vantage point, so a visitor passes to both branches of a node in a good third of cases.
 
 Null and empty texts and texts without words have fingerprint zero and are linked like others.  Repeated rows have the same
 component each; null ids never name a component that has another.  Empty tables give no rows.  Other columns are ignored.
