@@ -145,7 +145,8 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, iterations: int | None = Non
              max_iterations: int = 100) -> DataFrame:
     """PageRank with uniform restart; the mass of nodes without out-edges is spread evenly.
 
-    Stops after ``iterations`` rounds, or when the total change falls below ``nodes * tolerance``.
+    Stops after ``iterations`` rounds, or when the total change falls below ``nodes * tolerance``; not getting there within
+    ``max_iterations`` rounds is an error.
     """
     links = edges.select("src", "dst").distinct()
     degree = links.groupBy("src").agg(F.count(F.lit(1)).alias("out_degree"))
@@ -154,6 +155,8 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, iterations: int | None = Non
     nodes = cut_lineage(lookup(nodes, degree.withColumnRenamed("src", "node"), ["node"]))
     n = nodes.count()
     ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
+    if not n:
+        return ranks.select("node", F.col("rank").alias("pagerank"))
     rounds = iterations if iterations is not None else max_iterations
     for _ in range(rounds):
         loose = ranks.filter("out_degree is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).scalar()
@@ -163,8 +166,11 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, iterations: int | None = Non
         value = alpha * (F.coalesce("_in", F.lit(0.0)) + loose / n) + (1 - alpha) / n
         fresh = cut_lineage(step.select("node", "out_degree", "_old", value.alias("rank")))
         ranks = fresh.drop("_old")
-        if iterations is None and fresh.agg(F.sum(F.abs(F.col("rank") - F.col("_old")))).first()[0] < n * tolerance:
+        if iterations is None and (fresh.agg(F.sum(F.abs(F.col("rank") - F.col("_old")))).first()[0] or 0.0) < n * tolerance:
             break
+    else:
+        if iterations is None:
+            raise ArithmeticError(f"ranks still change by {n * tolerance} or more after {max_iterations} rounds")
     return ranks.select("node", F.col("rank").alias("pagerank"))
 
 

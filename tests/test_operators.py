@@ -370,3 +370,11 @@ def test_spans_are_the_long_forms(spark, plan):
     ranked = splits.with_day_rank(df, "ts")
     for span in splits.span_balance(days, splits.fold_spans(days, 30)).collect():
         assert splits.span_rows(ranked, span).count() == span["n"]
+
+
+def test_pagerank_that_does_not_settle_is_an_error(spark):
+    edges = spark.createDataFrame(EDGES, "src string, dst string")
+    with pytest.raises(ArithmeticError):
+        graph.pagerank(edges, max_iterations=1)
+    assert math.isclose(sum(r["pagerank"] for r in graph.pagerank(edges).collect()), 1.0, abs_tol=1e-6)
+    assert not graph.pagerank(edges.limit(0)).collect()
