@@ -27,28 +27,13 @@ def fresh(s, name):
 
 
 def tree(s, d):
-    """The three feeds as a tree of parquet files."""
+    """The three feeds as a tree of parquet tables, in name order."""
     root = fresh(s, "tree")
-    for name, make in (("vehicle_positions", vp), ("trip_updates", tu), ("alerts", al)):
-        make(s, d).write.parquet(f"{root}/day1/{name}_parts_only")
+    for i, (name, make) in enumerate((("vehicle_positions", vp), ("trip_updates", tu), ("alerts", al))):
+        make(s, d).write.parquet(f"{root}/day1/{i}_{name}.parquet")
     return root
 
 
-def named_tree(s, d):
-    """The same with the feed in the file names, written by renaming the parts through the file system."""
-    root = tree(s, d)
-    jvm = s.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path
-    for old in readers._files(s, root, ".parquet"):
-        parent, name = old.rsplit("/", 1)
-        kind = parent.rsplit("/", 1)[-1].removesuffix("_parts_only")
-        src, dst = path(old), path(f"{root}/named/{kind}_{name}")
-        fs = src.getFileSystem(s.sparkContext._jsc.hadoopConfiguration())
-        fs.mkdirs(dst.getParent())
-        fs.rename(src, dst)
-    return f"{root}/named"
-
-
 def feed_counts(frames):
     out = None
     for name, df in frames.items():
@@ -59,9 +44,9 @@ def feed_counts(frames):
 
 COUNTS = """SELECT 'vehicle_positions' AS feed, count(*) AS n, count(DISTINCT entity_id) AS entities FROM vp UNION ALL
   SELECT 'trip_updates', count(*), count(DISTINCT entity_id) FROM tu UNION ALL SELECT 'alerts', count(*), count(DISTINCT entity_id) FROM al"""
-add("src01_feed_tree", "feed n:i entities:i", lambda s, d: feed_counts(readers.read_feed_tree(s, named_tree(s, d))), COUNTS, "obs feeds")
+add("src01_feed_tree", "feed n:i entities:i", lambda s, d: feed_counts(readers.read_feed_tree(s, tree(s, d))), COUNTS, "obs feeds")
 add("src03_three_feeds", "feed n:i entities:i",
-    lambda s, d: feed_counts(dict(zip(("alerts", "trip_updates", "vehicle_positions"), readers.read_three_feeds(s, tree(s, d) + "/day1").values()))), COUNTS, "obs feeds")
+    lambda s, d: feed_counts(readers.read_three_feeds(s, tree(s, d) + "/day1")), COUNTS, "obs feeds")
 
 
 def spaced(s, d):
@@ -76,7 +61,7 @@ add("src02_05_parquet_files", "n:i first last", spaced, "SELECT count(*) AS n, m
 def timetable_files(s, d):
     root = fresh(s, "timetable")
     dims = views.dims(s, d)
-    for name in ("routes", "stops", "trips", "agency"):
+    for name in sorted(dims):
         dims[name].write.option("header", True).csv(f"{root}/{name}.txt")
     found = readers.read_timetable(s, root)
     out = None
@@ -89,7 +74,11 @@ def timetable_files(s, d):
 add("src04_timetable_files", "file n:i last_filled:i", timetable_files,
     """SELECT 'routes' AS file, count(*) AS n, count(route_type) AS last_filled FROM routes UNION ALL SELECT 'stops', count(*), count(wheelchair_boarding) FROM stops
        UNION ALL SELECT 'trips', count(*), count(bikes_allowed) FROM trips UNION ALL SELECT 'agency', count(*), count(agency_name) FROM agency
-       UNION ALL SELECT unnest(['stop_times', 'calendar', 'calendar_dates', 'shapes', 'transfers']), 0, 0""", "routes stops trips agency")
+       UNION ALL SELECT 'stop_times', count(*), count(drop_off_type) FROM stop_times
+       UNION ALL SELECT 'calendar_dates', count(*), count(date) FROM calendar_dates
+       UNION ALL SELECT 'shapes', count(*), count(shape_dist_traveled) FROM shapes
+       UNION ALL SELECT 'transfers', count(*), count(to_stop_id) FROM transfers
+       UNION ALL SELECT 'calendar', 0, 0""", "routes stops trips agency stop_times calendar shapes transfers")
 
 
 def sinks(s, d):

@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from stopwise.sources.feeds import MESSAGE_DDL
+from stopwise.sources.feeds import MESSAGE_DDL, alerts, trip_updates, vehicle_positions
 
 # Timetable files and the columns that are read from each (all as text).
 TIMETABLE = {
@@ -23,19 +24,14 @@ TIMETABLE = {
 }
 
 
-def _files(spark: SparkSession, folder: str, suffix: str) -> list[str]:
-    """Paths below a folder, through the file system the path belongs to (local, object store, ...)."""
+def _entries(spark: SparkSession, folder: str) -> list[str]:
+    """Visible entries of one folder (not below it), through the file system the path belongs to."""
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(folder)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(root):
         return []
-    found, walk = [], fs.listFiles(root, True)
-    while walk.hasNext():
-        path = walk.next().getPath().toString()
-        if path.endswith(suffix):
-            found.append(path)
-    return sorted(found)
+    return sorted(e.getPath().toString() for e in fs.listStatus(root) if e.getPath().getName()[0] not in "._")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -54,10 +50,28 @@ def evenly_spaced(items: Sequence[str], n: int | None) -> list[str]:
     return [items[int(i * (len(items) - 1) / (n - 1))] for i in range(n)]
 
 
-def read_parquet_files(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame | None:
-    """All parquet files of a folder, or an evenly spaced choice of them; columns are matched by name."""
-    paths = evenly_spaced(_files(spark, folder, ".parquet"), max_files)
-    return spark.read.option("mergeSchema", True).parquet(*paths) if paths else None
+def _parquet(spark: SparkSession, schema: StructType | str | None = None):
+    """Reader of all parquet files below a folder; without a declared schema Spark's job merges those of the files."""
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
+    return reader.schema(schema) if schema is not None else reader.option("mergeSchema", True)
+
+
+def read_parquet_files(spark: SparkSession, folder: str, max_files: int | None = None, schema: StructType | str | None = None) -> DataFrame | None:
+    """All parquet files below a folder, or an evenly spaced choice of at most ``max_files`` of them; columns are matched by name.
+
+    With a ``schema`` no footer is opened before the job, a column that a file lacks is null there, and others stay out.
+    Without files: None, or an empty table of the schema.  The choice is made from the paths of Spark's own file index.
+    """
+    if not exists(spark, folder):
+        return spark.createDataFrame([], schema) if schema is not None else None
+    if max_files is None and schema is not None:
+        return _parquet(spark, schema).parquet(folder)
+    # One declared column: the index is enough to know the paths, no footer is read.
+    index = _parquet(spark, schema if schema is not None else "_none int").parquet(folder)
+    paths = index.inputFiles() if max_files is not None else index.inputFiles()[:1]
+    if not paths:
+        return index if schema is not None else None
+    return _parquet(spark, schema).parquet(*(evenly_spaced(paths, max_files) if max_files is not None else [folder]))
 
 
 def feed_kind(path_name):
@@ -68,24 +82,39 @@ def feed_kind(path_name):
             .when(name.contains("alert"), "alerts").otherwise("vehicle_positions"))
 
 
-def read_feed_tree(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """Three feed tables from a tree of parquet files, routed by file name."""
-    groups: dict[str, list[str]] = {"vehicle_positions": [], "trip_updates": [], "alerts": []}
-    for path in _files(spark, folder, ".parquet"):
-        low = path.rsplit("/", 1)[1].lower()
-        kind = ("vehicle_positions" if "vehicle" in low or "position" in low else "trip_updates" if "trip" in low or "update" in low
-                else "alerts" if "alert" in low else "vehicle_positions")
-        groups[kind].append(path)
-    return {k: spark.read.option("mergeSchema", True).parquet(*v) for k, v in groups.items() if v}
+def file_name(path):
+    """Name that a user gave a file: of a table that Spark wrote it is the folder's, not the part's or the partition's."""
+    return F.regexp_extract(path, r"([^/]*?)(?:/[^/=]+=[^/]*)*(?:/part-[^/]*)?$", 1)
+
+
+def feed_schemas(spark: SparkSession) -> dict[str, StructType]:
+    """Columns of the flat feed tables, as the flattening of messages gives them."""
+    none = spark.createDataFrame([], MESSAGE_DDL)
+    return {"vehicle_positions": vehicle_positions(none).schema, "trip_updates": trip_updates(none).schema, "alerts": alerts(none).schema}
+
+
+def read_feed_tree(spark: SparkSession, folder: str, schemas: dict[str, StructType | str] | None = None) -> dict[str, DataFrame]:
+    """Three feed tables from a tree of parquet files, routed by file name inside the plan.
+
+    Each table is a scan of the tree under its declared schema (``schemas`` replaces the flat feed schemas) with a filter on the
+    file's own path, which Spark applies to its file index: files of other feeds are not opened.  Feeds without rows are left out.
+    """
+    if not exists(spark, folder):
+        return {}
+    tables = {kind: _parquet(spark, schema).parquet(folder).filter(feed_kind(file_name(F.col("_metadata.file_path"))) == kind)
+              for kind, schema in (feed_schemas(spark) | (schemas or {})).items()}
+    return {kind: table for kind, table in tables.items() if not table.isEmpty()}
 
 
 def read_three_feeds(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """Exactly three parquet folders or files, bound by name order to vehicle positions, trip updates and alerts."""
-    paths = _files(spark, folder, ".parquet")
-    tops = sorted({folder.rstrip("/") + "/" + p.split(folder.rstrip("/") + "/", 1)[-1].split("/", 1)[0] for p in paths})
+    """Exactly three parquet folders or files, bound by name order to vehicle positions, trip updates and alerts.
+
+    Only the folder itself is listed, and schemas are the flat feed schemas.
+    """
+    tops = _entries(spark, folder)
     if len(tops) != 3:
         raise FileNotFoundError(f"three feeds are needed in {folder}, found {len(tops)}")
-    return {k: spark.read.parquet(p) for k, p in zip(("vehicle_positions", "trip_updates", "alerts"), tops)}
+    return {kind: _parquet(spark, schema).parquet(top) for (kind, schema), top in zip(feed_schemas(spark).items(), tops)}
 
 
 def read_timetable(spark: SparkSession, folder: str) -> dict[str, DataFrame]:

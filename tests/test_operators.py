@@ -211,6 +211,35 @@ def test_feed_tree_and_timetable(spark, tmp_path):
         readers.read_three_feeds(spark, str(tmp_path / "feeds"))
 
 
+def test_feed_tree_is_routed_in_the_plan(spark, tmp_path):
+    root = str(tmp_path / "feeds")
+    spark.sql("select 'v1' as entity_id, 4.5D as speed").write.parquet(f"{root}/a/Vehicle_Positions.parquet")
+    spark.sql("select 'v2' as entity_id, 'x' as unknown_column").write.parquet(f"{root}/b/other.parquet/service_date=2024-01-01")
+    spark.sql("select 't1' as entity_id, 60L as delay").write.parquet(f"{root}/b/trip_update_1.parquet")
+    (tmp_path / "feeds/alerts_note.txt").write_text("no parquet")
+    tree = readers.read_feed_tree(spark, root)
+    assert sorted(tree) == ["trip_updates", "vehicle_positions"]
+    vehicles = tree["vehicle_positions"]
+    assert sorted((r.entity_id, r.speed) for r in vehicles.collect()) == [("v1", 4.5), ("v2", None)]
+    assert "unknown_column" not in vehicles.columns and [r.delay for r in tree["trip_updates"].collect()] == [60]
+    assert readers.read_feed_tree(spark, str(tmp_path / "nothing")) == {}
+
+
+def test_parquet_files_by_schema_and_choice(spark, tmp_path):
+    root = str(tmp_path / "many")
+    for i in range(5):
+        spark.sql(f"select {i} as i").coalesce(1).write.parquet(f"{root}/d{i}.parquet")
+    spark.sql("select 9 as i, 'late' as note").coalesce(1).write.parquet(f"{root}/d9.parquet")
+    assert sorted(r.i for r in readers.read_parquet_files(spark, root, 3).collect()) == [0, 2, 9]
+    whole = readers.read_parquet_files(spark, root)
+    assert whole.count() == 6 and sorted(whole.columns) == ["i", "note"]
+    declared = readers.read_parquet_files(spark, root, schema="i int, absent string")
+    assert declared.columns == ["i", "absent"] and declared.filter("absent is null").count() == 6
+    (tmp_path / "empty").mkdir()
+    assert readers.read_parquet_files(spark, str(tmp_path / "empty")) is None
+    assert readers.read_parquet_files(spark, str(tmp_path / "none"), schema="i int").count() == 0
+
+
 def brandes(edges, directed):
     """Betweenness over ordered pairs, by the single-source accumulation."""
     links = {(a, b) for a, b in edges if a != b} | (set() if directed else {(b, a) for a, b in edges if a != b})
