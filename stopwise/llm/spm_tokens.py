@@ -9,20 +9,27 @@ fallback are rebuilt as a tokenizers pipeline:
 * when no piece has the marker behind another character, texts are cut in front of runs of markers first, which changes
   nothing in the result and lets the library reuse words.
 
-Whole batches are encoded by the library's own threads.  Parity: every row is encoded by the SentencePiece library as well; where the ids
-differ, the row gets the library's ids and the task's log says how many rows that were.  Every row is decoded and compared.
+When merges cannot cross the cuts (``separable``), the ids of a text are the ids of its parts one after the other.  Each task then
+encodes every different part once: the new parts of a batch go through the rebuilt tokenizer together, on its own threads, and the ids are
+kept for the parts to come.  Parity is verified on each of these parts against the SentencePiece library, and a part is decoded
+and compared, so a text decodes to itself when all its parts do.  Kept parts are forgotten at ``KEPT_PARTS`` parts or ``KEPT_CHARS``
+characters and encoded again when met again; results do not depend on it.  Other models encode, verify and decode text by text.
 
-Null counts as empty; an empty text has no ids.  A text holds the marker character itself only at the price of coming back
+``parity`` is false for a text with a part (or itself, for other models) on which the library disagrees; such a part takes the library's ids.
+
+Null counts as empty; an empty text has no ids.  Repeated rows are encoded alike, an empty table gives no rows, and input columns named
+``ids``, ``round_trip`` or ``parity`` are replaced.  A text holds the marker character itself only at the price of coming back
 with a space, so ``round_trip`` is false there.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
-import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import pyarrow as pa
 import pyarrow.compute
@@ -34,9 +41,13 @@ from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_toke
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-NORMAL, UNKNOWN, BYTE = 1, 2, 6
+PARTS = f"{MARK}+[^{MARK}]*|[^{MARK}]+"
+NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 UNIGRAM, PAIRS = 1, 2
 BATCH_CHARS = 1_000_000
+KEPT_PARTS, KEPT_CHARS = 200_000, 4_000_000
+#: Appended to a model file (fields of a later message win): normalizer_spec { add_dummy_prefix: false }.
+NO_PREFIX = bytes([3 << 3 | 2, 2, 3 << 3, 0])
 
 
 @dataclass
@@ -101,7 +112,15 @@ def merges(pieces: list[tuple[str, float, int]]) -> list[tuple[str, str]]:
     return [(p[:i], p[i:]) for p in ranked for i in range(len(p) - 1, 0, -1) if p[:i] in normal and p[i:] in normal]
 
 
-def build(data: bytes) -> Tokenizer:
+def separable(spec: Spec) -> bool:
+    """Whether texts may be cut in front of runs of markers: no piece reaches over a cut, and every character has its own bytes."""
+    kinds = {k for _, _, k in spec.pieces}
+    return (spec.kind == PAIRS and not spec.charsmap and not spec.trim_spaces and spec.escape and BYTE in kinds
+            and kinds <= {NORMAL, UNKNOWN, CONTROL, BYTE} and not any(MARK in p.lstrip(MARK) for p, _, k in spec.pieces if k == NORMAL))
+
+
+def build(data: bytes, parts: bool = False) -> Tokenizer:
+    """The tokenizer of a model file; with ``parts`` it takes parts of texts that are marked and cut already."""
     spec = parse(data)
     if spec.kind not in (UNIGRAM, PAIRS):
         raise ValueError(f"model type {spec.kind} is neither unigram nor pair merges")
@@ -113,6 +132,8 @@ def build(data: bytes) -> Tokenizer:
         model = models.BPE({p: i for i, (p, _, _) in enumerate(spec.pieces)}, merges(spec.pieces), unk_token=spec.pieces[unknown][0],
                            fuse_unk=True, byte_fallback=BYTE in kinds)
     tokenizer = Tokenizer(model)
+    if parts:
+        return tokenizer
     steps = [normalizers.Precompiled(spec.charsmap)] if spec.charsmap else []
     if spec.trim_spaces:
         steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
@@ -121,7 +142,7 @@ def build(data: bytes) -> Tokenizer:
     steps += [normalizers.Replace(" ", MARK)] if spec.escape else []
     tokenizer.normalizer = normalizers.Sequence(steps)
     if not any(MARK in p.lstrip(MARK) for p, _, k in spec.pieces if k == NORMAL):
-        tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*|[^{MARK}]+"), "isolated")
+        tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(PARTS), "isolated")
     tokenizer.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
                                           + ([decoders.Strip(" ", 1, 0)] if spec.dummy_prefix else []))
     return tokenizer
@@ -132,34 +153,81 @@ def piece_bytes(spec: Spec) -> list[bytes]:
     return [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in spec.pieces]
 
 
+class Texts:
+    """Encodes batches of texts to (ids, round trip, parity) per text, text by text."""
+
+    def __init__(self, data: bytes):
+        from sentencepiece import SentencePieceProcessor
+
+        self.tokenizer, self.library = build(data), SentencePieceProcessor(model_proto=data)
+        spec = parse(data)
+        self.piece, self.lead = piece_bytes(spec).__getitem__, b" " if spec.dummy_prefix else b""
+
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool], list[bool]]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        right = self.library.encode(texts, num_threads=1)
+        parity = [a == b for a, b in zip(ids, right)]
+        ids = [a if same else b for a, b, same in zip(ids, right, parity)]
+        return ids, [t.encode() == b"".join(map(self.piece, i)).removeprefix(self.lead) for t, i in zip(texts, ids)], parity
+
+
+class Parts:
+    """The same for separable models: each different part is encoded, verified and decoded once and remembered."""
+
+    def __init__(self, data: bytes):
+        from sentencepiece import SentencePieceProcessor
+
+        spec = parse(data)
+        self.tokenizer, self.library = build(data, parts=True), SentencePieceProcessor(model_proto=data + NO_PREFIX)
+        self.piece, self.lead = piece_bytes(spec).__getitem__, MARK if spec.dummy_prefix else ""
+        self.cut = re.compile(PARTS).findall
+        self.known: dict[str, list[int]] = {}
+        self.chars = 0
+        self.changed: set[str] = set()
+        self.differ: set[str] = set()
+
+    def learn(self, parts: list[str]) -> None:
+        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+        for part, encoded, right in zip(parts, found, self.library.encode(parts, num_threads=1)):
+            ids = encoded.ids
+            if ids != right:
+                self.differ.add(part)
+                ids = right
+            if b"".join(map(self.piece, ids)) != part.replace(MARK, " ").encode():
+                self.changed.add(part)
+            self.known[part] = ids
+            self.chars += len(part)
+
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool], list[bool]]:
+        if len(self.known) > KEPT_PARTS or self.chars > KEPT_CHARS:
+            self.known, self.changed, self.differ, self.chars = {}, set(), set(), 0
+        cut = [self.cut(self.lead + t.replace(" ", MARK)) if t else [] for t in texts]
+        new = set().union(*cut).difference(self.known)
+        if new:
+            self.learn(list(new))
+        ids = [list(chain.from_iterable(map(self.known.__getitem__, parts))) for parts in cut]
+        return (ids, [MARK not in t and self.changed.isdisjoint(parts) for t, parts in zip(texts, cut)] if self.changed else [MARK not in t for t in texts],
+                [self.differ.isdisjoint(parts) for parts in cut] if self.differ else [True] * len(texts))
+
+
 def encode(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
-    """The rows with ``ids`` and ``round_trip`` (these replace input columns of the same names)."""
-    docs = docs.drop("ids", "round_trip")
+    """The rows with ``ids``, ``round_trip`` and ``parity`` (these replace input columns of the same names)."""
+    docs = docs.drop("ids", "round_trip", "parity")
     with open(model_path, "rb") as f:  # a small file beside the driver; executors get its bytes
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
-    schema = T.StructType(docs.schema.fields + T.StructType.fromDDL("ids array<int>, round_trip boolean").fields)
+    schema = T.StructType(docs.schema.fields + T.StructType.fromDDL("ids array<int>, round_trip boolean, parity boolean").fields)
     arrow = to_arrow_schema(schema)
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         os.environ.setdefault("RAYON_NUM_THREADS", "2")
-        from sentencepiece import SentencePieceProcessor
-
-        tokenizer, library, differ = build(shared.value), SentencePieceProcessor(model_proto=shared.value), 0
-        spec = parse(shared.value)
-        piece, lead = piece_bytes(spec).__getitem__, b" " if spec.dummy_prefix else b""
+        encoder = (Parts if separable(parse(shared.value)) else Texts)(shared.value)
         for batch in batches:
             for part in bounded(batch, place):
-                texts = [t or "" for t in part.column(place).to_pylist()]
-                ids = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-                right = library.encode(texts, num_threads=1)
-                differ += sum(a != b for a, b in zip(ids, right))
-                ids = right
-                same = [a.encode() == b"".join(map(piece, b)).removeprefix(lead) for a, b in zip(texts, ids)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32())).cast(arrow.field("ids").type), pa.array(same)], schema=arrow)
-        if differ:
-            print(f"spm_tokens: {differ} rows took the ids of the SentencePiece library", file=sys.stderr)
+                ids, same, parity = encoder.encode([t or "" for t in part.column(place).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32())).cast(arrow.field("ids").type),
+                                                  pa.array(same, pa.bool_()), pa.array(parity, pa.bool_())], schema=arrow)
 
     return docs.mapInArrow(run, schema)
 
@@ -184,6 +252,6 @@ def check_parity(model: bytes, texts: list[str], ids: list[list[int]]) -> None:
 
 
 def digest(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
-    """Per document: number of ids, digest of the ids (comma-joined), and whether decoding gives the text back."""
+    """Per document: number of ids, digest of the ids (comma-joined), whether decoding gives the text back, and parity."""
     rows = encode(docs.select("doc_id", "text"), model_path)
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), "round_trip")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), "round_trip", "parity")

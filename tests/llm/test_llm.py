@@ -228,6 +228,46 @@ def test_tokens_space_runs(spark):
     assert [b"".join(pieces[i] for i in ids)[1:].decode() for ids in want] == spm_tokens.build(data).decode_batch(want, skip_special_tokens=False) == texts
 
 
+def test_token_parts_equal_the_library(monkeypatch):
+    """The ids of parts, joined, are the library's ids of the whole text, whatever is remembered between batches."""
+    import random
+
+    from sentencepiece import SentencePieceProcessor
+
+    with open(spm_tokens.MODEL, "rb") as f:
+        data = f.read()
+    rng, library = random.Random(5), SentencePieceProcessor(model_proto=data)
+    alphabet = ["a", "e", "th", "ing", " ", "  ", " ", "\n", "\t", ".", "é", "日本", "🙂", "\x00", "<s>", "<0x41>", "\u00a0", "=", "7"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randrange(40))) for _ in range(3000)] + ["", " ", "x" * 50_000, "ab " * 20_000]
+    marked = ["a▁b", "▁", " ▁▁ x▁"]
+    monkeypatch.setattr(spm_tokens, "KEPT_PARTS", 500)
+    assert spm_tokens.separable(spm_tokens.parse(data))
+    parts = spm_tokens.Parts(data)
+    for at in range(0, len(texts), 400):
+        ids, same, parity = parts.encode(texts[at:at + 400])
+        assert ids == library.encode(texts[at:at + 400]) and all(same) and all(parity)
+    ids, same, _ = parts.encode(marked)
+    assert ids == library.encode(marked) and not any(same)
+    whole = spm_tokens.Texts(data)
+    assert whole.encode(texts[:50] + marked) == tuple(map(list, zip(*zip(*parts.encode(texts[:50] + marked)))))
+
+
+def test_token_parts_flag_what_differs():
+    """A part that the library encodes otherwise takes its ids and marks exactly the texts that hold it."""
+    with open(spm_tokens.MODEL, "rb") as f:
+        data = f.read()
+    parts = spm_tokens.Parts(data)
+    real = parts.library
+
+    class Other:
+        def encode(self, texts, num_threads):
+            return [[5, 6] if t == "▁odd" else i for t, i in zip(texts, real.encode(texts, num_threads=1))]
+
+    parts.library = Other()
+    ids, same, parity = parts.encode(["so odd it is", "fine", "odd"])
+    assert parity == [False, True, False] and same == [False, True, False] and ids[2] == [5, 6]
+
+
 def test_segments():
     import numpy as np
     rng = np.random.default_rng(3)
