@@ -11,9 +11,9 @@ fallback are rebuilt as a tokenizers pipeline:
 
 When merges cannot cross the cuts (``separable``), the ids of a text are the ids of its parts one after the other.  Each task then
 encodes every different part once: the new parts of a batch go through the rebuilt tokenizer together, on its own threads, and the ids are
-kept for the parts to come.  Parity is verified on each of these parts against the SentencePiece library, and a part is decoded
-and compared, so a text decodes to itself when all its parts do.  Kept parts are forgotten at ``KEPT_PARTS`` parts or ``KEPT_CHARS``
-characters and encoded again when met again; results do not depend on it.  Other models encode, verify and decode text by text.
+kept for the parts to come, in the later tasks of the worker too.  Parity is verified on each of these parts against the SentencePiece library, and a part is decoded
+and compared, so a text decodes to itself when all its parts do.  At ``KEPT_PARTS`` parts or ``KEPT_CHARS`` characters all but the parts
+met in several batches are forgotten, and encoded again when met again; results do not depend on it.  Other models encode, verify and decode text by text.
 
 ``parity`` is false for a text with a part (or itself, for other models) on which the library disagrees; such a part takes the library's ids.
 
@@ -27,10 +27,12 @@ from __future__ import annotations
 import os
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
@@ -45,7 +47,7 @@ PARTS = f"{MARK}+[^{MARK}]*|[^{MARK}]+"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 UNIGRAM, PAIRS = 1, 2
 BATCH_CHARS = 1_000_000
-KEPT_PARTS, KEPT_CHARS = 200_000, 4_000_000
+KEPT_PARTS, KEPT_CHARS = 300_000, 4_000_000
 #: Appended to a model file (fields of a later message win): normalizer_spec { add_dummy_prefix: false }.
 NO_PREFIX = bytes([3 << 3 | 2, 2, 3 << 3, 0])
 
@@ -153,8 +155,13 @@ def piece_bytes(spec: Spec) -> list[bytes]:
     return [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in spec.pieces]
 
 
+def packed(ids: list[int]) -> bytes:
+    """Ids as 32-bit integers one after the other."""
+    return array("i", ids).tobytes()
+
+
 class Texts:
-    """Encodes batches of texts to (ids, round trip, parity) per text, text by text."""
+    """Encodes batches of texts to (packed ids, round trip, parity) per text, text by text."""
 
     def __init__(self, data: bytes):
         from sentencepiece import SentencePieceProcessor
@@ -163,12 +170,13 @@ class Texts:
         spec = parse(data)
         self.piece, self.lead = piece_bytes(spec).__getitem__, b" " if spec.dummy_prefix else b""
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool], list[bool]]:
+    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool], list[bool]]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         right = self.library.encode(texts, num_threads=1)
         parity = [a == b for a, b in zip(ids, right)]
         ids = [a if same else b for a, b, same in zip(ids, right, parity)]
-        return ids, [t.encode() == b"".join(map(self.piece, i)).removeprefix(self.lead) for t, i in zip(texts, ids)], parity
+        same = [t.encode() == b"".join(map(self.piece, i)).removeprefix(self.lead) for t, i in zip(texts, ids)]
+        return list(map(packed, ids)), same, parity
 
 
 class Parts:
@@ -181,33 +189,58 @@ class Parts:
         self.tokenizer, self.library = build(data, parts=True), SentencePieceProcessor(model_proto=data + NO_PREFIX)
         self.piece, self.lead = piece_bytes(spec).__getitem__, MARK if spec.dummy_prefix else ""
         self.cut = re.compile(PARTS).findall
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
+        self.again: set[str] = set()
         self.chars = 0
         self.changed: set[str] = set()
         self.differ: set[str] = set()
 
     def learn(self, parts: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        for part, encoded, right in zip(parts, found, self.library.encode(parts, num_threads=1)):
-            ids = encoded.ids
-            if ids != right:
-                self.differ.add(part)
-                ids = right
-            if b"".join(map(self.piece, ids)) != part.replace(MARK, " ").encode():
-                self.changed.add(part)
-            self.known[part] = ids
-            self.chars += len(part)
-
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool], list[bool]]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        right = self.library.encode(parts, num_threads=1)
+        if ids != right:
+            self.differ.update(p for p, a, b in zip(parts, ids, right) if a != b)
+            ids = right
+        back = [b"".join(map(self.piece, i)) for i in ids]
+        self.changed.update(p for p, text in zip(parts, back) if p.replace(MARK, " ").encode() != text)
+        self.known.update(zip(parts, map(packed, ids)))
+        self.chars += sum(map(len, parts))
+
+    def forget(self) -> None:
+        """Keep the parts met in several batches if they fill at most half of the room."""
+        chars = sum(map(len, self.again))
+        kept = self.again if len(self.again) <= KEPT_PARTS // 2 and chars <= KEPT_CHARS // 2 else set()
+        self.known = {part: self.known[part] for part in kept}
+        self.changed, self.differ = self.changed & kept, self.differ & kept
+        self.chars, self.again = chars if kept else 0, set()
+
+    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool], list[bool]]:
         if len(self.known) > KEPT_PARTS or self.chars > KEPT_CHARS:
-            self.known, self.changed, self.differ, self.chars = {}, set(), set(), 0
+            self.forget()
         cut = [self.cut(self.lead + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = set().union(*cut).difference(self.known)
+        met = set().union(*cut)
+        new = met.difference(self.known)
+        met -= new
+        self.again |= met
         if new:
             self.learn(list(new))
-        ids = [list(chain.from_iterable(map(self.known.__getitem__, parts))) for parts in cut]
-        return (ids, [MARK not in t and self.changed.isdisjoint(parts) for t, parts in zip(texts, cut)] if self.changed else [MARK not in t for t in texts],
-                [self.differ.isdisjoint(parts) for parts in cut] if self.differ else [True] * len(texts))
+        ids = [b"".join(map(self.known.__getitem__, parts)) for parts in cut]
+        same = [MARK not in t for t in texts]
+        if self.changed:
+            same = [s and self.changed.isdisjoint(parts) for s, parts in zip(same, cut)]
+        return ids, same, [self.differ.isdisjoint(parts) for parts in cut] if self.differ else [True] * len(texts)
+
+
+@lru_cache(maxsize=1)
+def encoder_of(data: bytes) -> Texts | Parts:
+    """The encoder of a model, built once a worker."""
+    return Parts(data) if separable(parse(data)) else Texts(data)
+
+
+def id_lists(rows: list[bytes]) -> pa.ListArray:
+    offsets = np.zeros(len(rows) + 1, np.int32)
+    np.cumsum([len(r) // 4 for r in rows], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), np.int32)))
 
 
 def encode(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
@@ -222,11 +255,11 @@ def encode(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         os.environ.setdefault("RAYON_NUM_THREADS", "2")
-        encoder = (Parts if separable(parse(shared.value)) else Texts)(shared.value)
+        encoder = encoder_of(shared.value)
         for batch in batches:
             for part in bounded(batch, place):
                 ids, same, parity = encoder.encode([t or "" for t in part.column(place).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32())).cast(arrow.field("ids").type),
+                yield pa.RecordBatch.from_arrays([*part.columns, id_lists(ids).cast(arrow.field("ids").type),
                                                   pa.array(same, pa.bool_()), pa.array(parity, pa.bool_())], schema=arrow)
 
     return docs.mapInArrow(run, schema)
