@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stopwise.catalog.base import Catalog
-from stopwise.operators import horizon, label, temporal
+from stopwise.operators import horizon, label, past, temporal
 from stopwise.testbed import views
 
 CATALOG = Catalog()
@@ -284,3 +284,48 @@ add("join10_alert_count_last_hour", "obs_id:i alert_count_last_hour:i",
     lambda s, d: horizon.alert_count_last_hour(obs(s, d)),
     """SELECT obs_id, CASE WHEN has_alert THEN coalesce(sum(CAST(has_alert AS INT)) OVER (ORDER BY feed_us
        RANGE BETWEEN 3600000000 PRECEDING AND 1 PRECEDING), 0) ELSE 0 END AS alert_count_last_hour FROM obs""")
+
+
+# The descriptive columns as they stood at each row.
+add("win05_agg06_headway_stability_as_of",
+    "obs_id:i headway_sec:f scheduled_headway:f headway_regularity:f bunching_indicator:i service_gap_ratio:f headway_cv:f",
+    lambda s, d: past.headway_stability(obs(s, d)),
+    f"""SELECT obs_id, headway_sec, m AS scheduled_headway, sd AS headway_regularity,
+       CASE WHEN headway_sec < m * 0.5 THEN 1 ELSE 0 END AS bunching_indicator,
+       CASE WHEN headway_sec IS NOT NULL AND m <> 0 THEN least(greatest(headway_sec / m, 0), 10) END AS service_gap_ratio,
+       CASE WHEN m > 0 THEN coalesce(sd / m, 0) ELSE 0 END AS headway_cv
+       FROM (SELECT *, avg(headway_sec) OVER w AS m, stddev_samp(headway_sec) OVER w AS sd FROM hw
+             WINDOW w AS ({W_RS} ROWS UNBOUNDED PRECEDING))""",
+    ctes=f"hw AS (SELECT *, {GAP.format(w=W_RS)} AS headway_sec FROM obs)", digits=4)
+
+add("agg07_disruption_density_as_of", "obs_id:i stop_disruption_count:i route_disruption_density:f",
+    lambda s, d: past.disruption_density(lab(s, d)),
+    f"""SELECT obs_id, stop_disruption_count, CASE WHEN b > 0 THEN b / n END AS route_disruption_density FROM (
+       SELECT obs_id, count(*) FILTER (disruption_type <> 'ON_TIME') OVER ({W_STOP} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stop_disruption_count,
+         count(*) FILTER (disruption_type <> 'ON_TIME') OVER r AS b, count(*) OVER r AS n FROM lab
+       WINDOW r AS ({W_ROUTE} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""")
+
+add("agg08_congestion_as_of", "obs_id:i stop_congestion_index:i vehicle_density:i",
+    lambda s, d: past.congestion(obs(s, d)),
+    """SELECT obs_id, count(*) OVER (PARTITION BY stop_id, h ORDER BY feed_timestamp, obs_id ROWS UNBOUNDED PRECEDING) AS stop_congestion_index,
+       sum(fresh) OVER (PARTITION BY route_id, h ORDER BY feed_timestamp, obs_id ROWS UNBOUNDED PRECEDING) AS vehicle_density
+       FROM (SELECT *, CASE WHEN vehicle_id IS NOT NULL AND row_number() OVER (PARTITION BY route_id, h, vehicle_id ORDER BY feed_timestamp, obs_id) = 1
+                       THEN 1 ELSE 0 END AS fresh FROM (SELECT *, hour(feed_timestamp) AS h FROM obs))""")
+
+add("agg09_dwell_anomaly_as_of", "obs_id:i dwell_time_anomaly:f",
+    lambda s, d: past.dwell_anomaly(obs(s, d), "speed"),
+    f"SELECT obs_id, speed - avg(speed) OVER ({W_STOP} ROWS UNBOUNDED PRECEDING) AS dwell_time_anomaly FROM obs", digits=4)
+
+add("agg10_mth06_interactions_as_of", "obs_id:i delay_speed_ratio:f delay_speed_product:f speed_delay_correlation:f",
+    lambda s, d: past.interactions(obs(s, d)),
+    f"""SELECT obs_id, CASE WHEN speed <> 0 THEN least(greatest(delay_sec / speed, -100), 100) END AS delay_speed_ratio, delay_sec * speed AS delay_speed_product,
+        CASE WHEN count(*) OVER w > 1 THEN
+          CASE WHEN min(speed) OVER w < max(speed) OVER w AND min(delay_sec) OVER w < max(delay_sec) OVER w THEN corr(speed, delay_sec) OVER w END
+        ELSE 0 END AS speed_delay_correlation
+        FROM obs WINDOW w AS ({W_ROUTE} ROWS UNBOUNDED PRECEDING)""", digits=4)
+
+add("join08_spatial_lag_as_of", "obs_id:i spatial_lag_delay:f",
+    lambda s, d: past.spatial_lag(obs(s, d)),
+    """SELECT o.obs_id, CASE WHEN o.stop_lat IS NOT NULL AND o.stop_lon IS NOT NULL THEN r.m END AS spatial_lag_delay FROM obs o LEFT JOIN (
+         SELECT t.obs_id, avg(e.delay_sec) AS m FROM obs t JOIN obs e ON abs(t.stop_lat - e.stop_lat) < 0.01 AND abs(t.stop_lon - e.stop_lon) < 0.01
+           AND e.feed_timestamp < t.feed_timestamp GROUP BY 1) r USING (obs_id)""", digits=4)

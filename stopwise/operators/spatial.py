@@ -32,6 +32,12 @@ def _neighbour_pairs(points: DataFrame, lat: str, lon: str, lat_size: float, lon
     return left.join(right, ["_cx", "_cy"]).drop("_cx", "_cy")
 
 
+def neighbour_locations(points: DataFrame, lat: str, lon: str, radius: float) -> DataFrame:
+    """Each location next to every location ``_o`` (itself included) whose latitude and longitude both differ by less than the radius."""
+    return _neighbour_pairs(points, lat, lon, radius, radius).filter(
+        (F.abs(F.col("_o")[lat] - F.col(lat)) < radius) & (F.abs(F.col("_o")[lon] - F.col(lon)) < radius))
+
+
 def _lag(df: DataFrame, lat: str, lon: str, value: str, radius: float, near, row_id: str, out: str,
          base: DataFrame | None = None) -> DataFrame:
     source = base if base is not None else df

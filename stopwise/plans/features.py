@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from stopwise.functions import alerts as alert_fn
 from stopwise.functions import clock, geo, text, weather
-from stopwise.operators import graph, horizon, label, merge, spatial, summary, temporal, timetable
+from stopwise.operators import graph, horizon, label, merge, past, spatial, summary, temporal, timetable
 from stopwise.session import cut_lineage
 
 BASE = ("obs_id", "feed_timestamp", "trip_id", "route_id", "stop_id", "vehicle_id", "stop_sequence", "delay_sec", "speed",
@@ -44,8 +44,13 @@ def prepared(df: DataFrame, dims: dict[str, DataFrame] | None = None) -> DataFra
     return label.classify(out)
 
 
-def build_features(df: DataFrame, dims: dict[str, DataFrame] | None = None, prediction_time: Column | None = None) -> DataFrame:
-    """The full feature table of the observations, label first so that no later step reads it too early."""
+def build_features(df: DataFrame, dims: dict[str, DataFrame] | None = None, prediction_time: Column | None = None,
+                   as_of: bool = False) -> DataFrame:
+    """The full feature table of the observations, label first so that no later step reads it too early.
+
+    Headway, disruption, spatial, dwell, congestion and correlation columns describe the whole table, later rows included.  With
+    ``as_of`` the same columns take only the rows up to each row, as a table to train on must.
+    """
     out = prepared(df, dims)
     base = base_of(out)
     cols = set(out.columns)
@@ -54,16 +59,16 @@ def build_features(df: DataFrame, dims: dict[str, DataFrame] | None = None, pred
     if "stop_id" in cols:
         out = temporal.previous_at_stop(out, base=base)
     if {"route_id", "stop_id"} <= cols:
-        out = temporal.headway_stability(out, base=base)
-        out = summary.add_disruption_density(out, base=base)
+        out = (past.headway_stability if as_of else temporal.headway_stability)(out, base=base)
+        out = (past.disruption_density if as_of else summary.add_disruption_density)(out, base=base)
     if {"stop_lat", "stop_lon"} <= cols:
-        out = spatial.spatial_lag(out, base=base)
+        out = (past.spatial_lag if as_of else spatial.spatial_lag)(out, base=base)
     out = horizon.alert_count_last_hour(out, base=base)
-    out = summary.add_dwell_anomaly(out, base=base)
+    out = (past.dwell_anomaly if as_of else summary.add_dwell_anomaly)(out, base=base)
     if "vehicle_id" in cols:
-        out = summary.add_congestion(out, base=base)
+        out = (past.congestion if as_of else summary.add_congestion)(out, base=base)
     out = temporal.route_trend(out, base=base)
-    out = summary.add_interactions(out, base=base)
+    out = (past.interactions if as_of else summary.add_interactions)(out, base=base)
     out = clock.holiday_features(clock.time_buckets(clock.cyclic_features(clock.calendar_parts(out, "feed_timestamp"))), "feed_timestamp")
     out = alert_features(out, prediction_time)
     for c in ("betweenness_centrality", "pagerank", "network_disruption_load", "network_load_normalized"):

@@ -105,9 +105,10 @@ def full_run(df: DataFrame, dims: dict[str, DataFrame] | None = None, target: st
              config: SplitConfig = SplitConfig(strategy="fixed_ratio"), **params) -> dict[str, DataFrame]:
     """Stop events to features, targets, split, tuned model and metrics.
 
-    The feature table is written after each of the two builds, because the later steps read it several times.
+    The feature table is written after each of the two builds, because the later steps read it several times.  Its columns take
+    only rows up to each row (``as_of``).
     """
-    table = cut_lineage(early_warning(cut_lineage(build_features(df, dims))))
+    table = cut_lineage(early_warning(cut_lineage(build_features(df, dims, as_of=True))))
     labelled, balance = adaptive_split(table, config)
     labelled = cut_lineage(labelled)
     names = label.pick_features(labelled, exclude=("obs_id", "k", "value"))

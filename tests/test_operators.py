@@ -10,6 +10,7 @@ from stopwise.metrics import classification as cl
 from stopwise.metrics import significance
 from stopwise.ml import models, neighbours
 from stopwise.operators import graph, label, quality, spatial, splits, summary, temporal
+from stopwise.plans import features
 from stopwise.sources import readers
 from stopwise.testbed import views
 
@@ -193,6 +194,21 @@ def test_features_do_not_see_the_future(spark):
     assert build(full) == build(full.filter(F.col("feed_timestamp") <= cut))
 
 
+def test_feature_table_to_train_on_does_not_see_the_future(spark):
+    """The same over every numeric column of the feature table that a full run may fit on."""
+    obs = views.obs(spark, SF)
+    cut = "2024-01-01 06:00:00"
+
+    def build(df):
+        out = features.build_features(df, as_of=True)
+        names = label.pick_features(out, exclude=("obs_id", "k", "value"))
+        rows = out.filter(F.col("feed_timestamp") <= cut).select("obs_id", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in names])
+        return {r.obs_id: r.asDict() for r in rows.collect()}
+
+    early = obs.filter(F.col("feed_timestamp") <= cut)
+    assert build(obs) == build(early)
+
+
 def test_evenly_spaced_files():
     names = [f"f{i:02d}" for i in range(10)]
     assert readers.evenly_spaced(names, 4) == ["f00", "f03", "f06", "f09"]
