@@ -182,4 +182,4 @@ add("cmp15_dashboard", "section key n:i active:i", lambda s, d: modelling.dashbo
         SELECT 'hour', strftime(date_trunc('hour', feed_timestamp), '%Y-%m-%d %H:%M:%S'), count(*), sum({BAD}) FROM lab GROUP BY 2 UNION ALL SELECT 'route', route_id, count(*), sum({BAD}) FROM lab GROUP BY 2
         UNION ALL SELECT 'stop', stop_id, count(*), sum({BAD}) FROM lab GROUP BY 2""")
 
-add("cmp16_full_run", "tp:i fp:i fn:i tn:i accuracy:f f1:f", lambda s, d: modelling.full_run(obs(s, d), numTrees=5, maxDepth=4)["metrics"])
+add("cmp16_full_run", "tp:i fp:i fn:i tn:i accuracy:f f1:f", lambda s, d: modelling.full_run(obs(s, d), as_of=False, numTrees=5, maxDepth=4)["metrics"])

@@ -102,13 +102,13 @@ def dashboard(df: DataFrame, dims: dict[str, DataFrame] | None = None) -> DataFr
 
 
 def full_run(df: DataFrame, dims: dict[str, DataFrame] | None = None, target: str = "target_30min", kind: str = "forest",
-             config: SplitConfig = SplitConfig(strategy="fixed_ratio"), **params) -> dict[str, DataFrame]:
+             config: SplitConfig = SplitConfig(strategy="fixed_ratio"), as_of: bool = True, **params) -> dict[str, DataFrame]:
     """Stop events to features, targets, split, tuned model and metrics.
 
     The feature table is written after each of the two builds, because the later steps read it several times.  Its columns take
-    only rows up to each row (``as_of``).
+    only rows up to each row unless ``as_of`` is off.
     """
-    table = cut_lineage(early_warning(cut_lineage(build_features(df, dims, as_of=True))))
+    table = cut_lineage(early_warning(cut_lineage(build_features(df, dims, as_of=as_of))))
     labelled, balance = adaptive_split(table, config)
     labelled = cut_lineage(labelled)
     names = label.pick_features(labelled, exclude=("obs_id", "k", "value"))
