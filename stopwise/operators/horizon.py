@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stopwise.operators.label import disrupted
 from stopwise.operators.temporal import ID, TIME
 from stopwise.ordered import as_of, count_within, with_running, with_windows
-from stopwise.skew import attach
+from stopwise.skew import attach, hot_table, sharing_hot_keys
 
 HORIZONS = {"target_10min": 10, "target_30min": 30, "target_60min": 60}
 
@@ -28,26 +28,34 @@ def onsets(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
         back=1, base=base)
 
 
+@sharing_hot_keys
 def forward_targets(df: DataFrame, horizons: dict[str, int] = HORIZONS, base: DataFrame | None = None) -> DataFrame:
     """Binary and multi-class targets for rows that are on time now.
 
     The next onset strictly after the row is a running minimum from the end of the time line, one per code, so no
-    range frame has to be scanned: an onset of code c lies in (t, t+h] exactly when the next one does.
+    range frame has to be scanned: an onset of code c lies in (t, t+h] exactly when the next one does.  Without a hot
+    trip and stop the minimum runs in the shuffle of the onsets; with one it is taken per instant and joined back.
     """
     rows = onsets(df, base)
     code = F.lit(None).cast("int")
     for name, value in CODES.items():
         code = F.when(F.col("disruption_type") == name, value).otherwise(code)
-    source = onsets((base if base is not None else df).select(*KEYS, TIME, ID, "disruption_type"))
     us = F.unix_micros(TIME)
-    marks = (
-        source.select(*KEYS, us.alias("_us"), F.when(F.col("new_disruption") == 1, code).alias("_code"))
-        .groupBy(*KEYS, "_us").agg(F.collect_set("_code").alias("_codes"))
-    )
     levels = sorted(set(CODES.values()) - {0})
-    values = {f"_next{c}": ("min", F.when(F.array_contains("_codes", c), F.col("_us"))) for c in levels}
-    upcoming = with_running(marks, KEYS, ["_us"], values, include_current=False, descending=True)
-    rows = attach(rows.withColumn("_us", us), upcoming.drop("_codes"), [*KEYS, "_us"], F.col(ID), instant=True)
+    nexts = [f"_next{c}" for c in levels]
+    if hot_table(base if base is not None else df, KEYS, [TIME, ID]) is None:
+        later = Window.partitionBy(*KEYS).orderBy(F.desc("_us")).rangeBetween(Window.unboundedPreceding, -1)
+        onset = F.when((F.col("new_disruption") == 1) & F.col("trip_id").isNotNull() & F.col("stop_id").isNotNull(), code)
+        rows = rows.withColumn("_us", us).withColumns({f"_next{c}": F.min(F.when(onset == c, F.col("_us"))).over(later) for c in levels})
+    else:
+        source = onsets((base if base is not None else df).select(*KEYS, TIME, ID, "disruption_type"))
+        marks = (
+            source.select(*KEYS, us.alias("_us"), F.when(F.col("new_disruption") == 1, code).alias("_code"))
+            .groupBy(*KEYS, "_us").agg(F.collect_set("_code").alias("_codes"))
+        )
+        values = {f"_next{c}": ("min", F.when(F.array_contains("_codes", c), F.col("_us"))) for c in levels}
+        upcoming = with_running(marks, KEYS, ["_us"], values, include_current=False, descending=True)
+        rows = attach(rows.withColumn("_us", us), upcoming.drop("_codes"), [*KEYS, "_us"], F.col(ID), instant=True)
     calm = ~disrupted()
     out = {}
     for target, minutes in horizons.items():
@@ -56,7 +64,7 @@ def forward_targets(df: DataFrame, horizons: dict[str, int] = HORIZONS, base: Da
         worst = F.coalesce(F.greatest(*hits), F.lit(0))
         out[target] = (worst > 0).cast("int")
         out[target.replace("target_", "target_mc_")] = worst
-    return rows.withColumns(out).drop("_us", *values)
+    return rows.withColumns(out).drop("_us", *nexts)
 
 
 def route_snapshots(df: DataFrame, minutes: int = 5, base: DataFrame | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stopwise.ordered import with_running, with_totals, with_windows
 from stopwise.operators.label import disrupted
+from stopwise.skew import sharing_hot_keys
 
 TIME, ID = "feed_timestamp", "obs_id"
 
@@ -29,6 +30,7 @@ def _slope(value: Column, frame, position: Column) -> Column:
     return F.when(F.count(value).over(frame) >= 2, F.regr_slope(value, position).over(frame))
 
 
+@sharing_hot_keys
 def trip_progress(df: DataFrame, delay: str = "delay_sec", base: DataFrame | None = None) -> DataFrame:
     """Cumulative delay, velocity, acceleration and cascade rate along each trip."""
     by = ["stop_sequence", TIME, ID]
@@ -66,6 +68,7 @@ def headway(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
         [lambda w: {"headway_sec": seconds_between(F.col(TIME), F.lag(TIME).over(w))}], back=1, base=base)
 
 
+@sharing_hot_keys
 def headway_stability(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """Headway with its route-stop mean and spread, bunching, gap ratio and coefficient of variation."""
     rows = headway(df, base)
@@ -83,6 +86,7 @@ def headway_stability(df: DataFrame, base: DataFrame | None = None) -> DataFrame
     })
 
 
+@sharing_hot_keys
 def headway_profile(df: DataFrame, scheduled: str = "scheduled_headway_sec", base: DataFrame | None = None) -> DataFrame:
     """Actual headway per route-stop: minutes, 5-row spread, mean, bunched / gap flags, ratio to the schedule."""
     def first(w):

@@ -9,7 +9,8 @@ A plain ``Window.partitionBy(key)`` sends all rows of a key to one task.  Here t
   prefixed along the key, and the prefix is combined with the value inside the slot.
 * ``as_of`` and ``count_within``: as-of lookup and counts in a time range, both as running values over a union.
 
-For cold keys all of this reduces to the plain window, because they have exactly one slot.
+For cold keys all of this reduces to the plain window, because they have exactly one slot.  When no key is hot at all, the plan is
+the plain window: one shuffle, which further operators on the same keys share.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from stopwise.skew import attach, hot_keys, with_slots
+from stopwise.skew import attach, hot_table, with_slots
 
 Layer = Callable[[WindowSpec], Mapping[str, Column]]
 
@@ -42,6 +43,13 @@ def _carried_rows(slots: DataFrame, keys: list[str], by: list[str], reach: int,
     )
 
 
+def _layered(rows: DataFrame, window: WindowSpec, layers: Sequence[Layer]) -> DataFrame:
+    for layer in layers:
+        for name, value in layer(window).items():
+            rows = rows.withColumn(name, value)
+    return rows
+
+
 def with_windows(
     df: DataFrame,
     keys: Sequence[str],
@@ -60,19 +68,17 @@ def with_windows(
     """
     keys, by = list(keys), list(by)
     source = base if base is not None else df
-    needed = list(dict.fromkeys([*keys, *by, *inputs]))
-    narrow = source.select(*needed)
-    hot = hot_keys(narrow, keys, by)
+    hot = hot_table(source, keys, by)
+    if hot is None:
+        return _layered(df, Window.partitionBy(*keys).orderBy(*by), layers)
+    narrow = source.select(*dict.fromkeys([*keys, *by, *inputs]))
     rows = with_slots(df, hot, keys, by).withColumn("_carried", F.lit(False))
     hot_rows = with_slots(narrow, hot, keys, by, how="inner")
     for reach, backwards in ((back, True), (ahead, False)):
         if reach:
             extra = _carried_rows(hot_rows, keys, by, reach, backwards).withColumn("_carried", F.lit(True))
             rows = rows.unionByName(extra, allowMissingColumns=True)
-    window = Window.partitionBy(*keys, "_slot").orderBy(*by)
-    for layer in layers:
-        for name, value in layer(window).items():
-            rows = rows.withColumn(name, value)
+    rows = _layered(rows, Window.partitionBy(*keys, "_slot").orderBy(*by), layers)
     return rows.filter(~F.col("_carried")).drop("_carried", "_slot")
 
 
@@ -92,11 +98,33 @@ def with_running(
     """
     keys, by = list(keys), list(by)
     source = base if base is not None else df
-    hot = hot_keys(source.select(*dict.fromkeys([*keys, *by])), keys, by)
-    rows = with_slots(df, hot, keys, by)
+    hot = hot_table(source, keys, by)
     args = {f"_v{i}": column for i, (_, column) in enumerate(values.values())}
-    rows = rows.select("*", *[column.alias(name) for name, column in args.items()])
-    hot_rows = with_slots(source.select(*dict.fromkeys([*keys, *by]), *[c.alias(n) for n, c in args.items()]),
+    rows = (df if hot is None else with_slots(df, hot, keys, by)).select("*", *[column.alias(name) for name, column in args.items()])
+    carries, part = [], keys
+    if hot is not None:
+        rows, carries, part = _with_carried(rows, source, hot, keys, by, values, descending), [f"_c{i}" for i in range(len(values))], [*keys, "_slot"]
+    spec = Window.partitionBy(*part).orderBy(*[F.col(c).desc() if descending else F.col(c).asc() for c in by])
+    frame = spec.rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
+    for i, (name, (kind, _)) in enumerate(values.items()):
+        arg, carry = F.col(f"_v{i}"), F.col(f"_c{i}") if carries else None
+        value = F.last(arg, True).over(frame) if kind == "last" else getattr(F, kind)(arg).over(frame)
+        if kind == "count":
+            value = F.coalesce(value, F.lit(0)) + (F.coalesce(carry, F.lit(0)) if carries else F.lit(0))
+        elif carries and kind == "last":
+            value = F.coalesce(value, carry)
+        elif carries and kind == "sum":
+            value = F.when(value.isNull(), carry).when(carry.isNull(), value).otherwise(value + carry)
+        elif carries:
+            value = (F.least if kind == "min" else F.greatest)(value, carry)
+        rows = rows.withColumn(name, value)
+    return rows.drop("_slot", *args, *carries)
+
+
+def _with_carried(rows: DataFrame, source: DataFrame, hot: DataFrame, keys: list[str], by: list[str],
+                  values: Mapping[str, tuple[str, Column]], descending: bool) -> DataFrame:
+    """Slotted rows with what the slots before theirs add up to (``_c0``, ``_c1``, ...)."""
+    hot_rows = with_slots(source.select(*dict.fromkeys([*keys, *by]), *[c.alias(f"_v{i}") for i, (_, c) in enumerate(values.values())]),
                           hot, keys, by, how="inner")
     order = F.struct(*by)
     aggs = []
@@ -107,38 +135,19 @@ def with_running(
             aggs.append(pick(arg, F.when(arg.isNotNull(), order)).alias(f"_p{i}"))
         else:
             aggs.append(getattr(F, kind)(arg).alias(f"_p{i}"))
-    slot_totals = hot_rows.groupBy(*keys, "_slot").agg(*aggs)
+    prefix = hot_rows.groupBy(*keys, "_slot").agg(*aggs)
     direction = F.col("_slot").desc() if descending else F.col("_slot").asc()
     before = Window.partitionBy(*keys).orderBy(direction).rowsBetween(Window.unboundedPreceding, -1)
-    prefix = slot_totals
     for i, (kind, _) in enumerate(values.values()):
         total = F.col(f"_p{i}")
         fold = F.last(total, True) if kind == "last" else getattr(F, "sum" if kind == "count" else kind)(total)
         prefix = prefix.withColumn(f"_c{i}", fold.over(before))
-    carries = [f"_c{i}" for i in range(len(values))]
-    prefix = prefix.select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.col("_slot").alias("_h_slot"), *carries)
+    prefix = prefix.select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.col("_slot").alias("_h_slot"), *[f"_c{i}" for i in range(len(values))])
     on = F.col("_slot") == F.col("_h_slot")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_h_{k}"))
     # One row per slot of a hot key, that is at most two for every ``hot limit`` rows.
-    rows = rows.join(F.broadcast(prefix), on, "left").drop("_h_slot", *[f"_h_{k}" for k in keys])
-    spec = Window.partitionBy(*keys, "_slot").orderBy(*[F.col(c).desc() if descending else F.col(c).asc() for c in by])
-    frame = spec.rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
-    for i, (name, (kind, _)) in enumerate(values.items()):
-        arg, carry = F.col(f"_v{i}"), F.col(f"_c{i}")
-        if kind == "last":
-            value = F.coalesce(F.last(arg, True).over(frame), carry)
-        elif kind == "count":
-            value = F.coalesce(F.count(arg).over(frame), F.lit(0)) + F.coalesce(carry, F.lit(0))
-        elif kind == "sum":
-            inside = F.sum(arg).over(frame)
-            value = F.when(inside.isNull(), carry).when(carry.isNull(), inside).otherwise(inside + carry)
-        elif kind == "min":
-            value = F.least(F.min(arg).over(frame), carry)
-        else:
-            value = F.greatest(F.max(arg).over(frame), carry)
-        rows = rows.withColumn(name, value)
-    return rows.drop("_slot", *args, *carries)
+    return rows.join(F.broadcast(prefix), on, "left").drop("_h_slot", *[f"_h_{k}" for k in keys])
 
 
 def with_totals(

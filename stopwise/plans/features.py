@@ -15,6 +15,7 @@ from stopwise.functions import alerts as alert_fn
 from stopwise.functions import clock, geo, text, weather
 from stopwise.operators import graph, horizon, label, merge, past, spatial, summary, temporal, timetable
 from stopwise.session import cut_lineage
+from stopwise.skew import sharing_hot_keys
 
 BASE = ("obs_id", "feed_timestamp", "trip_id", "route_id", "stop_id", "vehicle_id", "stop_sequence", "delay_sec", "speed",
         "disruption_type", "severity_score", "has_alert", "stop_lat", "stop_lon", "dwell_time_sec", "sched_arr_sec")
@@ -44,6 +45,7 @@ def prepared(df: DataFrame, dims: dict[str, DataFrame] | None = None) -> DataFra
     return label.classify(out)
 
 
+@sharing_hot_keys
 def build_features(df: DataFrame, dims: dict[str, DataFrame] | None = None, prediction_time: Column | None = None,
                    as_of: bool = False) -> DataFrame:
     """The full feature table of the observations, label first so that no later step reads it too early.
@@ -99,6 +101,7 @@ def text_features(df: DataFrame, body: str, lang: str | None = None) -> DataFram
     return text.language_flags(text.sentiment(text.taxonomy_scores(out, body), body), lang)
 
 
+@sharing_hot_keys
 def enrich(df: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
     """Timetable enrichment: dimensions, schedule, deviation, second peak set, delay, headway and speed features."""
     out = cut_lineage(timetable.join_schedule(df, timetable.schedule(dims["stop_times"])))
@@ -109,6 +112,7 @@ def enrich(df: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
     return temporal.change_features(timetable.speed_features(out), base=base)
 
 
+@sharing_hot_keys
 def early_warning(df: DataFrame, horizons: dict[str, int] | None = None) -> DataFrame:
     """Look-back block, forward targets and route snapshots of labelled observations."""
     base = base_of(df)
@@ -128,6 +132,7 @@ class Families:
     text: bool = True
 
 
+@sharing_hot_keys
 def family_features(df: DataFrame, dims: dict[str, DataFrame] | None = None, on: Families = Families()) -> DataFrame:
     """The five feature families, each behind its switch."""
     base, out = base_of(df), df

@@ -1,16 +1,20 @@
 """Hot-key handling shared by every keyed operator.
 
-A key that holds a large share of the rows must never land in one task.  Three tools cover the library:
+A key that holds a large share of the rows must never land in one task.  Four tools cover the library:
 
 * ``hot_keys``  finds the keys with more rows than one task should take, with the values at which each is cut.  There are
   at most rows / limit such keys and twice as many cuts (one million for 10**12 rows), which bounds the broadcast.
+* ``hot_table``  looks for hot keys once, ahead of the plan, and writes what it finds; without hot keys the plan gets no slicing branch.
 * ``with_slots`` splits each hot key into consecutive slices of about equally many rows; cold keys keep slot 0.
 * ``attach`` joins per-key totals back to the rows, spreading the rows of hot keys over several salts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 
 import numpy as np
 
@@ -18,6 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stopwise.session import cut_lineage
+
 HOT_ROWS_CONF = "spark.stopwise.hotRows"
 DEFAULT_HOT_ROWS = 2_000_000
 #: Quantiles a hot key is cut at; a key that needs more slices has each piece cut further into equal widths.
@@ -82,6 +88,58 @@ def hot_keys(base: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> Da
     return cut.withColumn("_cuts", F.when(F.col("_grid").isNotNull(), at)).drop("_grid")
 
 
+_FOUND: ContextVar[dict | None] = ContextVar("found_hot_keys", default=None)
+
+
+@contextmanager
+def shared_hot_keys() -> Iterator[None]:
+    """Operators called inside look for the hot keys of the same base and keys only once."""
+    if _FOUND.get() is not None:
+        yield
+        return
+    token = _FOUND.set({})
+    try:
+        yield
+    finally:
+        _FOUND.reset(token)
+
+
+def sharing_hot_keys(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Run a function that builds a plan from several operators under ``shared_hot_keys``."""
+    @wraps(build)
+    def run(*args, **kwargs):
+        with shared_hot_keys():
+            return build(*args, **kwargs)
+
+    return run
+
+
+def _once(kind: str, rows: DataFrame, keys: Sequence[str], by: Sequence[str], find: Callable[[], object]) -> object:
+    found = _FOUND.get()
+    if found is None:
+        return find()
+    name = (kind, rows.semanticHash(), tuple(keys), tuple(by), hot_limit(rows.sparkSession))
+    for known, value in found.setdefault(name, []):
+        if known.sameSemantics(rows):
+            return value
+    value = find()
+    found[name].append((rows, value))
+    return value
+
+
+def hot_table(base: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame | None:
+    """``hot_keys`` as a written table, None when no key is hot.
+
+    A job counts the rows of each key when the plan is built.  It reads the key columns only, and its result decides whether the
+    plan needs slices, carried rows and a quantile pass at all; the results are the same either way.
+    """
+    narrow = base.select(*keys)
+    if _once("none", narrow, keys, (), lambda: hot_keys(narrow, keys).isEmpty()):
+        return None
+    needed = base.select(*dict.fromkeys([*keys, *by]))
+    return _once("table", needed, keys, by, lambda: cut_lineage(hot_keys(needed, keys, by)))
+
+
 def _slice(pos: Column, lo: Column, hi: Column, parts: Column) -> Column:
     """Number of the equal-width slice from 0 to ``parts`` - 1, 0 without a position."""
     share = F.try_divide((pos - lo) * parts, hi - lo)
@@ -142,11 +200,10 @@ def attach(
     any_null = F.lit(False)
     for k in keys:
         any_null = any_null | F.col(k).isNull()
-    if instant:
+    hot = None if instant else hot_table(base if base is not None else df, keys)
+    if hot is None:
         left = df.withColumn("_salt", F.when(any_null, mixed).otherwise(F.lit(0)))
         return left.join(totals.withColumn("_salt", F.lit(0).cast("long")), [*keys, "_salt"], "left").drop("_salt")
-    source = base if base is not None else df
-    hot = hot_keys(source.select(*keys), keys)
     on = _same([F.col(k) for k in keys], [F.col(f"_h_{k}") for k in keys])
     left = df.join(F.broadcast(hot), on, "left")
     left = left.withColumn("_salt", F.when(any_null, mixed).otherwise(F.coalesce(F.pmod(mixed, F.col("_parts")), F.lit(0))))
