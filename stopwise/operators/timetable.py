@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stopwise.functions.bins import cut, flag
@@ -11,7 +11,7 @@ from stopwise.functions.geo import ALL_HUBS, haversine_km
 from stopwise.operators.temporal import clip, first_per_key
 from stopwise.ordered import with_totals, with_windows
 from stopwise.session import cut_lineage
-from stopwise.skew import attach, lookup
+from stopwise.skew import attach, hot_table, lookup, sharing_hot_keys
 
 
 def number(name: str, default: int) -> Column:
@@ -105,15 +105,22 @@ def trip_dimension(trips: DataFrame, stop_times: DataFrame, shapes: DataFrame |
     return out
 
 
+@sharing_hot_keys
 def schedule(stop_times: DataFrame) -> DataFrame:
-    """Clock times in seconds, dwell, travel time to the next stop, position in the trip, pickup flags."""
+    """Clock times in seconds, dwell, travel time to the next stop, position in the trip, pickup flags.
+
+    Without a hot trip its last position is taken in the shuffle of the next stops, else from totals joined back.
+    """
     base = stop_times.withColumns({
         "sched_arr_sec": clock_seconds(F.col("arrival_time")), "sched_dep_sec": clock_seconds(F.col("departure_time")),
         "stop_seq_num": F.col("stop_sequence").try_cast("long")})
-    nexts = with_windows(base, ["trip_id"], ["stop_seq_num", "stop_id", "sched_dep_sec"], [], [
+    by, longest = ["stop_seq_num", "stop_id", "sched_dep_sec"], F.max("stop_seq_num")
+    nexts = with_windows(base, ["trip_id"], by, [], [
         lambda w: {"sched_travel_to_next": F.lead("sched_dep_sec").over(w) - F.col("sched_dep_sec")}], ahead=1)
-    out = with_totals(nexts, ["trip_id"], [F.max("stop_seq_num").alias("_max")], spread=F.xxhash64("stop_id", "stop_seq_num"),
-                      base=base.select("trip_id", "stop_seq_num"))
+    if hot_table(base, ["trip_id"], by) is None:
+        out = nexts.withColumn("_max", F.when(F.col("trip_id").isNotNull(), longest.over(Window.partitionBy("trip_id"))))
+    else:
+        out = with_totals(nexts, ["trip_id"], [longest.alias("_max")], spread=F.xxhash64("stop_id", "stop_seq_num"), base=base)
     return out.withColumns({
         "sched_dwell_sec": F.col("sched_dep_sec") - F.col("sched_arr_sec"),
         "stop_seq_ratio": F.try_divide(F.col("stop_seq_num"), F.col("_max")),
