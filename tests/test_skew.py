@@ -5,9 +5,11 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from stopwise import skew
+from stopwise.operators.horizon import forward_targets
 from stopwise.operators.quantiles import quantiles
 from stopwise.ordered import as_of, count_within, with_running, with_totals, with_windows
-from stopwise.skew import attach, hot_keys, lookup, with_slots
+from stopwise.skew import HOT_ROWS_CONF, attach, hot_keys, hot_table, lookup, shared_hot_keys, with_slots
 
 BY = ["feed_timestamp", "obs_id"]
 
@@ -122,3 +124,37 @@ def test_result_does_not_depend_on_partitioning(skewed, split_keys):
     def run(df):
         return rows(with_running(df, ["key"], BY, {"s": ("sum", F.col("v"))}), "s")
     assert run(skewed.repartition(1)) == run(skewed.repartition(8)) == run(skewed.orderBy(F.rand(3)))
+
+
+def test_plans_without_hot_keys_have_no_slicing_branch(skewed):
+    assert hot_table(skewed, ["key"], BY) is None
+    got = with_running(with_windows(skewed, ["key"], BY, ["v"], [lambda w: {"p": F.lag("v").over(w)}], back=1), ["key"], BY, {"s": ("sum", F.col("v"))})
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_hot_keys_are_looked_for_once_in_a_shared_scope(skewed, split_keys, monkeypatch):
+    calls = []
+    whole = skew.hot_keys
+    monkeypatch.setattr(skew, "hot_keys", lambda *args: calls.append(args) or whole(*args))
+    with shared_hot_keys():
+        first, second = (hot_table(skewed, ["key"], BY) for _ in range(2))
+        assert len(calls) == 2 and first is second and first.count() == 1
+    assert hot_table(skewed, ["key"], BY) is not first
+
+
+def test_forward_targets_are_the_same_with_and_without_hot_keys(spark):
+    kinds = ["ON_TIME", "MAJOR_DELAY", "ON_TIME", "CANCELLED", None, "ON_TIME", "MINOR_DELAY", "ON_TIME"]
+    df = spark.range(240).select(
+        F.col("id").alias("obs_id"), F.when(F.col("id") % 13 > 0, F.concat(F.lit("t"), F.col("id") % 2)).alias("trip_id"),
+        F.when(F.col("id") % 19 > 0, F.lit("s")).alias("stop_id"),
+        F.when(F.col("id") % 23 > 0, F.timestamp_micros(F.floor(F.col("id") / 3) * 240_000_000)).alias("feed_timestamp"),
+        F.get(F.array(*[F.lit(k) for k in kinds]), (F.col("id") * 7 % 11 % 8).cast("int")).alias("disruption_type"))
+    columns = ["new_disruption", *[f"target_{p}{m}min" for p in ("", "mc_") for m in (10, 30, 60)]]
+    cold = rows(forward_targets(df), *columns)
+    spark.conf.set(HOT_ROWS_CONF, "10")
+    try:
+        assert rows(forward_targets(df), *columns) == cold
+    finally:
+        spark.conf.unset(HOT_ROWS_CONF)
+    assert any(r[-1] for r in cold)
