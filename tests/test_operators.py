@@ -170,6 +170,18 @@ def test_oversampled_classes_are_equally_large(spark):
     assert out.groupBy("y", "id").count().groupBy("y").agg((F.max("count") - F.min("count")).alias("d")).filter("d > 1").isEmpty()
 
 
+def test_oversampled_hot_class_without_broadcast(spark, split_keys):
+    """Class sizes too large to broadcast by the estimate are joined by salts of the hot class."""
+    df = spark.range(200).selectExpr("id", "case when id % 7 = 0 then 'b' when id % 11 = 1 then 'c' else 'a' end as y")
+    want = sorted(map(tuple, splits.oversample(df, "y", "id").collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = sorted(map(tuple, splits.oversample(df, "y", "id").collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == want
+
+
 def test_student_t_against_known_values():
     assert math.isclose(significance.t_two_sided(2.0, 10), 0.07338803, abs_tol=1e-6)
     assert math.isclose(significance.t_two_sided(0.5, 3), 0.6514, abs_tol=1e-4)
