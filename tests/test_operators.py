@@ -1,11 +1,13 @@
 """Literal tables and brute-force comparisons."""
 
 import math
-from collections import deque
+import random
+from collections import Counter, deque
 
 import pytest
 from pyspark.sql import functions as F
 
+from stopwise.functions.geo import EARTH_KM
 from stopwise.metrics import classification as cl
 from stopwise.metrics import significance
 from stopwise.ml import models, neighbours
@@ -182,6 +184,30 @@ def test_oversampled_hot_class_without_broadcast(spark, split_keys):
     assert got == want
 
 
+def test_proximity_edges_against_all_pairs(spark):
+    """Crowded places, repeated and missing ids, high latitudes and values that are no place; the cells get lists, not stops."""
+    rng = random.Random(3)
+    rows = [(f"s{i}", str(51 + rng.random() * 0.1), str(4 + rng.random() * 0.2)) for i in range(120)]
+    rows += [(f"h{i}", "51.05", "4.1") for i in range(150)] + [("h1", "51.05", "4.1")] * 70 + [("s1", "51.05", "4.1"), (None, "51.05", "4.1")]
+    rows += [(f"n{i}", str(rng.choice([83.9, 86.0, 89.9, -89.95]) + rng.random() * 0.02), str(rng.random() * 90)) for i in range(60)]
+    rows += [("x", "NaN", "4.1"), ("y", None, "4.1"), ("z", "here", "4.1"), ("w", "51.05", "Infinity")]
+    df = spark.createDataFrame(rows, "stop_id string, stop_lat string, stop_lon string")
+    places = [(i, float(a), float(b)) for i, a, b in rows if i not in (None, "w", "x", "y", "z")]
+
+    def km(a, b):
+        (x1, y1), (x2, y2) = (tuple(map(math.radians, p[1:])) for p in (a, b))
+        chord = math.sin((x2 - x1) / 2) ** 2 + math.cos(x1) * math.cos(x2) * math.sin((y2 - y1) / 2) ** 2
+        return 2 * EARTH_KM * math.asin(math.sqrt(chord))
+
+    want = Counter((a[0], b[0], round(km(a, b), 6)) for a in places for b in places if a[0] != b[0] and km(a, b) <= 2.0)
+    out = spatial.proximity_edges(df, 2.0)
+    got = out.collect()
+    assert Counter((r["src"], r["dst"], round(r["km"], 6)) for r in got) == want
+    assert all(abs(r["weight"] - max(0.1, 1 - r["km"] / 2)) < 1e-9 for r in got)
+    assert "SortMergeJoin [_cx" in out._jdf.queryExecution().executedPlan().toString()
+    assert spatial._blocks(df.selectExpr("stop_id", "51.05D as lat", "4.1D as lon").filter("stop_id like 'h%'")).agg(F.max(F.size("_ids"))).first()[0] < 150
+
+
 def test_student_t_against_known_values():
     assert math.isclose(significance.t_two_sided(2.0, 10), 0.07338803, abs_tol=1e-6)
     assert math.isclose(significance.t_two_sided(0.5, 3), 0.6514, abs_tol=1e-4)
