@@ -23,6 +23,10 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 BLOCK = 4096
+#: Groups of alerts that share a key of state.
+GROUPS = 4096
+#: Rows without a time come first.
+NO_TIME = -(1 << 63)
 NEW, ACKNOWLEDGED, RESOLVED, OTHER = range(4)
 STATUS = ("NEW", "ACKNOWLEDGED", "RESOLVED")
 
@@ -244,71 +248,96 @@ def error_detectors(stream: DataFrame, keys: list[str], time: str = "event_ts",
 class AlertLifecycle(InOrder):
     """NEW, ACKNOWLEDGED, RESOLVED per alert; an alert that nobody has taken at its deadline is reported as overdue once.
 
-    An acknowledgement at the very deadline is in time.  RESOLVED ends the alert: its state and its timer go.
+    An acknowledgement at the very deadline is in time.  RESOLVED ends the alert: its state goes.  Alerts are many and short, so a key is
+    a group of them: the group's rows are taken in time order together, and its open alerts are one value of state (``OPEN`` each).
     """
 
-    FIELDS = [("us", "<i8"), ("event", "<i8"), ("deadline_min", "<f8")]
+    FIELDS = [("us", "<i8"), ("event", "<i8"), ("deadline_min", "<f8"), ("alert_id", "<i8"), ("named", "<i8")]
+    OPEN = np.dtype([("alert_id", "<i8"), ("named", "<i8"), ("status", "<i8"), ("due", "<i8"), ("us", "<i8")])
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("alert", "status string, due bigint, us bigint")
+    def __init__(self, idle: float | None = None, block: int = BLOCK):
+        super().__init__(None, block)  # rows of several alerts follow each other, gaps are those of one alert
+        self.quiet_ms = None if idle is None else int(idle * 60_000)
+        self.alerts: dict[tuple[int, int], list[int]] | None = None
 
-    def last_ms(self) -> int | None:
-        return self.state.get()[2] // 1000 if self.state.exists() else None
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("alerts", "open binary")
 
-    def forget(self) -> None:
-        self.state.clear()
+    def _loaded(self) -> dict[tuple[int, int], list[int]]:
+        """Open alerts of the group: status, instant of the deadline (0 without) and of the last row."""
+        if self.alerts is None:
+            held = np.frombuffer(self.state.get()[0], self.OPEN).tolist() if self.state.exists() else []
+            self.alerts = {row[:2]: list(row[2:]) for row in held}
+        return self.alerts
 
-    def _table(self, key, out: list[tuple[str, bool]]) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], status, overdue) for status, overdue in out], columns=["alert_id", "status", "overdue"])
+    def _table(self, out: list[tuple[tuple[int, int], int, bool]]) -> Iterator[pd.DataFrame]:
+        for at in range(0, len(out), self.block):
+            some = out[at:at + self.block]
+            yield pd.DataFrame({"alert_id": pd.array([i if named else None for (i, named), _, _ in some], "Int64"),
+                                "status": [STATUS[s] for _, s, _ in some], "overdue": [late for _, _, late in some]})
 
     def advance(self, key, rows: np.ndarray) -> Iterator[pd.DataFrame]:
-        status, due, _ = self.state.get() if self.state.exists() else ("", 0, 0)
-        before, out, us = due, [], 0
-        for us, event, minutes in rows.tolist():
-            if status == "NEW" and due and us // 1000 > due:
-                out.append((status, True))
+        alerts, out = self._loaded(), []
+        for us, event, minutes, *name in rows.tolist():
+            name = tuple(name)
+            status, due, last = alerts.pop(name, (None, 0, 0))
+            if status is not None and self.quiet_ms is not None and us // 1000 - last // 1000 > self.quiet_ms:
+                status, due = None, 0
+            if status == NEW and due and us // 1000 > due:
+                out.append((name, status, True))
                 due = 0
-            if event == NEW and not status:
-                status, due = "NEW", int(us // 1000 + minutes * 60_000)
-            elif event == ACKNOWLEDGED and status == "NEW":
-                status, due = "ACKNOWLEDGED", 0
-            elif event == RESOLVED and status:
-                out.append(("RESOLVED", False))
-                status, due = "", 0
+            if event == NEW and status is None:
+                status, due = NEW, int(us // 1000 + minutes * 60_000)
+            elif event == ACKNOWLEDGED and status == NEW:
+                status, due = ACKNOWLEDGED, 0
+            elif event == RESOLVED and status is not None:
+                out.append((name, RESOLVED, False))
                 continue
-            if status:
-                out.append((status, False))
-        if before and before != due:
-            self.handle.deleteTimer(before)
-        if status:
-            self.state.update((status, due, us))
-        else:
-            self.state.clear()
-        if out:
-            yield self._table(key, out)
+            if status is not None:
+                out.append((name, status, False))
+                alerts[name] = [status, due, us]
+        yield from self._table(out)
 
     def passed(self, key, ms: int) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            status, due, us = self.state.get()
-            if status == "NEW" and due:
+        alerts, out, nexts = self._loaded(), [], []
+        for name, entry in list(alerts.items()):
+            status, due, us = entry
+            if status == NEW and due:
                 if due <= ms:
-                    self.state.update((status, 0, us))
-                    yield self._table(key, [(status, True)])
+                    entry[1] = 0
+                    out.append((name, status, True))
+                else:
+                    nexts.append(due)
+            if self.quiet_ms is not None:
+                if us // 1000 + self.quiet_ms <= ms:
+                    del alerts[name]
                 else:
-                    self.timer(due, ms)
+                    nexts.append(us // 1000 + self.quiet_ms)
+        if alerts:
+            self.state.update((np.array([(*name, *entry) for name, entry in alerts.items()], self.OPEN).tobytes(),))
+        else:
+            self.state.clear()
+        self.alerts = None
+        if nexts:
+            self.timer(min(nexts), ms)
+        yield from self._table(out)
 
 
-def alert_lifecycle(stream: DataFrame, time: str = "event_at", late: str = "10 minutes", idle: float | None = None) -> DataFrame:
+def alert_lifecycle(stream: DataFrame, time: str = "event_at", late: str = "10 minutes", idle: float | None = None, groups: int = GROUPS) -> DataFrame:
     """Status changes of each alert, plus one overdue row when its deadline passes in event time unanswered.
 
-    Expects alert_id, event (NEW / ACKNOWLEDGED / RESOLVED), deadline_min and the event time.
+    Expects alert_id, event (NEW / ACKNOWLEDGED / RESOLVED), deadline_min and the event time.  State is kept for ``groups`` groups of
+    alerts, each read as a whole when rows or deadlines of it come up (40 bytes for an open alert).
     """
     use_rocksdb(stream.sparkSession)
     code = F.lit(OTHER)
     for i, name in enumerate(STATUS):
         code = F.when(F.col("event") == name, i).otherwise(code)
+    alert = F.col("alert_id").cast("long")
     rows = stream.withWatermark(time, late).select(
-        "alert_id", code.cast("long").alias("event"), F.coalesce(F.col("deadline_min").cast("double"), F.lit(0.0)).alias("deadline_min"), time,
-        F.unix_micros(time).alias("us"))
-    return rows.groupBy("alert_id").transformWithStateInPandas(
+        F.pmod(F.xxhash64(alert), F.lit(groups)).alias("group"), F.coalesce(alert, F.lit(0).cast("long")).alias("alert_id"),
+        alert.isNotNull().cast("long").alias("named"), code.cast("long").alias("event"),
+        F.coalesce(F.col("deadline_min").cast("double"), F.lit(0.0)).alias("deadline_min"), time,
+        F.coalesce(F.unix_micros(time), F.lit(NO_TIME)).alias("us"))
+    return rows.groupBy("group").transformWithStateInPandas(
         AlertLifecycle(idle), "alert_id bigint, status string, overdue boolean", "Append", "EventTime")

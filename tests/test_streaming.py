@@ -1,5 +1,8 @@
 """Stream and batch agree, and the keyed state survives several micro-batches."""
 
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -74,6 +77,40 @@ def test_overdue_alerts(spark, tmp_path):
     assert out.filter("alert_id = 1 and status = 'ACKNOWLEDGED'").count() == 1
 
 
+def test_alerts_of_a_group_keep_apart(spark, tmp_path):
+    """Alerts that share a key of state, one without an id and an id of 0 among them, end as each would alone."""
+    rng = random.Random(5)
+    rows = [(rng.choice([None, *range(12)]), rng.choice(["NEW", "NEW", "ACKNOWLEDGED", "RESOLVED", "SEEN", None]), rng.choice([None, 3, 20, 90]), m)
+            for m in rng.sample(range(2000), 400)] + [(99, "SEEN", None, 2100)]
+    df = spark.createDataFrame(rows, "alert_id long, event string, deadline_min int, m long").withColumn(
+        "event_at", F.timestamp_seconds((F.col("m") + 1000) * 60)).drop("m")
+    want = Counter()
+    for alert in {r[0] for r in rows}:
+        status, due = None, None
+        for _, event, minutes, m in sorted((r for r in rows if r[0] == alert and r[3] <= 2090), key=lambda r: r[3]):
+            if status == "NEW" and due is not None and m > due:
+                want[alert, status, True] += 1
+                due = None
+            if event == "NEW" and not status:
+                status, due = "NEW", m + (minutes or 0)
+            elif event == "ACKNOWLEDGED" and status == "NEW":
+                status = event
+            elif event == "RESOLVED" and status:
+                want[alert, event, False] += 1
+                status = None
+                continue
+            if status:
+                want[alert, status, False] += 1
+        if status == "NEW" and due is not None and due <= 2090:
+            want[alert, status, True] += 1
+    for groups in (1, 3, stateful.GROUPS):
+        feed = several_batches(spark, df, tmp_path / str(groups), "event_at", 5)
+        assert Counter(map(tuple, feeds.replay(stateful.alert_lifecycle(feed, groups=groups)).collect())) == want
+    idle = [Counter(map(tuple, feeds.replay(stateful.alert_lifecycle(
+        several_batches(spark, df, tmp_path / f"idle{groups}", "event_at", 5), idle=15, groups=groups)).collect())) for groups in (1, stateful.GROUPS)]
+    assert idle[0] == idle[1] != want
+
+
 class Stub:
     def write(self):
         return self
