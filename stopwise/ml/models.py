@@ -22,6 +22,10 @@ from stopwise.metrics.classification import binary_metrics, multilabel_metrics,
 from stopwise.operators.splits import add_class_weight, span_rows
 
 
+#: Training rows that one task holds.
+FIT_ROWS = 250_000
+
+
 def estimator(kind: str, features: Sequence[str], label: str, weight: str | None = None, seed: int = 42, **params):
     """Assembler, scaler where the model needs one, and classifier."""
     stages = [VectorAssembler(inputCols=list(features), outputCol="_raw", handleInvalid="keep")]
@@ -42,8 +46,15 @@ def estimator(kind: str, features: Sequence[str], label: str, weight: str | None
     return Pipeline(stages=[*stages, model])
 
 
+def spread(rows: DataFrame, limit: int = FIT_ROWS) -> DataFrame:
+    """The rows in parts of at most about ``limit``, as they are when one part would hold them all."""
+    n = rows.count()
+    return rows if n <= limit else rows.repartition(max(-(-n // limit), rows.sparkSession.sparkContext.defaultParallelism))
+
+
 def fit(train: DataFrame, features: Sequence[str], label: str, kind: str = "forest", balanced: bool = True, **params) -> PipelineModel:
-    rows = train.withColumn(label, F.col(label).cast("double"))
+    """A fit keeps its rows in memory, wider than they are stored, and reads them in every round; so they are spread over tasks first."""
+    rows = spread(train.select(*dict.fromkeys([*features, label])).withColumn(label, F.col(label).cast("double")))
     weight = None
     if balanced and kind in ("forest", "boosted"):
         rows, weight = add_class_weight(rows, label), "class_weight"

@@ -208,6 +208,20 @@ def test_proximity_edges_against_all_pairs(spark):
     assert spatial._blocks(df.selectExpr("stop_id", "51.05D as lat", "4.1D as lon").filter("stop_id like 'h%'")).agg(F.max(F.size("_ids"))).first()[0] < 150
 
 
+def test_training_rows_are_spread_over_tasks(spark):
+    """Neither the class weights nor the fit put the rows of two classes into two tasks."""
+    rows = spark.range(0, 1000, 1, 3).selectExpr("cast(id % 7 as double) as x", "cast(id % 10 = 0 as double) as y")
+    assert models.spread(rows, 100).rdd.getNumPartitions() == 10 and models.spread(rows, 1000) is rows
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        weighted = splits.add_class_weight(rows, "y")
+        assert weighted.rdd.getNumPartitions() == 3
+        assert {(r["y"], round(r["class_weight"], 9)) for r in weighted.distinct().collect()} == {(0.0, round(1000 / 1800, 9)), (1.0, 5.0)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert models.score(models.fit(rows, ["x"], "y", numTrees=2), rows).count() == 1000
+
+
 def test_student_t_against_known_values():
     assert math.isclose(significance.t_two_sided(2.0, 10), 0.07338803, abs_tol=1e-6)
     assert math.isclose(significance.t_two_sided(0.5, 3), 0.6514, abs_tol=1e-4)
