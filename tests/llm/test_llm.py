@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stopwise.llm import (
     decontaminate, exact_dedup, line_dedup, main_text, near_dedup, personal_data, quality, spm_tokens, suffix_dedup, toxicity)
+from stopwise.llm.store import marked
 
 from ..conftest import SF
 
@@ -172,6 +173,45 @@ def test_run_dedup_short_runs(spark):
     assert [got[i] for i in range(5)] == [one, two, "top\nend", "top\nend", texts[4]]
 
 
+def test_run_dedup_compares_bytes(spark, monkeypatch):
+    """Stretches that meet although their lines differ are told apart by their bytes."""
+    monkeypatch.setattr(line_dedup, "ALIKE", ["n"])
+    test_run_dedup(spark)
+
+
+def test_run_dedup_chunks(spark):
+    """A chunk depends on the lines of its stretch alone, and some are shorter than their stretch."""
+    rng = random.Random(10)
+    run = [words(rng, 3) for _ in range(40)]
+    seen = []
+    for before, after in ((["x y"], []), ([], ["x y z"]), ([words(rng, 4) for _ in range(7)], [words(rng, 2)])):
+        count, digests = line_dedup.line_table("\n".join([*before, *run, *after]).encode())
+        found = line_dedup.stretches(count, digests, 50)
+        k = len(before)
+        seen.append({tuple(int(x) - k for x in r) for r in zip(*found) if r[0] >= k and r[1] <= k + len(run)})
+    assert seen[0] == seen[1] == seen[2]
+    assert any((c, d) != (a, b) for a, b, c, d in seen[0]) and all(a <= c < d <= b for a, b, c, d in seen[0])
+    for lines in (["a"] * 60, ["b " * 60], ["", "c " * 51, ""]):
+        count, digests = line_dedup.line_table("\n".join(lines).encode())
+        assert all(a <= c < d <= b for a, b, c, d in zip(*line_dedup.stretches(count, digests, 50)))
+
+
+def test_run_dedup_same_names(spark):
+    """Columns named like the ones used inside stay."""
+    text = "\n".join(f"w{i} " * 30 for i in range(4))
+    docs = spark.createDataFrame([(i, text, i, i, i, i) for i in range(3)], "doc_id long, text string, marked long, _bucket long, _at long, row long")
+    got = sorted(map(tuple, line_dedup.run_dedup(docs).collect()))
+    assert got == [(0, text, 0, 0, 0, 0, 4, 0, 0), (1, "", 1, 1, 1, 1, 4, 4, 1), (2, "", 2, 2, 2, 2, 4, 4, 1)]
+
+
+def test_marked(spark):
+    """Every wanted key is marked, and few others."""
+    wanted = spark.range(0, 30_000, 3).selectExpr("unhex(md5(string(id))) k")
+    got = marked(spark.range(30_000).selectExpr("id", "unhex(md5(string(id))) k"), "k", wanted).filter("marked").select("id").toArrow()["id"].to_pylist()
+    assert set(range(0, 30_000, 3)) <= set(got) and len(got) < 10_100
+    assert marked(wanted, "k", wanted.limit(0)).filter("marked").isEmpty()
+
+
 def test_decontaminate(spark, docs, rows):
     items = [(1, rows[8][1][:400]), (2, "One TWO three"), (3, None), (4, ""), (5, rows[11][1][3000:3900]), (5, rows[11][1][3000:3900])]
     cut = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", fold(t))
