@@ -17,7 +17,9 @@ A document's set are its distinct runs of five words.  Its sketch keeps the ``K`
 * Inside the lists a pair is passed on only if the sizes allow a link and the sets are close enough in a bit signature: sets
   of na and nb values with three quarters of their union in common differ in (na + nb) / 7 values at most, and never in more
   bits.  The signature holds the ``SIGNED`` smallest values.  Larger sets at the limit are about 61 bits apart when equally
-  large and 97 when one is three quarters of the other, give or take 10; five times that or more is added.
+  large and 97 when one is three quarters of the other, give or take 10; five times that or more is added.  Its halves are
+  combined, which only brings signatures closer.
+* The texts of a round are fetched for the pairs that are left to confirm, by a bitmap of fixed size (``store.marked``).
 * Components grow by the smallest id along confirmed links.
 
 Null and empty texts and texts without words have empty sets and no links.  Repeated ids and rows are members of the class of
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stopwise.llm import bytehash as bh
-from stopwise.llm.store import keep, map_rows, raw_text, text_key
+from stopwise.llm.store import keep, map_rows, marked, raw_text, text_key
 
 WORDS = 5
 K = 64
@@ -45,7 +47,7 @@ ROUNDS = 3
 LEAST_MERGED = 0.01
 PARTNERS = 4
 SIGNED = 256
-SIGNATURE = [f"s{i}" for i in range(16)]
+SIGNATURE = [f"s{i}" for i in range(8)]
 SAMPLED_APART, UNEQUAL_APART = 119, 140
 #: Estimates this low are no links; the error of an estimate from 64 values is about 0.054 at 0.75.
 LEAST_ESTIMATE = 0.5
@@ -73,10 +75,11 @@ def list_values(sketch: np.ndarray, size: int, frequent: np.ndarray, weight: np.
 
 
 def signature(s: np.ndarray) -> list[int]:
-    """1,024 bits, set at the places of the smallest values."""
-    bits = np.zeros(64 * len(SIGNATURE), np.uint8)
+    """1,024 bits, set at the places of the smallest values; the halves are combined, which brings no two signatures farther apart."""
+    bits = np.zeros(128 * len(SIGNATURE), np.uint8)
     bits[(bh.mix(s[:SIGNED]) >> np.uint64(54)).astype(np.int64)] = 1
-    return np.packbits(bits).view(np.int64).tolist()
+    halves = np.packbits(bits).view(np.int64).reshape(2, -1)
+    return (halves[0] ^ halves[1]).tolist()
 
 
 def sketched(docs: DataFrame) -> DataFrame:
@@ -129,8 +132,8 @@ def _lists(classes: DataFrame) -> DataFrame:
     kind = classes.schema["id"].dataType
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("id", kind)])
     rows = map_rows(classes.select("id", "n", "sketch"), make, schema, 20_000)
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-    return keep(rows.join(shared, "key", "left_semi"))
+    shared = keep(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"))
+    return keep(marked(rows, "key", shared).filter("marked").drop("marked").join(shared, "key", "left_semi"))
 
 
 def _needed(table: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -157,7 +160,6 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs with 100 * intersection >= 75 * union on the full sets."""
-    texts = _needed(texts, pairs)
     side = lambda x: texts.select(F.col("id").alias(x), F.col("raw").alias(f"m_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
 
@@ -241,10 +243,14 @@ def _open(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     return keep(told.join(many, "key", "left_semi"))
 
 
-def _texts(docs: DataFrame, classes: DataFrame, lists: DataFrame) -> DataFrame:
-    """``id, raw`` of the classes in the lists: the text of one row each, which is smaller than its set of hashes."""
-    wanted = classes.join(lists.select("id").distinct(), "id", "left_semi").select("id", "t")
-    return keep(docs.select(text_key().alias("t"), raw_text().alias("raw")).join(wanted, "t").dropDuplicates(["t"]).select("id", "raw"))
+def _texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``id, raw`` of the classes in the pairs: the text of one row each, which is smaller than its set of hashes.
+
+    A round confirms few of the pairs that share a list, so only their texts are moved.
+    """
+    wanted = keep(_needed(classes.select("id", "t"), pairs))
+    rows = marked(docs.select(text_key().alias("t"), raw_text().alias("raw")), "t", wanted).filter("marked").drop("marked")
+    return keep(rows.join(wanted, "t").dropDuplicates(["t"]).select("id", "raw"))
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
@@ -252,7 +258,6 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
     lists = _lists(classes)
     if lists.isEmpty():
         return None
-    texts = _texts(docs, classes, lists)
     linked = tested = labels = None
     salt = 0
     while True:
@@ -266,7 +271,8 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = keep(pairs)
-        found = keep(_confirmed(keep(_estimated(pairs, classes)), texts))
+        close = keep(_estimated(pairs, classes))
+        found = keep(_confirmed(close, _texts(docs, classes, close)))
         merged = found.count()
         if merged:
             linked = found if linked is None else linked.unionByName(found)

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,6 +213,25 @@ def test_marked(spark):
     assert marked(wanted, "k", wanted.limit(0)).filter("marked").isEmpty()
 
 
+def test_near_dedup_moves_few_texts(spark):
+    """Only the texts of pairs under comparison are moved, one of each class."""
+    docs = spark.createDataFrame([(i, f"a b c d e f{i % 6} g h") for i in range(12)], "doc_id long, text string")
+    classes = docs.filter("doc_id < 6").selectExpr("doc_id id", "unhex(md5(cast(text as binary))) t")
+    pairs = spark.createDataFrame([(0, 2), (2, 5)], "a long, b long")
+    got = near_dedup._texts(docs, classes, pairs).collect()
+    assert sorted((r.id, bytes(r.raw)) for r in got) == [(i, f"a b c d e f{i} g h".encode()) for i in (0, 2, 5)]
+
+
+def test_near_dedup_signatures():
+    """Combined halves are no farther apart than the values allow, so no linked pair is turned away; they are half as long."""
+    rng = np.random.default_rng(3)
+    for n, differ in ((20, 3), (200, 28), (256, 36)):
+        a = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        b = np.unique(np.concatenate([a[differ:], rng.integers(0, 1 << 63, differ, np.uint64)]))
+        x, y = near_dedup.signature(a), near_dedup.signature(b)
+        assert len(x) == 8 and sum(((u ^ v) & ((1 << 64) - 1)).bit_count() for u, v in zip(x, y)) <= 2 * differ
+
+
 def test_decontaminate(spark, docs, rows):
     items = [(1, rows[8][1][:400]), (2, "One TWO three"), (3, None), (4, ""), (5, rows[11][1][3000:3900]), (5, rows[11][1][3000:3900])]
     cut = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", fold(t))
