@@ -180,6 +180,18 @@ def test_run_dedup_compares_bytes(spark, monkeypatch):
     test_run_dedup(spark)
 
 
+def test_pipeline_line_stage_compares_bytes(spark, monkeypatch):
+    """The line stage of the pipeline removes equal runs only, also where the hashes of different ones are alike."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(line_dedup, "ALIKE", ["n"])
+    rng = random.Random(11)
+    one, two, three = (words(rng, 60) for _ in range(3))
+    docs = spark.createDataFrame([(1, one), (2, two), (3, f"x\n{two}"), (4, one), (5, three), (6, None)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert got == {1: one, 2: two, 3: "x", 5: three, 6: None}
+
+
 def test_run_dedup_chunks(spark):
     """A chunk depends on the lines of its stretch alone, and some are shorter than their stretch."""
     rng = random.Random(10)
