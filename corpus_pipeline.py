@@ -13,15 +13,21 @@ from stopwise.llm import line_dedup as lines
 from stopwise.llm import near_dedup as near
 from stopwise.llm import spm_tokens
 from stopwise.llm import toxicity as toxic
-from stopwise.llm.store import keep, read
+from stopwise.llm.store import keep, marked, read
 
 #: Documents from this probability up are rejected as toxic.
 TOXIC_FROM = 0.5
 
 
 def _decided(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows whose id is not among the decided ones; rows with a null id are never decided by id and stay."""
-    return docs.join(gone.filter("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_anti")
+    """Rows whose id is not among the decided ones; rows with a null id are never decided by id and stay.
+
+    Few ids go, so only the rows that a bitmap marks take part in the join and no other text is shuffled.
+    """
+    ids = keep(gone.filter("doc_id is not null").select("doc_id").distinct())
+    told = marked(docs, "doc_id", ids)
+    left = told.filter("marked").drop("marked").join(ids, "doc_id", "left_anti")
+    return told.filter("not marked").drop("marked").unionByName(left)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stopwise.llm import bytehash as bh
-from stopwise.llm.store import keep, map_rows, marked, raw_text, text_key
+from stopwise.llm.store import freeing_shuffles, keep, map_rows, marked, raw_text, text_key
 
 WORDS = 5
 K = 64
@@ -114,7 +114,8 @@ def _frequent(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         return lambda r: [(v,) for v in np.frombuffer(r["sketch"], np.int64).tolist()]
 
     least = max(LEAST_FREQUENT, classes.count() * K // FREQUENT + 1)
-    found = map_rows(rows, make, "v long", 20_000).groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).toArrow()
+    with freeing_shuffles(classes.sparkSession):
+        found = map_rows(rows, make, "v long", 20_000).groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).toArrow()
     values, n = found["v"].to_numpy().view(np.uint64), found["n"].to_numpy()
     order = np.argsort(values)
     return values[order], np.log2(np.maximum(n[order], 1)).astype(np.int8)
@@ -262,7 +263,8 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
     salt = 0
     while True:
         now = _open(lists, labels)
-        sizes = now.groupBy("key").agg(F.count(F.lit(1)).alias("c")).agg(F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("pairs")).first()
+        with freeing_shuffles(docs.sparkSession):
+            sizes = now.groupBy("key").agg(F.count(F.lit(1)).alias("c")).agg(F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("pairs")).first()
         if not sizes["rows"]:
             return labels
         # Comparing everything left costs no more than a few rounds of pivots, or the rounds have stopped merging.

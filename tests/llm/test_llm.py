@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stopwise.llm import (
     decontaminate, exact_dedup, line_dedup, main_text, near_dedup, personal_data, quality, spm_tokens, suffix_dedup, toxicity)
-from stopwise.llm.store import marked
+from stopwise.llm.store import FREE_SHUFFLES, keep, marked
 
 from ..conftest import SF
 
@@ -405,3 +406,47 @@ def test_pipeline(spark):
     assert got.filter("not round_trip").isEmpty()
     left = near_dedup.near_dedup(got)
     assert left.filter("not kept").isEmpty()
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """Shuffle files of a written plan used to stay until the driver's garbage collection; the setting of the session stays as it was."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = manager.getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before, setting = shuffles(), spark.conf.get(FREE_SHUFFLES, "false")
+    counts = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    kept = keep(counts.join(counts.hint("merge").withColumnRenamed("n", "m"), "k"))
+    for _ in range(50):
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert sorted(r["k"] for r in kept.collect()) == list(range(10)) and spark.conf.get(FREE_SHUFFLES, "false") == setting
+
+
+def test_rows_that_stay_are_not_shuffled_to_drop_others(spark):
+    """Dropping decided ids used to shuffle every text; null and repeated ids stay or go as before."""
+    import corpus_pipeline
+
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = manager.getAllFiles()
+        return {files.apply(i).getName(): files.apply(i).length() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    rng = random.Random(3)
+    rows = [(None if i % 50 == 0 else i // 2, "".join(rng.choices("abcdefghijklmnop", k=400)), "en", "s", 400) for i in range(2000)]
+    docs, gone = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(7,), (400,), (None,), (5000,)], "doc_id long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline._decided(docs, gone)
+        before = shuffles()
+        got = out.select(docs.columns).collect()
+        moved = sum(n for name, n in shuffles().items() if name not in before)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert Counter(map(tuple, got)) == Counter(r for r in rows if r[0] not in (7, 400))
+    assert moved < 0.1 * 400 * len(rows)
