@@ -14,12 +14,16 @@ from pyspark.sql import functions as F
 from stopwise.functions import alerts as alert_fn
 from stopwise.functions import clock, geo, text, weather
 from stopwise.operators import graph, horizon, label, merge, past, spatial, summary, temporal, timetable
-from stopwise.session import cut_lineage
-from stopwise.skew import sharing_hot_keys
+from stopwise.session import ALL_KEYS, cut_lineage, option
+from stopwise.skew import buckets, hot_table, sharing_hot_keys
 
 BASE = ("obs_id", "feed_timestamp", "trip_id", "route_id", "stop_id", "vehicle_id", "stop_sequence", "delay_sec", "speed",
         "disruption_type", "severity_score", "has_alert", "stop_lat", "stop_lon", "dwell_time_sec", "sched_arr_sec")
 
+#: Rows up to which ``enrich`` joins the schedule in one go; more are joined in so many shares.
+WHOLE_ROWS = 10_000_000
+SHARES = 4
+
 
 def base_of(df: DataFrame) -> DataFrame:
     return df.select(*[c for c in BASE if c in df.columns])
@@ -103,10 +107,22 @@ def text_features(df: DataFrame, body: str, lang: str | None = None) -> DataFram
 
 @sharing_hot_keys
 def enrich(df: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
-    """Timetable enrichment: dimensions, schedule, deviation, second peak set, delay, headway and speed features."""
-    out = cut_lineage(timetable.join_schedule(df, timetable.schedule(dims["stop_times"])))
+    """Timetable enrichment: dimensions, schedule, deviation, second peak set, delay, headway and speed features.
+
+    The joined schedule is written if a trip or stop is hot, for slicing reads it several times.  Without hot ones it is read once.  Many
+    rows are written too, a share of the trips at a time: that needs the disk of one share's shuffles besides what is written.
+    """
+    out = timetable.join_schedule(df, timetable.schedule(dims["stop_times"]))
+    base = base_of(out)
+    if any(hot_table(base, [key]) is not None for key in ("trip_id", "stop_id")):
+        out = cut_lineage(out)
+    elif buckets(base, ["trip_id"])[2] > WHOLE_ROWS:
+        # No trip is hot, so the rows of a trip may stay together for the join by trip and stop.
+        with option(df.sparkSession, ALL_KEYS, "false", "true"):
+            out = cut_lineage(out, *[F.pmod(F.xxhash64("trip_id"), F.lit(SHARES)) == i for i in range(SHARES)])
     base = base_of(out)
-    out = timetable.schedule_deviation(timetable.add_dimensions(out, dims)) if "actual_time_sec" in out.columns else timetable.add_dimensions(out, dims)
+    out = timetable.add_dimensions(out, dims, base=base)
+    out = timetable.schedule_deviation(out) if "actual_time_sec" in out.columns else out
     out = timetable.delay_features(clock.enricher_time(out, "feed_timestamp"))
     out = temporal.scheduled_headway(out, base=base)
     return temporal.change_features(timetable.speed_features(out), base=base)

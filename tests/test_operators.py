@@ -11,7 +11,7 @@ from stopwise.functions.geo import EARTH_KM
 from stopwise.metrics import classification as cl
 from stopwise.metrics import significance
 from stopwise.ml import models, neighbours
-from stopwise.operators import graph, label, quality, spatial, splits, summary, temporal
+from stopwise.operators import graph, label, merge, quality, spatial, splits, summary, temporal
 from stopwise.plans import features
 from stopwise.sources import readers
 from stopwise.testbed import views
@@ -475,3 +475,37 @@ def test_pagerank_that_does_not_settle_is_an_error(spark):
         graph.pagerank(edges, max_iterations=1)
     assert math.isclose(sum(r["pagerank"] for r in graph.pagerank(edges).collect()), 1.0, abs_tol=1e-6)
     assert not graph.pagerank(edges.limit(0)).collect()
+
+
+def test_enrichment_in_shares_is_the_same(spark, monkeypatch):
+    """Whole, in shares of the trips and with hot trips, also with trips that repeat, are unknown or missing."""
+    stops = spark.range(40).selectExpr("cast(id as string) stop_id", "concat('n', id) stop_name", "cast(51 + id / 100 as string) stop_lat", "'4.5' stop_lon",
+                                       "'0' location_type", "cast(null as string) parent_station", "'A' platform_code", "'1' wheelchair_boarding")
+    trips = spark.range(60).selectExpr("cast(id % 55 as string) trip_id", "cast(id % 4 as string) route_id", "concat('d', id % 3) service_id", "'1' direction_id",
+                                       "concat('x', id % 5) shape_id", "'h' trip_headsign", "'0' wheelchair_accessible", "'1' bikes_allowed")
+    times = spark.range(900).selectExpr("case when id % 50 > 0 then cast(id % 60 as string) end trip_id", "cast(id * 7 % 45 as string) stop_id", "id stop_sequence",
+                                        "format_string('%02d:%02d:00', id % 20, id % 60) arrival_time", "format_string('%02d:%02d:30', id % 20, id % 60) departure_time", "'0' pickup_type", "'1' drop_off_type")
+    dims = {"trips": trips, "stops": stops, "stop_times": times,
+            "routes": spark.range(4).selectExpr("cast(id as string) route_id", "'a' agency_id", "concat('s', id) route_short_name", "'long' route_long_name", "'3' route_type"),
+            "transfers": spark.range(9).selectExpr("cast(id as string) from_stop_id", "cast(id + 20 as string) to_stop_id"),
+            "calendar_dates": spark.range(9).selectExpr("concat('d', id % 3) service_id", "cast(20240101 + id as string) date"),
+            "shapes": spark.range(9).selectExpr("concat('x', id % 5) shape_id", "cast(id * 100 as string) shape_dist_traveled")}
+    rows = spark.range(700).selectExpr("concat('o', id) obs_id", "case when id % 40 > 0 then cast(id % 65 as string) end trip_id", "cast(id * 7 % 45 as string) stop_id",
+                                       "timestamp_seconds(1704067200 + id * 31) feed_timestamp", "cast(id % 90 - 20 as double) delay_sec", "cast(id % 30 as double) speed", "cast(18000 + id * 11 as double) actual_time_sec")
+
+    def enriched():
+        out = features.enrich(merge.star_join(rows, dims), dims)
+        return out.columns, Counter(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in out.collect())
+
+    whole = enriched()
+    assert sum(whole[1].values()) == 700
+    written = []
+    write = features.cut_lineage
+    monkeypatch.setattr(features, "cut_lineage", lambda df, *parts: written.append(len(parts)) or write(df, *parts))
+    monkeypatch.setattr(features, "WHOLE_ROWS", 100)
+    assert enriched() == whole and written == [features.SHARES]
+    spark.conf.set("spark.stopwise.hotRows", "5")
+    try:
+        assert enriched() == whole and written == [features.SHARES, 0]
+    finally:
+        spark.conf.unset("spark.stopwise.hotRows")

@@ -158,3 +158,47 @@ def test_forward_targets_are_the_same_with_and_without_hot_keys(spark):
     finally:
         spark.conf.unset(HOT_ROWS_CONF)
     assert any(r[-1] for r in cold)
+
+
+def test_keys_are_counted_only_behind_a_full_bucket(spark, monkeypatch):
+    """Many keys, missing ones too, cost no shuffle of keys; columns without hot values tell for the pair."""
+    monkeypatch.setattr(skew, "hot_keys", lambda *_: pytest.fail("keys were counted"))
+    df = spark.range(20_000).selectExpr("case when id % 3 > 0 then id end as key", "cast(id % 5 as string) as few", "id as obs_id")
+    assert hot_table(df, ["key"]) is None and hot_table(df, ["few", "key"], ["obs_id"]) is None
+    assert skew.buckets(df, ["few"]) == (4000, 5, 20_000) and skew.buckets(df.filter("false"), ["few"]) == (0, 0, 0)
+    with shared_hot_keys():
+        hot_table(df, ["few"])
+        monkeypatch.setattr(skew, "buckets", lambda *_: pytest.fail("rows were counted again"))
+        assert hot_table(df, ["few", "key"]) is None
+
+
+def test_totals_of_one_key_share_a_shuffle(spark):
+    """Without a hot key rows are shuffled once for several joins and windows by it; rows with null keys stay."""
+    df = spark.range(500).selectExpr("case when id % 9 > 0 then id % 100 end as key", "id as obs_id", "id % 7 as v")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = attach(attach(df, df.groupBy("key").agg(F.sum("v").alias("s")), ["key"]), df.groupBy("key").agg(F.max("v").alias("m")), ["key"])
+        out = out.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("obs_id")))
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 3
+        got = out.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    of = {}
+    for i in range(500):
+        of.setdefault(i % 100 if i % 9 else None, []).append(i)
+    want = {(k, i, None if k is None else sum(x % 7 for x in v), None if k is None else max(x % 7 for x in v), n + 1) for k, v in of.items() for n, i in enumerate(v)}
+    assert {(r["key"], r["obs_id"], r["s"], r["m"], r["r"]) for r in got} == want and len(got) == 500
+
+
+def test_lookup_of_few_keys_in_a_large_table_moves_no_rows(spark):
+    df = spark.range(300).selectExpr("case when id % 4 > 0 then id % 12 end as key", "id as obs_id")
+    dim = spark.range(6000).selectExpr("id * 2 as key", "id as x")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = lookup(df, dim, ["key"], F.col("obs_id"))
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        got = {(r["key"], r["obs_id"], r["x"]) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    keys = [(i % 12 if i % 4 else None, i) for i in range(300)]
+    assert got == {(k, i, k // 2 if k is not None and k % 2 == 0 else None) for k, i in keys}
