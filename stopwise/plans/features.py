@@ -112,15 +112,17 @@ def enrich(df: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
     The joined schedule is written if a trip or stop is hot, for slicing reads it several times.  Without hot ones it is read once.  Many
     rows are written too, a share of the trips at a time: that needs the disk of one share's shuffles besides what is written.
     """
-    out = timetable.join_schedule(df, timetable.schedule(dims["stop_times"]))
-    base = base_of(out)
-    if any(hot_table(base, [key]) is not None for key in ("trip_id", "stop_id")):
+    # Without hot keys the base serves to count only, and the rows of df are counted without the joins.
+    base = base_of(df)
+    hot = any(hot_table(base, [key]) is not None for key in ("trip_id", "stop_id"))
+    out = timetable.join_schedule(df, timetable.schedule(dims["stop_times"]), base=base)
+    if hot:
         out = cut_lineage(out)
+        base = base_of(out)
     elif buckets(base, ["trip_id"])[2] > WHOLE_ROWS:
         # No trip is hot, so the rows of a trip may stay together for the join by trip and stop.
         with option(df.sparkSession, ALL_KEYS, "false", "true"):
             out = cut_lineage(out, *[F.pmod(F.xxhash64("trip_id"), F.lit(SHARES)) == i for i in range(SHARES)])
-    base = base_of(out)
     out = timetable.add_dimensions(out, dims, base=base)
     out = timetable.schedule_deviation(out) if "actual_time_sec" in out.columns else out
     out = timetable.delay_features(clock.enricher_time(out, "feed_timestamp"))
